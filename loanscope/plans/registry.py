@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import portfolio
+from ..operators import clean, portfolio, quality
 from ..sources import tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +21,66 @@ def _on_scored(op) -> QueryFn:
     return run
 
 
+def tidy_types(df: DataFrame) -> DataFrame:
+    """Hand results out in portable types: DECIMAL/FLOAT -> DOUBLE,
+    small ints -> BIGINT, DATE -> ISO text."""
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DecimalType, T.FloatType)):
+            c = c.cast("double")
+        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+            c = c.cast("bigint")
+        elif isinstance(f.dataType, T.DateType):
+            c = F.date_format(c, "yyyy-MM-dd")
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
+def _tidy(fn: QueryFn) -> QueryFn:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tidy_types(fn(spark, sf_dir))
+    run.__name__ = fn.__name__
+    return run
+
+
+def _dq_missing(spark, sf_dir):
+    return quality.missing_report(tables.raw_loans(spark, sf_dir))
+
+
+def _dq_duplicates(spark, sf_dir):
+    return quality.duplicate_id_groups(tables.raw_loans(spark, sf_dir))
+
+
+def _dq_ranges(spark, sf_dir):
+    return quality.range_checks(tables.raw_loans(spark, sf_dir))
+
+
+def _dq_status(spark, sf_dir):
+    return quality.status_distribution(tables.clean_loans(spark, sf_dir))
+
+
+def _dq_reconcile(spark, sf_dir):
+    return quality.reconcile(tables.raw_loans(spark, sf_dir), tables.clean_loans(spark, sf_dir))
+
+
+def _clean_loans(spark, sf_dir):
+    # Full ingest plan (filter + de-dup + parse), not the materialised copy.
+    return tables.clean_loans(spark, sf_dir, materialise=False)
+
+
+def _loans_scored(spark, sf_dir):
+    return clean.score(tables.clean_loans(spark, sf_dir, materialise=False))
+
+
 QUERIES: dict[str, QueryFn] = {
+    "dq_missing": _dq_missing,
+    "dq_duplicates": _dq_duplicates,
+    "dq_ranges": _dq_ranges,
+    "dq_status": _dq_status,
+    "dq_reconcile": _dq_reconcile,
+    "clean_loans": _clean_loans,
+    "loans_scored": _loans_scored,
     "q01_default_rate": _on_scored(portfolio.q01_default_rate_by_grade),
     "q02_grade_purpose": _on_scored(portfolio.q02_grade_purpose),
     "q03_riskiest_purposes": _on_scored(portfolio.q03_riskiest_purposes),
@@ -31,3 +92,5 @@ QUERIES: dict[str, QueryFn] = {
     "q09_purpose_term": _on_scored(portfolio.q09_purpose_term_lowest_risk),
     "q10_realized_margin": _on_scored(portfolio.q10_realized_margin),
 }
+
+QUERIES = {k: _tidy(v) for k, v in QUERIES.items()}
