@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import clean, portfolio, quality
+from ..operators import clean, experiment, export, model, portfolio, quality, ranking, segments, stats
 from ..sources import tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -93,4 +93,127 @@ QUERIES: dict[str, QueryFn] = {
     "q10_realized_margin": _on_scored(portfolio.q10_realized_margin),
 }
 
-QUERIES = {k: _tidy(v) for k, v in QUERIES.items()}
+
+def _scored(spark, sf_dir):
+    return tables.scored_loans(spark, sf_dir)
+
+
+def _seg(spark, sf_dir):
+    return tables.segmented_loans(spark, sf_dir)
+
+
+def _good_grades(spark, sf_dir):
+    return stats.good_grades(_scored(spark, sf_dir))
+
+
+def _kth_grade_rate(spark, sf_dir):
+    gq = portfolio.grade_default_rates(_scored(spark, sf_dir), rounded=True)
+    return ranking.upper_median(gq, "grade_default_rate").withColumnRenamed("grade_default_rate", "median_val")
+
+
+def _pct_rank_in_grade(spark, sf_dir):
+    base = _scored(spark, sf_dir).select("loan_id", "grade", "interest_rate")
+    return ranking.percent_rank(base, "interest_rate", "rate_percentile_in_grade", keys=["grade"])
+
+
+def _pct_rank_income(spark, sf_dir):
+    base = _scored(spark, sf_dir).select("loan_id", "annual_income")
+    return ranking.percent_rank(base, "annual_income", "income_percentile_overall")
+
+
+def _avg_rank_pct(spark, sf_dir):
+    base = _scored(spark, sf_dir).select("loan_id", "grade", "interest_rate")
+    return ranking.average_rank_pct(base, "interest_rate", "rate_percentile_avg", keys=["grade"])
+
+
+def _income_ntile(spark, sf_dir):
+    base = _scored(spark, sf_dir).where("is_completed = 1").select("loan_id", "annual_income")
+    return ranking.ntile(base, "annual_income", 4, "income_quartile")
+
+
+_SIM: dict = {}
+
+
+def _simulation(spark, sf_dir):
+    return experiment.simulate(_scored(spark, sf_dir))
+
+
+def _ab_compare(spark, sf_dir):
+    return experiment.compare_arms(_simulation(spark, sf_dir))
+
+
+_MODELS: dict = {}
+
+
+def _fitted(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        split = model.stratified_split(model.model_frame(_scored(spark, sf_dir)))
+        _MODELS[key] = model.fit(split)
+    return _MODELS[key]
+
+
+def _model_coefficients(spark, sf_dir):
+    m, names, _ = _fitted(spark, sf_dir)
+    return model.coefficients(m, names, spark)
+
+
+def _model_metrics(spark, sf_dir):
+    m, _, z = _fitted(spark, sf_dir)
+    return model.evaluate(m, z)
+
+
+QUERIES.update({
+    "good_grades": _good_grades,
+    "kth_grade_rate": _kth_grade_rate,
+    "pct_rank_in_grade": _pct_rank_in_grade,
+    "pct_rank_income": _pct_rank_income,
+    "avg_rank_pct": _avg_rank_pct,
+    "income_ntile": _income_ntile,
+    "segment_assign": lambda sp, d: segments.segment_assignments(_seg(sp, d)),
+    "segment_summary": lambda sp, d: segments.segment_summary(_seg(sp, d)),
+    "segment_sensitivity": lambda sp, d: segments.segment_sensitivity(_seg(sp, d)),
+    "segment_robust": lambda sp, d: segments.segment_robustness(segments.segment_sensitivity(_seg(sp, d))),
+    "export_default_rate": lambda sp, d: export.default_rate_by_grade(_scored(sp, d)),
+    "export_cohort": lambda sp, d: export.cohort_analysis(_scored(sp, d)),
+    "export_margin": lambda sp, d: export.realized_margin_by_grade(_scored(sp, d)),
+    "contingency": lambda sp, d: stats.contingency(_scored(sp, d)),
+    "chi_square": lambda sp, d: stats.chi_square(_scored(sp, d)),
+    "chi_square_test": lambda sp, d: stats.chi_square_test(_scored(sp, d)),
+    "correlations": lambda sp, d: stats.correlations(_scored(sp, d)),
+    "correlations_test": lambda sp, d: stats.correlations_test(_scored(sp, d)),
+    "underpriced_welch": lambda sp, d: stats.underpriced_welch(_scored(sp, d)),
+    "underpriced_welch_test": lambda sp, d: stats.underpriced_welch_test(_scored(sp, d)),
+    "rate_gap": lambda sp, d: stats.rate_gap(_scored(sp, d)),
+    "ab_assign": lambda sp, d: experiment.assignments(_simulation(sp, d)),
+    "ab_compare": _ab_compare,
+    "ab_compare_test": lambda sp, d: experiment.compare_arms_test(_simulation(sp, d)),
+    "ab_power": lambda sp, d: experiment.power(_ab_compare(sp, d)),
+    "ab_duration": lambda sp, d: experiment.duration(_scored(sp, d), _simulation(sp, d), _ab_compare(sp, d)),
+    "portfolio_lift": lambda sp, d: experiment.portfolio_lift(_scored(sp, d)),
+    "model_split": lambda sp, d: model.stratified_split(model.model_frame(_scored(sp, d))).select(
+        "loan_id", "is_default", F.col("is_train").cast("bigint").alias("is_train")),
+    "model_coefficients": _model_coefficients,
+    "model_top_features": lambda sp, d: model.top_coefficients(_model_coefficients(sp, d)),
+    "model_metrics": _model_metrics,
+})
+
+
+# Statistics whose last bits depend on summation order are reported to 6
+# decimal places (their oracle rounds the same way).
+ROUNDED_6 = ("chi_square", "chi_square_test", "correlations", "correlations_test",
+             "underpriced_welch", "underpriced_welch_test", "rate_gap", "ab_compare",
+             "ab_compare_test", "ab_power", "ab_duration", "portfolio_lift")
+
+
+def _round_doubles(fn: QueryFn, digits: int = 6) -> QueryFn:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = fn(spark, sf_dir)
+        return df.select(*[
+            (F.round(F.col(f"`{f.name}`"), digits) if isinstance(f.dataType, T.DoubleType)
+             and f.name != "p_value" else F.col(f"`{f.name}`")).alias(f.name)
+            for f in df.schema.fields])
+    return run
+
+
+QUERIES = {k: _tidy(_round_doubles(v) if k in ROUNDED_6 else v) for k, v in QUERIES.items()}

@@ -37,6 +37,24 @@ def clean_loans(spark: SparkSession, sf_dir: str, materialise: bool = True) -> D
     return spark.read.parquet(path)
 
 
+def _materialise(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, f"{name}:{sf_dir}")
+    path = _MATERIALISED.get(key)
+    if path is None:
+        tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+        path = scratch_path(spark, f"{name}_{tag}")
+        build().write.mode("overwrite").parquet(path)
+        _MATERIALISED[key] = path
+    return spark.read.parquet(path)
+
+
+def segmented_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored loans with risk/value segments, written once per application."""
+    from ..operators.segments import build_segments
+    return _materialise(spark, sf_dir, "segments",
+                        lambda: build_segments(scored_loans(spark, sf_dir)))
+
+
 def scored_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``loans_scored``: clean loans plus completed/default flags and issue year."""
     return score(clean_loans(spark, sf_dir))
