@@ -59,14 +59,14 @@ def stratified_split(frame: DataFrame, train_fraction: float = 0.8,
 
 
 def standardise(split: DataFrame, cols: Sequence[str] = NUMERIC) -> DataFrame:
-    """ML-3: (x - train mean) / train population sd, for train and test rows."""
+    """ML-3: (x - train mean) / train population sd, for train and test rows.
+    The fitted scaler is one summary row (a mean and an sd per column)."""
     train = split.where("is_train")
-    out = split
-    for c in cols:
-        mu = train.agg(F.avg(c)).scalar()
-        sd = train.agg(F.stddev_pop(c)).scalar()
-        out = out.withColumn(f"{c}_z", F.try_divide(F.col(c) - mu, sd))
-    return out
+    moments = train.agg(*[F.avg(c).alias(f"mu_{c}") for c in cols],
+                        *[F.stddev_pop(c).alias(f"sd_{c}") for c in cols]).first()
+    return split.select("*", *[
+        F.try_divide(F.col(c) - F.lit(moments[f"mu_{c}"]), F.lit(moments[f"sd_{c}"])).alias(f"{c}_z")
+        for c in cols])
 
 
 def _weights(train: DataFrame, label: str = LABEL):
@@ -75,8 +75,13 @@ def _weights(train: DataFrame, label: str = LABEL):
     return {k: n / (len(counts) * v) for k, v in counts.items()}, n
 
 
-def fit(split: DataFrame, max_iter: int = 1000, tol: float = 1e-10):
-    """ML-4: returns (fitted pipeline model, feature names, training rows)."""
+def fit(split: DataFrame, max_iter: int = 1000, tol: float = 1e-6):
+    """ML-4: returns (fitted pipeline model, feature names, scaled rows).
+
+    The split is checkpointed first (reliable checkpoint in the shared folder):
+    the scaler, the class weights and every L-BFGS pass read it back instead
+    of re-ranking the loans."""
+    split = split.checkpoint(eager=True)
     z = standardise(split)
     train = z.where("is_train")
     weights, n_train = _weights(train)

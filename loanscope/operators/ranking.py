@@ -47,14 +47,24 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how=
     return left.join(renamed, cond, how).drop(*[f"__r_{c}" for c in cols])
 
 
+# Tables up to this many rows take the running sum in one window task: a
+# checked bound, not an assumption.  Larger ones use the range-sorted form.
+SMALL_TABLE_ROWS = 1_000_000
+
+
 def running_before(table: DataFrame, order_cols: Sequence[str], weight_col: str,
-                   out_col: str = "_before") -> DataFrame:
+                   out_col: str = "_before", small_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
     """Add ``out_col`` = sum of ``weight_col`` over all rows strictly before each
     row in the total order ``order_cols`` (ascending, NULLs first).
 
-    ``order_cols`` must identify rows uniquely.  Work is a range-partitioned
-    sort; no task ever holds more than one range.
+    ``order_cols`` must identify rows uniquely.  The table's row count is
+    checked first: at most ``small_rows`` rows are summed by one window task;
+    beyond that the work is a range-partitioned sort where no task ever holds
+    more than one range.
     """
+    if small_rows > 0 and table.limit(small_rows + 1).count() <= small_rows:
+        w = Window.orderBy(*[_asc(c) for c in order_cols]).rowsBetween(Window.unboundedPreceding, -1)
+        return table.withColumn(out_col, F.coalesce(F.sum(weight_col).over(w), F.lit(0)).cast("bigint"))
     ensure_checkpoint_dir(table.sparkSession)
     ordered = table.orderBy(*[_asc(c) for c in order_cols]).checkpoint(eager=True)
     mid = F.monotonically_increasing_id()
@@ -88,8 +98,10 @@ def value_frequencies(df: DataFrame, keys: Sequence[str], value: str,
                                       F.sum("_c").alias("_n"))
         freq = _null_safe_join(freq, grp, keys)
     else:
-        grp = freq.agg(F.sum("_c").alias("_n"))
-        freq = freq.withColumn("_gstart", F.lit(0).cast("bigint")).withColumn("_n", grp.scalar())
+        # One number for the whole frame: fetched once rather than carried as
+        # a scalar subquery that every downstream expression would repeat.
+        n = src.agg(F.count(F.lit(1))).first()[0]
+        freq = freq.withColumn("_gstart", F.lit(0).cast("bigint")).withColumn("_n", F.lit(n).cast("bigint"))
     return (freq.withColumn("_before", F.col("_gbefore") - F.col("_gstart"))
                 .drop("_gbefore", "_gstart"))
 
@@ -174,28 +186,33 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFr
     return freq.agg(*aggs)
 
 
-def quantile_cut(df: DataFrame, value: str, labels: Sequence[str], out_col: str) -> DataFrame:
+def quantile_edges(source: DataFrame, value: str, k: int) -> list[float]:
+    """The k+1 qcut edges (quantiles 0, 1/k, ..., 1) of ``value``: a bounded
+    summary, fetched to the driver once like Spark ML's QuantileDiscretizer."""
+    probs = [i / k for i in range(k + 1)]
+    row = exact_quantiles(source, value, probs).first()
+    return [row[f"q{i}"] for i in range(k + 1)]
+
+
+def quantile_cut(df: DataFrame, value: str, labels: Sequence[str], out_col: str,
+                 source: DataFrame | None = None) -> DataFrame:
     """W-7 / W-8: ``pandas.qcut(value, len(labels), labels)``.
 
     Bins are (edge_i, edge_i+1], the lowest edge included; equal edges raise
-    (as pandas does), inside the plan via ``raise_error``.  NULL -> NULL.
+    ``ValueError`` as pandas does.  NULL -> NULL.  ``source`` (default the
+    ``value`` column of ``df``) is a narrow frame the edges are computed from.
     """
     k = len(labels)
-    probs = [i / k for i in range(k + 1)]
-    edges = exact_quantiles(df, value, probs)
-    edge_arr = edges.select(F.array(*[F.col(f"q{i}") for i in range(k + 1)]).alias("e")).scalar()
-    strictly_increasing = F.lit(True)
-    for i in range(k):
-        strictly_increasing = strictly_increasing & (F.element_at(edge_arr, i + 1) < F.element_at(edge_arr, i + 2))
-    checked_arr = F.when(strictly_increasing, edge_arr).otherwise(
-        F.raise_error(F.lit(f"quantile_cut({value}): bin edges must be unique")))
+    edges = quantile_edges(source if source is not None else df.select(value), value, k)
+    if any(e is None for e in edges):
+        raise ValueError(f"quantile_cut({value}): no non-null values")
+    if any(not (a < b) for a, b in zip(edges, edges[1:])):
+        raise ValueError(f"quantile_cut({value}): bin edges must be unique: {edges}")
     x = F.col(value).cast("double")
-    tier = None
+    tier = F.lit(labels[-1])
     for i in range(k - 1, 0, -1):
-        cond = x <= F.element_at(checked_arr, i + 1)
-        tier = F.when(cond, F.lit(labels[i - 1])).otherwise(tier if tier is not None else F.lit(labels[-1]))
-    tier = F.when(x.isNotNull() & (x >= F.element_at(checked_arr, 1)), tier)
-    return df.withColumn(out_col, tier)
+        tier = F.when(x <= F.lit(edges[i]), F.lit(labels[i - 1])).otherwise(tier)
+    return df.withColumn(out_col, F.when(x.isNotNull(), tier))
 
 
 def kth_smallest(table: DataFrame, value: str, k: Column) -> DataFrame:

@@ -29,16 +29,20 @@ def grade_risk_scores(s: DataFrame) -> DataFrame:
 
 def build_segments(s: DataFrame, with_rate_percentile: bool = True) -> DataFrame:
     """W-9: loans + risk/value scores, proxies, tiers and the segment label."""
-    scored = s.join(grade_risk_scores(s), "grade", "left")
-    scored = scored.withColumn(
-        "value_score", (F.col("loan_amount") * F.col("term_months")).cast("double"))
+    risk = grade_risk_scores(s)
+    value_score = (F.col("loan_amount") * F.col("term_months")).cast("double")
+    scored = s.join(risk, "grade", "left").withColumn("value_score", value_score)
+    # Narrow inputs for the cut edges: the risk score of every loan (a join
+    # of the grade column with the grade-grain scores) and the value score.
+    risk_src = s.select("grade").join(risk, "grade", "left").select("risk_score")
+    value_src = s.select(value_score.alias("value_score"))
+    scored = ranking.quantile_cut(scored, "risk_score", RISK_TIER_LABELS, "risk_tier", source=risk_src)
+    scored = ranking.quantile_cut(scored, "value_score", VALUE_TIER_LABELS, "value_tier", source=value_src)
     if with_rate_percentile:
         scored = scored.withColumn(
             "rate_sensitivity_proxy",
             F.try_divide(F.col("annual_income").cast("double"), F.col("loan_amount").cast("double")))
         scored = ranking.average_rank_pct(scored, "interest_rate", "rate_percentile_in_grade", keys=["grade"])
-    scored = ranking.quantile_cut(scored, "risk_score", RISK_TIER_LABELS, "risk_tier")
-    scored = ranking.quantile_cut(scored, "value_score", VALUE_TIER_LABELS, "value_tier")
     return scored.withColumn("segment", F.concat_ws(
         SEGMENT_SEPARATOR,
         F.coalesce(F.col("risk_tier"), F.lit(UNSCORED_LABEL)),

@@ -20,21 +20,19 @@ from . import fixture
 _MATERIALISED: dict[tuple[str, str], str] = {}
 
 
-def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture.raw_loans(spark, sf_dir)
+def raw_loans(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
+    """``loans_raw``: the ingested raw records, written once as Parquet."""
+    if not materialise:
+        return fixture.raw_loans(spark, sf_dir)
+    return _materialise(spark, sf_dir, "loans_raw", lambda: fixture.raw_loans(spark, sf_dir))
 
 
 def clean_loans(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
+    """``loans``: filter + de-dup + parse of the raw table.  With
+    ``materialise`` it is written once per application and read back."""
     if not materialise:
         return build_clean(raw_loans(spark, sf_dir))
-    key = (spark.sparkContext.applicationId, sf_dir)
-    path = _MATERIALISED.get(key)
-    if path is None:
-        tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-        path = scratch_path(spark, f"loans_{tag}")
-        build_clean(raw_loans(spark, sf_dir)).write.mode("overwrite").parquet(path)
-        _MATERIALISED[key] = path
-    return spark.read.parquet(path)
+    return _materialise(spark, sf_dir, "loans", lambda: build_clean(raw_loans(spark, sf_dir)))
 
 
 def _materialise(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
