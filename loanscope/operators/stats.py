@@ -129,12 +129,15 @@ def income_median_column(subset: DataFrame) -> Column:
 
 
 def welch_columns(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Column):
-    """ST-6/7: Welch t (1 minus 2), Welch-Satterthwaite df, Cohen's d (pooled)."""
-    a, b = v1 / n1, v2 / n2
-    t = (m1 - m2) / F.sqrt(a + b)
-    df = F.pow(a + b, 2) / (F.pow(a, 2) / (n1 - 1) + F.pow(b, 2) / (n2 - 1))
-    pooled = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
-    d = (m1 - m2) / F.sqrt(pooled)
+    """ST-6/7: Welch t (1 minus 2), Welch-Satterthwaite df, Cohen's d (pooled).
+    Degenerate arms (one row, zero variance, empty) give NULL, never an error."""
+    div = F.try_divide
+    n1, n2 = n1.cast("double"), n2.cast("double")
+    a, b = div(v1, n1), div(v2, n2)
+    t = div(m1 - m2, F.sqrt(a + b))
+    df = div(F.pow(a + b, 2), div(F.pow(a, 2), n1 - 1) + div(F.pow(b, 2), n2 - 1))
+    pooled = div((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2)
+    d = div(m1 - m2, F.sqrt(pooled))
     return t, df, d
 
 
