@@ -1,9 +1,10 @@
 """Pricing experiment: target, arms, simulated revenue, comparison, power,
 duration and portfolio lift (AB-1..7).
 
-Scalars that one pass hands to the next (median income, measured rate gap)
-stay inside the plan as scalar subqueries, so nothing is collected to the
-driver between passes.  Arms come from a hash of (seed, loan_id): independent
+Scalars that one pass hands to the next (good grades, median income,
+measured rate gap) are computed once as a ``PricingContext`` - a handful of
+numbers, like a fitted model's parameters - and enter later plans as
+literals; no loan-grain data reaches the driver.  Arms come from a hash of (seed, loan_id): independent
 of row order and partitioning, so a retried task reassigns identically.
 """
 
@@ -24,18 +25,19 @@ def arm_of(loan_id: Column, seed: int = RANDOM_SEED) -> Column:
     return F.when(h.cast("bigint") % 2 == 1, F.lit("treatment")).otherwise(F.lit("control"))
 
 
-def target_population(s: DataFrame) -> DataFrame:
+def target_population(s: DataFrame, ctx: stats.PricingContext | None = None) -> DataFrame:
     """AB-1: loans in good grades with income >= the good-grade median."""
-    subset = stats.in_good_grades(s)
-    med = stats.income_median_column(subset)
-    return subset.where(F.col("annual_income") >= med)
+    ctx = ctx or stats.pricing_context(s)
+    med = F.lit(ctx.income_median).cast("double")
+    return stats.in_good_grades(s, ctx).where(F.col("annual_income") >= med)
 
 
-def simulate(s: DataFrame, seed: int = RANDOM_SEED) -> DataFrame:
+def simulate(s: DataFrame, ctx: stats.PricingContext | None = None, seed: int = RANDOM_SEED) -> DataFrame:
     """AB-2/3: arm per loan, treatment rate + measured gap, simple-interest
     revenue = amount x rate/100 x term/12."""
-    gap = stats.rate_gap(s).select("rate_gap").scalar()
-    target = target_population(s)
+    ctx = ctx or stats.pricing_context(s)
+    gap = F.lit(ctx.rate_gap).cast("double")
+    target = target_population(s, ctx)
     arm = arm_of(F.col("loan_id"), seed)
     applied = F.when(F.col("arm") == "treatment", F.col("interest_rate") + F.col("_gap")).otherwise(F.col("interest_rate"))
     revenue = (F.col("loan_amount").cast("double") * (F.col("applied_rate") / 100.0)
@@ -105,11 +107,12 @@ def duration(s: DataFrame, sim: DataFrame, comparison: DataFrame,
         F.try_divide(2 * req, monthly_target).alias("months_needed"))
 
 
-def portfolio_lift(s: DataFrame) -> DataFrame:
+def portfolio_lift(s: DataFrame, ctx: stats.PricingContext | None = None) -> DataFrame:
     """AB-7: lift if the measured gap were charged on the whole target:
     sum of amount x gap/100 x term/12."""
-    gap = stats.rate_gap(s).select("rate_gap").scalar()
-    target = target_population(s)
+    ctx = ctx or stats.pricing_context(s)
+    gap = F.lit(ctx.rate_gap).cast("double")
+    target = target_population(s, ctx)
     lift = F.col("loan_amount").cast("double") * (F.col("_gap") / 100.0) * (F.col("term_months") / 12.0)
     target = target.withColumn("_gap", gap).withColumn("_lift", lift)
     return target.agg(count_rows().alias("target_loans"), F.sum("_lift").alias("total_lift"),

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,11 +63,14 @@ def running_before(table: DataFrame, order_cols: Sequence[str], weight_col: str,
     beyond that the work is a range-partitioned sort where no task ever holds
     more than one range.
     """
+    # Cached so the size check and the running sum share one computation.
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
     if small_rows > 0 and table.limit(small_rows + 1).count() <= small_rows:
         w = Window.orderBy(*[_asc(c) for c in order_cols]).rowsBetween(Window.unboundedPreceding, -1)
         return table.withColumn(out_col, F.coalesce(F.sum(weight_col).over(w), F.lit(0)).cast("bigint"))
     ensure_checkpoint_dir(table.sparkSession)
     ordered = table.orderBy(*[_asc(c) for c in order_cols]).checkpoint(eager=True)
+    table.unpersist()
     mid = F.monotonically_increasing_id()
     tagged = (ordered.withColumn("_mid", mid)
                      .withColumn("_pid", F.shiftright(F.col("_mid"), _PID_SHIFT))

@@ -9,6 +9,7 @@ come from ``functions.distributions`` applied to the summary row only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,15 +118,35 @@ def good_grades(s: DataFrame) -> DataFrame:
                         (F.col("default_rate_pct") <= med).alias("is_good"))
 
 
-def in_good_grades(s: DataFrame) -> DataFrame:
-    """PRJ-13: loans whose grade is a good grade (semi join on a grade table)."""
-    good = good_grades(s).where("is_good").select("grade")
-    return s.join(good, "grade", "left_semi")
+@dataclass(frozen=True)
+class PricingContext:
+    """Scalars one pass hands to the next (the reference's two-pass flow):
+    the good grades (bounded by the grade domain), the good-grade median
+    income and the measured rate gap (low-income minus high-income mean)."""
+    good_grades: tuple
+    income_median: float | None
+    rate_gap: float | None
 
 
-def income_median_column(subset: DataFrame) -> Column:
-    """ST-5: exact interpolated median income of a subset, as a scalar."""
-    return ranking.exact_quantiles(subset, "annual_income", [0.5]).select("q0").scalar()
+def _good_subset(s: DataFrame, grades) -> DataFrame:
+    """PRJ-13: loans whose grade is one of the good grades."""
+    return s.where(F.col("grade").isin(*grades)) if grades else s.limit(0)
+
+
+def pricing_context(s: DataFrame) -> PricingContext:
+    """AG-2 + ST-5 + ST-9 in three aggregate passes; only scalars return."""
+    grades = tuple(sorted(r.grade for r in good_grades(s).where("is_good").select("grade").collect()))
+    subset = _good_subset(s, grades)
+    med = ranking.exact_quantiles(subset, "annual_income", [0.5]).first()["q0"]
+    gap = None
+    if med is not None:
+        inc, rate = F.col("annual_income"), F.col("interest_rate")
+        gap = subset.agg(F.avg(F.when(inc < med, rate)) - F.avg(F.when(inc >= med, rate))).first()[0]
+    return PricingContext(grades, med, gap)
+
+
+def in_good_grades(s: DataFrame, ctx: PricingContext | None = None) -> DataFrame:
+    return _good_subset(s, (ctx or pricing_context(s)).good_grades)
 
 
 def welch_columns(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Column):
@@ -141,19 +162,15 @@ def welch_columns(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2
     return t, df, d
 
 
-def underpriced_welch(s: DataFrame) -> DataFrame:
+def underpriced_welch(s: DataFrame, ctx: PricingContext | None = None) -> DataFrame:
     """ST-8: good-grade loans split at the median income; Welch t of rates
     (high-income minus low-income) and Cohen's d."""
-    subset = in_good_grades(s)
-    med = income_median_column(subset)
-    inc = F.col("annual_income")
-    # Scalar subqueries are evaluated in a projection, then aggregated.
-    subset = subset.withColumn("_med", med).withColumn("_hi", inc >= F.col("_med")) \
-                   .withColumn("_lo", inc < F.col("_med"))
-    hi, lo = F.col("_hi"), F.col("_lo")
-    rate = F.col("interest_rate")
+    ctx = ctx or pricing_context(s)
+    subset = in_good_grades(s, ctx)
+    med = F.lit(ctx.income_median).cast("double")
+    inc, rate = F.col("annual_income"), F.col("interest_rate")
+    hi, lo = inc >= med, inc < med
     arms = subset.agg(
-        F.first("_med").alias("_med"),
         F.count_if(hi & rate.isNotNull()).alias("n1"), F.avg(F.when(hi, rate)).alias("m1"),
         F.var_samp(F.when(hi, rate)).alias("v1"),
         F.count_if(lo & rate.isNotNull()).alias("n2"), F.avg(F.when(lo, rate)).alias("m2"),
@@ -161,23 +178,22 @@ def underpriced_welch(s: DataFrame) -> DataFrame:
     c = F.col
     t, df, d = welch_columns(c("n1"), c("m1"), c("v1"), c("n2"), c("m2"), c("v2"))
     return arms.select(
-        F.col("_med").cast("double").alias("income_median"),
+        med.alias("income_median"),
         c("n1").alias("high_income_n"), c("n2").alias("low_income_n"),
         c("m1").alias("high_income_mean_rate"), c("m2").alias("low_income_mean_rate"),
         t.alias("t_stat"), df.alias("welch_df"), d.alias("cohens_d"))
 
 
-def underpriced_welch_test(s: DataFrame) -> DataFrame:
-    res = underpriced_welch(s)
+def underpriced_welch_test(s: DataFrame, ctx: PricingContext | None = None) -> DataFrame:
+    res = underpriced_welch(s, ctx)
     return res.withColumn("p_value", t_p_value(F.col("t_stat"), F.col("welch_df")))
 
 
-def rate_gap(s: DataFrame) -> DataFrame:
+def rate_gap(s: DataFrame, ctx: PricingContext | None = None) -> DataFrame:
     """ST-9: mean rate of low-income minus high-income good-grade loans."""
-    subset = in_good_grades(s)
-    med = income_median_column(subset)
+    ctx = ctx or pricing_context(s)
+    med = F.lit(ctx.income_median).cast("double")
     inc, rate = F.col("annual_income"), F.col("interest_rate")
-    subset = subset.withColumn("_med", med.cast("double"))
-    return subset.agg(
-        (F.avg(F.when(inc < F.col("_med"), rate)) - F.avg(F.when(inc >= F.col("_med"), rate))).alias("rate_gap"),
-        F.first("_med").alias("income_median"))
+    return in_good_grades(s, ctx).agg(
+        (F.avg(F.when(inc < med, rate)) - F.avg(F.when(inc >= med, rate))).alias("rate_gap"),
+        F.first(med).alias("income_median"))

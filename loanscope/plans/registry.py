@@ -131,11 +131,18 @@ def _income_ntile(spark, sf_dir):
     return ranking.ntile(base, "annual_income", 4, "income_quartile")
 
 
-_SIM: dict = {}
+_CTX: dict = {}
+
+
+def _ctx(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CTX:
+        _CTX[key] = stats.pricing_context(_scored(spark, sf_dir))
+    return _CTX[key]
 
 
 def _simulation(spark, sf_dir):
-    return experiment.simulate(_scored(spark, sf_dir))
+    return experiment.simulate(_scored(spark, sf_dir), _ctx(spark, sf_dir))
 
 
 def _ab_compare(spark, sf_dir):
@@ -217,15 +224,15 @@ QUERIES.update({
     "chi_square_test": lambda sp, d: stats.chi_square_test(_scored(sp, d)),
     "correlations": lambda sp, d: stats.correlations(_scored(sp, d)),
     "correlations_test": lambda sp, d: stats.correlations_test(_scored(sp, d)),
-    "underpriced_welch": lambda sp, d: stats.underpriced_welch(_scored(sp, d)),
-    "underpriced_welch_test": lambda sp, d: stats.underpriced_welch_test(_scored(sp, d)),
-    "rate_gap": lambda sp, d: stats.rate_gap(_scored(sp, d)),
+    "underpriced_welch": lambda sp, d: stats.underpriced_welch(_scored(sp, d), _ctx(sp, d)),
+    "underpriced_welch_test": lambda sp, d: stats.underpriced_welch_test(_scored(sp, d), _ctx(sp, d)),
+    "rate_gap": lambda sp, d: stats.rate_gap(_scored(sp, d), _ctx(sp, d)),
     "ab_assign": lambda sp, d: experiment.assignments(_simulation(sp, d)),
     "ab_compare": _ab_compare,
     "ab_compare_test": lambda sp, d: experiment.compare_arms_test(_simulation(sp, d)),
     "ab_power": lambda sp, d: experiment.power(_ab_compare(sp, d)),
     "ab_duration": lambda sp, d: experiment.duration(_scored(sp, d), _simulation(sp, d), _ab_compare(sp, d)),
-    "portfolio_lift": lambda sp, d: experiment.portfolio_lift(_scored(sp, d)),
+    "portfolio_lift": lambda sp, d: experiment.portfolio_lift(_scored(sp, d), _ctx(sp, d)),
     "model_split": lambda sp, d: model.stratified_split(model.model_frame(_scored(sp, d))).select(
         "loan_id", "is_default", F.col("is_train").cast("bigint").alias("is_train")),
     "model_coefficients": _model_coefficients,
