@@ -117,3 +117,27 @@ def portfolio_lift(s: DataFrame, ctx: stats.PricingContext | None = None) -> Dat
     target = target.withColumn("_gap", gap).withColumn("_lift", lift)
     return target.agg(count_rows().alias("target_loans"), F.sum("_lift").alias("total_lift"),
                       F.avg("_lift").alias("lift_per_loan"))
+
+
+def power_by_segment(sim: DataFrame, seg: DataFrame, alpha: float = 0.05,
+                     power_: float = 0.80) -> DataFrame:
+    """AB-5 per segment: within each risk x value segment of the target,
+    the simulated arm comparison's Cohen's d and the n per arm a live test
+    would need.  One aggregate over (segment, arm) cells."""
+    rev = F.col("simulated_interest_revenue")
+    tr, ct = F.col("arm") == "treatment", F.col("arm") == "control"
+    cells = (sim.join(seg.select("loan_id", "segment"), "loan_id")
+                .groupBy("segment").agg(
+                    F.count_if(tr).alias("treatment_n"), F.avg(F.when(tr, rev)).alias("_mt"),
+                    F.var_samp(F.when(tr, rev)).alias("_vt"),
+                    F.count_if(ct).alias("control_n"), F.avg(F.when(ct, rev)).alias("_mc"),
+                    F.var_samp(F.when(ct, rev)).alias("_vc")))
+    c = F.col
+    _, _, d = stats.welch_columns(c("treatment_n"), c("_mt"), c("_vt"), c("control_n"), c("_mc"), c("_vc"))
+    k = F.lit(power_constant(alpha, power_))
+    return cells.select(
+        "segment", "control_n", "treatment_n",
+        (c("_mt") - c("_mc")).alias("lift_per_loan"),
+        d.alias("cohens_d"),
+        F.try_divide(k, d * d).alias("required_n_per_arm"),
+        F.least("control_n", "treatment_n").alias("available_per_arm")).orderBy("segment")

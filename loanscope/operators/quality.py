@@ -75,3 +75,8 @@ def reconcile(raw: DataFrame, clean: DataFrame) -> DataFrame:
     return (raw.agg(count_rows().alias("raw_rows"))
                .withColumn("clean_rows", clean_n)
                .withColumn("dropped_rows", F.col("raw_rows") - F.col("clean_rows")))
+
+
+def sample_rows(clean: DataFrame, n: int = 5, order_col: str = "loan_id") -> DataFrame:
+    """SRC-10: the first ``n`` rows in ingest order (a distributed top-k)."""
+    return clean.orderBy(order_col).limit(n)

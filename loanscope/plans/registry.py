@@ -79,6 +79,7 @@ QUERIES: dict[str, QueryFn] = {
     "dq_ranges": _dq_ranges,
     "dq_status": _dq_status,
     "dq_reconcile": _dq_reconcile,
+    "clean_sample": lambda sp, d: quality.sample_rows(tables.clean_loans(sp, d)),
     "clean_loans": _clean_loans,
     "loans_scored": _loans_scored,
     "q01_default_rate": _on_scored(portfolio.q01_default_rate_by_grade),
@@ -231,6 +232,7 @@ QUERIES.update({
     "ab_compare": _ab_compare,
     "ab_compare_test": lambda sp, d: experiment.compare_arms_test(_simulation(sp, d)),
     "ab_power": lambda sp, d: experiment.power(_ab_compare(sp, d)),
+    "ab_power_by_segment": lambda sp, d: experiment.power_by_segment(_simulation(sp, d), _seg(sp, d)),
     "ab_duration": lambda sp, d: experiment.duration(_scored(sp, d), _simulation(sp, d), _ab_compare(sp, d)),
     "portfolio_lift": lambda sp, d: experiment.portfolio_lift(_scored(sp, d), _ctx(sp, d)),
     "model_split": lambda sp, d: model.stratified_split(model.model_frame(_scored(sp, d))).select(
@@ -245,7 +247,7 @@ QUERIES.update({
 # decimal places (their oracle rounds the same way).
 ROUNDED_6 = ("chi_square", "chi_square_test", "correlations", "correlations_test",
              "underpriced_welch", "underpriced_welch_test", "rate_gap", "ab_compare",
-             "ab_compare_test", "ab_power", "ab_duration", "portfolio_lift")
+             "ab_compare_test", "ab_power", "ab_power_by_segment", "ab_duration", "portfolio_lift")
 
 
 def _round_doubles(fn: QueryFn, digits: int = 6) -> QueryFn:
