@@ -79,9 +79,10 @@ def power(comparison: DataFrame, alpha: float = 0.05, power_: float = 0.80) -> D
     """AB-5: required n per arm = 2 (z_{1-a/2} + z_power)^2 / d^2 (NULL when d = 0)."""
     k = F.lit(power_constant(alpha, power_))
     d = F.col("cohens_d")
+    # K / d^2 magnifies the last bits of a small d: report to 0.1 of a loan.
     return comparison.select(
         "cohens_d",
-        F.try_divide(k, d * d).alias("required_n_per_arm"),
+        F.round(F.try_divide(k, d * d), 1).alias("required_n_per_arm"),
         F.least("control_n", "treatment_n").alias("available_per_arm"))
 
 
@@ -96,7 +97,8 @@ def duration(s: DataFrame, sim: DataFrame, comparison: DataFrame,
     year = (F.lit(run_rate_year) if run_rate_year is not None
             else s.agg(F.max("issue_year") - 1).scalar())
     year_volume = s.where(F.col("issue_year") == year).agg(count_rows()).scalar()
-    req = power(comparison, alpha, power_).select("required_n_per_arm").scalar()
+    d = comparison.select("cohens_d").scalar()
+    req = F.try_divide(F.lit(power_constant(alpha, power_)), d * d)
     share = target_n.cast("double") / total.cast("double")
     monthly_target = year_volume.cast("double") / 12.0 * share
     return comparison.select(
@@ -139,5 +141,5 @@ def power_by_segment(sim: DataFrame, seg: DataFrame, alpha: float = 0.05,
         "segment", "control_n", "treatment_n",
         (c("_mt") - c("_mc")).alias("lift_per_loan"),
         d.alias("cohens_d"),
-        F.try_divide(k, d * d).alias("required_n_per_arm"),
+        F.round(F.try_divide(k, d * d), 1).alias("required_n_per_arm"),
         F.least("control_n", "treatment_n").alias("available_per_arm")).orderBy("segment")
