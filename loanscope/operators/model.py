@@ -21,6 +21,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,39 +76,61 @@ def _weights(train: DataFrame, label: str = LABEL):
     return {k: n / (len(counts) * v) for k, v in counts.items()}, n
 
 
-def fit(split: DataFrame, max_iter: int = 1000, tol: float = 1e-6):
-    """ML-4: returns (fitted pipeline model, feature names, scaled rows).
-
-    The split is checkpointed first (reliable checkpoint in the shared folder):
-    the scaler, the class weights and every L-BFGS pass read it back instead
-    of re-ranking the loans."""
-    split = split.checkpoint(eager=True)
-    z = standardise(split)
-    train = z.where("is_train")
-    weights, n_train = _weights(train)
-    w_col = F.when(F.col(LABEL) == 1, F.lit(weights.get(1, 0.0))).otherwise(F.lit(weights.get(0, 0.0)))
+def design_matrix(z: DataFrame):
+    """ML-1 (+ the ML-3 columns): one-hot grade and purpose with the
+    alphabetically first level dropped, assembled after the standardised
+    numerics.  Levels come from all rows (dummies are made before the split).
+    Returns (frame with a ``features`` vector, feature names)."""
     indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetDesc")
                 for c in CATEGORICAL]
     encoder = OneHotEncoder(inputCols=[f"{c}_idx" for c in CATEGORICAL],
                             outputCols=[f"{c}_oh" for c in CATEGORICAL], dropLast=True)
     assembler = VectorAssembler(inputCols=[f"{c}_z" for c in NUMERIC] + [f"{c}_oh" for c in CATEGORICAL],
                                 outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol=LABEL, weightCol="w",
-                            regParam=1.0 / n_train, elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter, tol=tol)
-    pipe = Pipeline(stages=[*indexers, encoder, assembler, lr])
-    model = pipe.fit(train.withColumn("w", w_col))
+    stages = Pipeline(stages=[*indexers, encoder, assembler]).fit(z)
     names = list(NUMERIC)
-    for c, idx_model in zip(CATEGORICAL, model.stages[:len(CATEGORICAL)]):
+    for c, idx_model in zip(CATEGORICAL, stages.stages[:len(CATEGORICAL)]):
         labels = list(idx_model.labels)  # alphabetically descending
         # dropLast removes the last index = the alphabetically first level.
         names += [f"{c}_{v}" for v in labels[:-1]]
-    return model, names, z
+    return stages.transform(z), names
+
+
+def features_long(design: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The design matrix in sparse long form: one row per non-zero entry."""
+    arr = vector_to_array(F.col("features"))
+    names_arr = F.array(*[F.lit(n) for n in names])
+    return (design.select("loan_id", F.col("is_train").cast("bigint").alias("is_train"),
+                          F.posexplode(arr).alias("_pos", "value"))
+                  .where(F.col("value") != 0)
+                  .select("loan_id", "is_train", F.element_at(names_arr, F.col("_pos") + 1).alias("feature"),
+                          "value"))
+
+
+def prepared(split: DataFrame):
+    """Checkpointed split -> standardised design matrix (shared by the fit
+    and the feature report).  The reliable checkpoint in the shared folder
+    means the scaler, the class weights and every L-BFGS pass read the split
+    back instead of re-ranking the loans."""
+    split = split.checkpoint(eager=True)
+    return design_matrix(standardise(split))
+
+
+def fit(split: DataFrame, max_iter: int = 1000, tol: float = 1e-6):
+    """ML-4: returns (fitted model, feature names, design matrix)."""
+    design, names = prepared(split)
+    train = design.where("is_train")
+    weights, n_train = _weights(train)
+    w_col = F.when(F.col(LABEL) == 1, F.lit(weights.get(1, 0.0))).otherwise(F.lit(weights.get(0, 0.0)))
+    lr = LogisticRegression(featuresCol="features", labelCol=LABEL, weightCol="w",
+                            regParam=1.0 / n_train, elasticNetParam=0.0,
+                            standardization=False, maxIter=max_iter, tol=tol)
+    return lr.fit(train.withColumn("w", w_col)), names, design
 
 
 def coefficients(model, names: Sequence[str], spark) -> DataFrame:
     """ML-7: signed coefficients, ascending."""
-    coef = model.stages[-1].coefficients.toArray().tolist()
+    coef = model.coefficients.toArray().tolist()
     rows = [(n, float(v)) for n, v in zip(names, coef)]
     return spark.createDataFrame(rows, "feature string, coefficient double").orderBy("coefficient")
 
@@ -119,7 +142,7 @@ def top_coefficients(coefs: DataFrame, k: int = 10) -> DataFrame:
 def evaluate(model, z: DataFrame) -> DataFrame:
     """ML-5/6: accuracy, precision, recall and exact AUC on the test rows."""
     test = z.where(~F.col("is_train"))
-    pred = model.transform(test.withColumn("w", F.lit(1.0)))
+    pred = model.transform(test)
     y, yhat = F.col(LABEL), F.col("prediction").cast("int")
     m = pred.agg(count_rows().alias("n"),
                  F.count_if(y == yhat).alias("correct"),

@@ -161,6 +161,11 @@ def _fitted(spark, sf_dir):
     return _MODELS[key]
 
 
+def _model_features(spark, sf_dir):
+    _, names, design = _fitted(spark, sf_dir)  # the matrix the model was fit on
+    return model.features_long(design, names).withColumn("value", F.round("value", 9))
+
+
 def _model_coefficients(spark, sf_dir):
     m, names, _ = _fitted(spark, sf_dir)
     return model.coefficients(m, names, spark)
@@ -237,6 +242,7 @@ QUERIES.update({
     "portfolio_lift": lambda sp, d: experiment.portfolio_lift(_scored(sp, d), _ctx(sp, d)),
     "model_split": lambda sp, d: model.stratified_split(model.model_frame(_scored(sp, d))).select(
         "loan_id", "is_default", F.col("is_train").cast("bigint").alias("is_train")),
+    "model_features": _model_features,
     "model_coefficients": _model_coefficients,
     "model_top_features": lambda sp, d: model.top_coefficients(_model_coefficients(sp, d)),
     "model_metrics": _model_metrics,
