@@ -32,6 +32,26 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Partition sizing that follows the input size.
+
+    Scan splits and the initial shuffle fan-out aim at ~``target_partition_bytes``
+    per task (so a task's sort/aggregate buffers fit executor memory at any
+    scale), never fewer than 2 tasks per core; AQE then coalesces small
+    partitions and splits skewed join partitions at runtime.  At 100 TB this
+    gives ~400k shuffle partitions before coalescing; locally, a few dozen.
+    """
+    by_size = max(1, input_bytes // target_partition_bytes)
+    partitions = int(max(2 * cores, min(by_size, 500_000)))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's reliable checkpoint dir.
 
