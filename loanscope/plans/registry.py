@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,13 +134,15 @@ def _income_ntile(spark, sf_dir):
 
 
 _CTX: dict = {}
+_LOCK = threading.RLock()
 
 
 def _ctx(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CTX:
-        _CTX[key] = stats.pricing_context(_scored(spark, sf_dir))
-    return _CTX[key]
+    with _LOCK:
+        if key not in _CTX:
+            _CTX[key] = stats.pricing_context(_scored(spark, sf_dir))
+        return _CTX[key]
 
 
 def _simulation(spark, sf_dir):
@@ -155,10 +158,11 @@ _MODELS: dict = {}
 
 def _fitted(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODELS:
-        split = model.stratified_split(model.model_frame(_scored(spark, sf_dir)))
-        _MODELS[key] = model.fit(split)
-    return _MODELS[key]
+    with _LOCK:
+        if key not in _MODELS:
+            split = model.stratified_split(model.model_frame(_scored(spark, sf_dir)))
+            _MODELS[key] = model.fit(split)
+        return _MODELS[key]
 
 
 def _model_features(spark, sf_dir):

@@ -10,6 +10,7 @@ instead of recomputing the ingest.
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,8 @@ from ..session import scratch_path
 from . import fixture
 
 _MATERIALISED: dict[tuple[str, str], str] = {}
+# Re-entrant: building one table may materialise the table it is built from.
+_LOCK = threading.RLock()
 
 
 def raw_loans(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
@@ -38,6 +41,12 @@ def clean_loans(spark: SparkSession, sf_dir: str, materialise: bool = True) -> D
 def _materialise(spark: SparkSession, sf_dir: str, name: str, build,
                  partition_by: tuple = ()) -> DataFrame:
     key = (spark.sparkContext.applicationId, f"{name}:{sf_dir}")
+    with _LOCK:
+        path = _build_once(spark, sf_dir, name, build, partition_by, key)
+    return spark.read.parquet(path)
+
+
+def _build_once(spark, sf_dir, name, build, partition_by, key) -> str:
     path = _MATERIALISED.get(key)
     if path is None:
         tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
@@ -47,7 +56,7 @@ def _materialise(spark: SparkSession, sf_dir: str, name: str, build,
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
         _MATERIALISED[key] = path
-    return spark.read.parquet(path)
+    return path
 
 
 def segmented_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
