@@ -78,3 +78,13 @@ def scored_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
                       lambda: score(clean_loans(spark, sf_dir)).sortWithinPartitions("grade", "purpose"),
                       partition_by=("is_completed",))
     return df.select(*cols)
+
+
+def register_views(spark: SparkSession, sf_dir: str) -> list[str]:
+    """SRC-6: expose the stage tables to ``spark.sql`` as temp views
+    (``loans_raw``, ``loans``, ``loans_scored``); replaced on every call."""
+    views = {"loans_raw": raw_loans(spark, sf_dir), "loans": clean_loans(spark, sf_dir),
+             "loans_scored": scored_loans(spark, sf_dir)}
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return list(views)
