@@ -21,6 +21,7 @@ size is bounded by the number of groups, not by the number of loans.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -52,6 +53,19 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how=
 # checked bound, not an assumption.  Larger ones use the range-sorted form.
 SMALL_TABLE_ROWS = 1_000_000
 
+# Frequency tables cached for the size check.  Only the most recent ones stay
+# cached; an evicted table is simply recomputed from its lineage if reused.
+_CACHED: deque = deque()
+MAX_CACHED = 32
+
+
+def _cache(df: DataFrame) -> DataFrame:
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _CACHED.append(df)
+    while len(_CACHED) > MAX_CACHED:
+        _CACHED.popleft().unpersist()
+    return df
+
 
 def running_before(table: DataFrame, order_cols: Sequence[str], weight_col: str,
                    out_col: str = "_before", small_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
@@ -64,7 +78,7 @@ def running_before(table: DataFrame, order_cols: Sequence[str], weight_col: str,
     more than one range.
     """
     # Cached so the size check and the running sum share one computation.
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    table = _cache(table)
     if small_rows > 0 and table.limit(small_rows + 1).count() <= small_rows:
         w = Window.orderBy(*[_asc(c) for c in order_cols]).rowsBetween(Window.unboundedPreceding, -1)
         return table.withColumn(out_col, F.coalesce(F.sum(weight_col).over(w), F.lit(0)).cast("bigint"))
