@@ -1,7 +1,8 @@
 """Dashboard export forms (AG-6..8) and CSV sinks (SRC-8).
 
-The exports round half-to-even, as the reference's pandas ``.round`` does; the
-SQL questions (Q1, Q6, Q10) round half-away-from-zero.
+The exports round half-to-even, as the reference's pandas ``.round`` does, and
+drop NULL group keys as pandas' ``groupby`` does; the SQL questions (Q1, Q6,
+Q10) round half-away-from-zero and keep a NULL group.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def _ratio_pct_even(num: str, den: str) -> F.Column:
 
 def default_rate_by_grade(s: DataFrame) -> DataFrame:
     """AG-6."""
-    g = (s.where(F.col("is_completed") == 1).groupBy("grade")
+    g = (s.where((F.col("is_completed") == 1) & F.col("grade").isNotNull()).groupBy("grade")
           .agg(count_rows().alias("completed_loans"),
                sum_long(F.col("is_default")).alias("defaulted_loans")))
     return g.withColumn("default_rate_pct", _ratio_pct_even("defaulted_loans", "completed_loans")).orderBy("grade")
@@ -39,7 +40,7 @@ def cohort_analysis(s: DataFrame) -> DataFrame:
 
 def realized_margin_by_grade(s: DataFrame) -> DataFrame:
     """AG-8: sums, margin after subtraction, each rounded half-even to units."""
-    g = (s.where(F.col("is_completed") == 1).groupBy("grade")
+    g = (s.where((F.col("is_completed") == 1) & F.col("grade").isNotNull()).groupBy("grade")
           .agg(F.sum("interest_received").alias("i"), F.sum(unrecovered_loss()).alias("l")))
     return g.select(
         "grade",
