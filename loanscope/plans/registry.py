@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -189,26 +190,38 @@ def _ingest_summary(raw: DataFrame) -> DataFrame:
                    F.countDistinct("loan_id").alias("distinct_loan_ids"))
 
 
+_STAGED: dict = {}
+
+
+def _staged_csv(spark, sf_dir) -> str:
+    """The raw records as CSV text (the input format of the ingest), staged
+    once per application under the shared checkpoint folder."""
+    from ..session import scratch_path
+    from ..sources import csv_ingest
+    key = (spark.sparkContext.applicationId, sf_dir)
+    with _LOCK:
+        if key not in _STAGED:
+            path = scratch_path(spark, "staged_csv", uuid.uuid4().hex)
+            csv_ingest.write_raw_csv(tables.raw_loans(spark, sf_dir), path)
+            _STAGED[key] = path
+        return _STAGED[key]
+
+
 def _csv_ingest(spark, sf_dir):
-    """SRC-1..3: raw records staged as CSV text, ingested back to Parquet."""
+    """SRC-1..3: CSV text ingested to a fresh Parquet raw table."""
     from ..session import scratch_path
     from ..sources import csv_ingest
-    import uuid
-    base = scratch_path(spark, "csv_ingest", uuid.uuid4().hex)
-    csv_ingest.write_raw_csv(tables.raw_loans(spark, sf_dir), f"{base}/csv")
-    csv_ingest.ingest_csv(spark, f"{base}/csv", f"{base}/raw")
-    return _ingest_summary(spark.read.parquet(f"{base}/raw"))
+    out = scratch_path(spark, "csv_ingest", uuid.uuid4().hex)
+    csv_ingest.ingest_csv(spark, _staged_csv(spark, sf_dir), out)
+    return _ingest_summary(spark.read.parquet(out))
 
 
 def _stream_ingest(spark, sf_dir):
     """Same CSV files appended micro-batch by micro-batch with a file stream."""
     from ..session import scratch_path
-    from ..sources import csv_ingest
     from ..streaming.ingest import run_csv_append
-    import uuid
     base = scratch_path(spark, "stream_ingest", uuid.uuid4().hex)
-    csv_ingest.write_raw_csv(tables.raw_loans(spark, sf_dir), f"{base}/csv")
-    out = run_csv_append(spark, f"{base}/csv", f"{base}/raw", f"{base}/_checkpoint",
+    out = run_csv_append(spark, _staged_csv(spark, sf_dir), f"{base}/raw", f"{base}/_checkpoint",
                          max_files_per_trigger=2)
     return _ingest_summary(out)
 
