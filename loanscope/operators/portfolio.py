@@ -40,7 +40,7 @@ def q02_grade_purpose(s: DataFrame, small_n: int = SMALL_SAMPLE_N) -> DataFrame:
              .orderBy("grade", "purpose"))
 
 
-def purpose_risk(s: DataFrame) -> DataFrame:
+def purpose_default_rates(s: DataFrame) -> DataFrame:
     return (s.where(_completed()).groupBy("purpose")
              .agg(count_rows().alias("completed_loans"),
                   sum_long(F.col("is_default")).alias("defaults"))
@@ -48,7 +48,7 @@ def purpose_risk(s: DataFrame) -> DataFrame:
 
 
 def q03_riskiest_purposes(s: DataFrame, top: int = 10) -> DataFrame:
-    ranked = ranking.competition_rank_desc(purpose_risk(s), "default_rate_pct", "risk_rank")
+    ranked = ranking.competition_rank_desc(purpose_default_rates(s), "default_rate_pct", "risk_rank")
     return ranked.orderBy("risk_rank", "purpose").limit(top)
 
 
