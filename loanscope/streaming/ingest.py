@@ -3,7 +3,8 @@
 The reference loads its CSV in chunks, replacing the table with the first
 chunk and appending the rest.  Here new CSV files landing in a folder are
 appended to the Parquet ``loans_raw`` table by a file-source stream.  Each
-micro-batch is written by ``foreachBatch`` with a stable ``loan_id``
+micro-batch is written by ``foreachBatch`` into its own ``batch_id=`` folder
+(overwrite, so a replayed batch is idempotent) with a stable ``loan_id``
 (micro-batch id in the high bits, in-batch ingest order below), and progress
 lives in a checkpoint folder under the shared checkpoint dir, so a restarted
 or retried run neither skips nor duplicates files.
@@ -35,10 +36,11 @@ def start_csv_append(spark: SparkSession, csv_dir: str, table_path: str, checkpo
             .csv(csv_dir))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        # foreachBatch is at-least-once: a replayed batch overwrites its own
+        # folder instead of appending twice, so the table stays exact.
         typed = typed_raw(batch, extra_text_cols)
         typed = typed.withColumn("loan_id", F.col("loan_id") + F.lit(batch_id << _BATCH_SHIFT))
-        mode = "overwrite" if batch_id == 0 else "append"
-        typed.write.mode(mode).parquet(table_path)
+        typed.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")
 
     writer = (text.writeStream.foreachBatch(write_batch)
               .option("checkpointLocation", checkpoint))
@@ -50,4 +52,4 @@ def run_csv_append(spark: SparkSession, csv_dir: str, table_path: str, checkpoin
                    max_files_per_trigger: int = 1) -> DataFrame:
     q = start_csv_append(spark, csv_dir, table_path, checkpoint, max_files_per_trigger)
     q.awaitTermination()
-    return spark.read.parquet(table_path)
+    return spark.read.parquet(table_path).drop("batch_id")
