@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from loanscope.operators import model
@@ -56,3 +57,16 @@ def test_logistic_regression_matches_newton(spark):
         assert coefs[k] == pytest.approx(v, abs=2e-4), k
     m = model.evaluate(fitted, z).first()
     assert 0.5 < m.auc < 1.0 and m.test_rows == sum(t - tr_ for t, tr_ in counts.values())
+    # Brute force on the test rows: rank-sum AUC and confusion counts.
+    pred = fitted.transform(z.where("not is_train")).select(
+        "is_default", "prediction", vector_to_array("probability")[1].alias("p")).toPandas()
+    ranks = pred["p"].rank(method="average")
+    pos = pred["is_default"] == 1
+    n1, n0 = pos.sum(), (~pos).sum()
+    auc = (ranks[pos].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
+    assert m.auc == pytest.approx(auc, abs=1e-9)
+    yhat = pred["prediction"].astype(int)
+    tp = int(((yhat == 1) & pos).sum()); fp = int(((yhat == 1) & ~pos).sum()); fn = int(((yhat == 0) & pos).sum())
+    assert m.accuracy == pytest.approx((yhat == pred["is_default"]).mean(), abs=1e-12)
+    assert m.precision == pytest.approx(tp / (tp + fp), abs=1e-12)
+    assert m.recall == pytest.approx(tp / (tp + fn), abs=1e-12)
