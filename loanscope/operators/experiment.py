@@ -121,15 +121,14 @@ def portfolio_lift(s: DataFrame, ctx: stats.PricingContext | None = None) -> Dat
                       F.avg("_lift").alias("lift_per_loan"))
 
 
-def power_by_segment(sim: DataFrame, seg: DataFrame, alpha: float = 0.05,
-                     power_: float = 0.80) -> DataFrame:
+def power_by_segment(sim: DataFrame, alpha: float = 0.05, power_: float = 0.80) -> DataFrame:
     """AB-5 per segment: within each risk x value segment of the target,
     the simulated arm comparison's Cohen's d and the n per arm a live test
-    would need.  One aggregate over (segment, arm) cells."""
+    would need.  ``sim`` is a simulation run over the segmented loans, so the
+    segment label travels with each loan: one aggregate, no join."""
     rev = F.col("simulated_interest_revenue")
     tr, ct = F.col("arm") == "treatment", F.col("arm") == "control"
-    cells = (sim.join(seg.select("loan_id", "segment"), "loan_id")
-                .groupBy("segment").agg(
+    cells = (sim.groupBy("segment").agg(
                     F.count_if(tr).alias("treatment_n"), F.avg(F.when(tr, rev)).alias("_mt"),
                     F.var_samp(F.when(tr, rev)).alias("_vt"),
                     F.count_if(ct).alias("control_n"), F.avg(F.when(ct, rev)).alias("_mc"),

@@ -116,9 +116,10 @@ def value_frequencies(df: DataFrame, keys: Sequence[str], value: str,
                                       F.sum("_c").alias("_n"))
         freq = _null_safe_join(freq, grp, keys)
     else:
-        # One number for the whole frame: fetched once rather than carried as
-        # a scalar subquery that every downstream expression would repeat.
-        n = src.agg(F.count(F.lit(1))).first()[0]
+        # One number for the whole frame, summed from the (cached) frequency
+        # table and fetched once rather than carried as a scalar subquery
+        # that every downstream expression would repeat.
+        n = freq.agg(F.sum("_c")).first()[0] or 0
         freq = freq.withColumn("_gstart", F.lit(0).cast("bigint")).withColumn("_n", F.lit(n).cast("bigint"))
     return (freq.withColumn("_before", F.col("_gbefore") - F.col("_gstart"))
                 .drop("_gbefore", "_gstart"))

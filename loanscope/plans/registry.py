@@ -254,7 +254,8 @@ QUERIES.update({
     "ab_compare": _ab_compare,
     "ab_compare_test": lambda sp, d: experiment.compare_arms_test(_simulation(sp, d)),
     "ab_power": lambda sp, d: experiment.power(_ab_compare(sp, d)),
-    "ab_power_by_segment": lambda sp, d: experiment.power_by_segment(_simulation(sp, d), _seg(sp, d)),
+    "ab_power_by_segment": lambda sp, d: experiment.power_by_segment(
+        experiment.simulate(_seg(sp, d), _ctx(sp, d))),
     "ab_duration": lambda sp, d: experiment.duration(_scored(sp, d), _simulation(sp, d), _ab_compare(sp, d)),
     "portfolio_lift": lambda sp, d: experiment.portfolio_lift(_scored(sp, d), _ctx(sp, d)),
     "model_split": lambda sp, d: model.stratified_split(model.model_frame(_scored(sp, d))).select(
