@@ -45,7 +45,12 @@ def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 <
     """
     by_size = max(1, input_bytes // target_partition_bytes)
     partitions = int(max(2 * cores, min(by_size, 500_000)))
+    # Row groups are the unit a Parquet scan can split on: 128 MB at scale,
+    # smaller when the whole input is small so stage tables still spread over
+    # every core when read back.
+    row_group = int(min(128 << 20, max(4 << 20, input_bytes // (4 * cores))))
     return {
+        "spark.hadoop.parquet.block.size": str(row_group),
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
