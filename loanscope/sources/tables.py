@@ -62,8 +62,10 @@ def _build_once(spark, sf_dir, name, build, partition_by, key) -> str:
 def segmented_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored loans with risk/value segments, written once per application."""
     from ..operators.segments import build_segments
+    # Partitioned like loans_scored: the outcome reports read completed loans only.
     return _materialise(spark, sf_dir, "segments",
-                        lambda: build_segments(scored_loans(spark, sf_dir)))
+                        lambda: build_segments(scored_loans(spark, sf_dir)),
+                        partition_by=("is_completed",))
 
 
 def scored_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
