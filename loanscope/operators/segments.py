@@ -14,7 +14,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import count_rows, mean_double, pct
+from ..functions.measures import count_rows, mean_double
 from ..schema import (RISK_TIER_LABELS, SCENARIO_MULTIPLIERS, SEGMENT_SEPARATOR,
                       UNSCORED_LABEL, VALUE_TIER_LABELS)
 from . import ranking
