@@ -167,20 +167,22 @@ def ntile(df: DataFrame, value: str, k: int, out_col: str, tie_col: str = "loan_
     freq = value_frequencies(df, [], value)
     lo = _ntile_of(F.col("_before"), F.col("_n"), k)
     hi = _ntile_of(F.col("_before") + F.col("_c") - 1, F.col("_n"), k)
-    freq = freq.select(value, "_before", "_n", lo.alias("_lo"), hi.alias("_hi"))
+    freq = freq.select(value, "_before", "_c", "_n", lo.alias("_lo"), hi.alias("_hi"))
 
     whole = freq.where(F.col("_lo") == F.col("_hi")).select(value, F.col("_lo").alias(out_col))
     plain = _null_safe_join(df, whole, [value])
 
-    # At most k-1 straddling values: a bounded table, safe to broadcast.
-    split = freq.where(F.col("_lo") != F.col("_hi")).select(value, "_before", "_n")
+    # At most k-1 straddling values: a bounded table, safe to broadcast.  Its
+    # running count of peers gives each value's offset inside the subset.
+    split = (freq.where(F.col("_lo") != F.col("_hi"))
+                 .withColumn("_sbefore", F.coalesce(F.sum("_c").over(
+                     Window.orderBy(_asc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                 .select(value, "_before", "_n", "_sbefore"))
     rows = _null_safe_join(df, F.broadcast(split), [value])
     rows = running_before(rows.withColumn("_one", F.lit(1)), [value, tie_col], "_one", "_rb")
-    first = rows.groupBy(value).agg(F.min("_rb").alias("_rb0"))
-    rows = _null_safe_join(rows, F.broadcast(first), [value])
-    pos = F.col("_before") + F.col("_rb") - F.col("_rb0")
+    pos = F.col("_before") + F.col("_rb") - F.col("_sbefore")
     straddled = rows.withColumn(out_col, _ntile_of(pos, F.col("_n"), k)).drop(
-        "_one", "_rb", "_rb0", "_before", "_n")
+        "_one", "_rb", "_sbefore", "_before", "_n")
     return plain.unionByName(straddled)
 
 
