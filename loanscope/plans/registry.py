@@ -226,7 +226,30 @@ def _stream_ingest(spark, sf_dir):
     return _ingest_summary(out)
 
 
+def _export_csv(spark, sf_dir):
+    """SRC-8: the dashboard reports written as headed CSVs (key column first),
+    read back: one row per report with its row count."""
+    from ..session import scratch_path
+    base = scratch_path(spark, "export_csv", uuid.uuid4().hex)
+    sc, sg = _scored(spark, sf_dir), _seg(spark, sf_dir)
+    reports = {
+        "default_rate_by_grade": (export.default_rate_by_grade(sc), "grade"),
+        "cohort_analysis": (export.cohort_analysis(sc), "issue_year"),
+        "realized_margin_by_grade": (export.realized_margin_by_grade(sc), "grade"),
+        "segment_sensitivity": (segments.segment_sensitivity(sg), "segment"),
+        "segment_summary": (segments.segment_summary(sg), "segment"),
+    }
+    out = None
+    for name, (df, key) in reports.items():
+        export.write_csv(df, f"{base}/{name}", key)
+        back = (spark.read.option("header", True).csv(f"{base}/{name}")
+                .agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("report"), "n_rows"))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
 QUERIES.update({
+    "export_csv": _export_csv,
     "csv_ingest": _csv_ingest,
     "stream_ingest": _stream_ingest,
     "good_grades": _good_grades,
