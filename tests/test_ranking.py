@@ -61,7 +61,9 @@ def test_average_rank_pct_matches_pandas(spark, frame):
     assert np.allclose(both["p"].fillna(-1), both["mine"].fillna(-1), rtol=0, atol=1e-12)
 
 
-def test_exact_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("small_rows", [1_000_000, 0])
+def test_exact_quantiles_match_numpy(spark, small_rows, monkeypatch):
+    monkeypatch.setattr(ranking.running_before, "__defaults__", ("_before", small_rows))
     vals = [float(x) for x in np.random.default_rng(3).integers(0, 50, 1001)] + [None]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     probs = [0, 0.1, 1 / 3, 0.5, 2 / 3, 0.99, 1]
