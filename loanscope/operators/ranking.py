@@ -51,6 +51,8 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how=
 
 # Tables up to this many rows take the running sum in one window task: a
 # checked bound, not an assumption.  Larger ones use the range-sorted form.
+# Tunable per session with ``spark.loanscope.smallTableRows`` (0 = always
+# range-sort).
 SMALL_TABLE_ROWS = 1_000_000
 
 # Frequency tables cached for the size check.  Only the most recent ones stay
@@ -68,7 +70,7 @@ def _cache(df: DataFrame) -> DataFrame:
 
 
 def running_before(table: DataFrame, order_cols: Sequence[str], weight_col: str,
-                   out_col: str = "_before", small_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
+                   out_col: str = "_before", small_rows: int | None = None) -> DataFrame:
     """Add ``out_col`` = sum of ``weight_col`` over all rows strictly before each
     row in the total order ``order_cols`` (ascending, NULLs first).
 
@@ -77,6 +79,9 @@ def running_before(table: DataFrame, order_cols: Sequence[str], weight_col: str,
     beyond that the work is a range-partitioned sort where no task ever holds
     more than one range.
     """
+    if small_rows is None:
+        small_rows = int(table.sparkSession.conf.get("spark.loanscope.smallTableRows",
+                                                     str(SMALL_TABLE_ROWS)))
     # Cached so the size check and the running sum share one computation.
     table = _cache(table)
     if small_rows > 0 and table.limit(small_rows + 1).count() <= small_rows:

@@ -93,3 +93,22 @@ def test_upper_median_even_and_odd(spark):
     even = spark.createDataFrame([(x,) for x in [4.0, 1.0, 3.0, 2.0]], "r double")
     assert ranking.upper_median(odd, "r").first()[0] == 3.0
     assert ranking.upper_median(even, "r").first()[0] == 3.0  # offset n div 2, not 2.5
+
+
+def test_session_conf_selects_range_sorted_path(spark, frame):
+    def plan_of(df):
+        import io
+        from contextlib import redirect_stdout
+        buf = io.StringIO()
+        with redirect_stdout(buf):
+            df.explain()
+        return buf.getvalue()
+    spark.conf.set("spark.loanscope.smallTableRows", "0")
+    try:
+        ranged = ranking.running_before(frame.where("v is not null"), ["loan_id"], "v")
+        assert "monotonically_increasing_id" in plan_of(ranged)  # per-partition offsets of the range sort
+    finally:
+        spark.conf.unset("spark.loanscope.smallTableRows")
+    small = ranking.running_before(frame.where("v is not null"), ["loan_id"], "v")
+    assert "monotonically_increasing_id" not in plan_of(small)
+    assert sorted(ranged.collect()) == sorted(small.collect())
