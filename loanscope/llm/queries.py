@@ -1,12 +1,15 @@
 """Queries of the training-data operators: name -> (spark, sf_dir) -> DataFrame."""
 
 from .language import op8_language_id
+from .neardup import op7_near_duplicates
 from .packing import op3_packing
 from .quality import op10_quality
 from .sharding import op1_sharding
+from .suffix import op6_suffix_dedup
 from .tokens import op5_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_packing, op5_token_counts, op8_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_packing, op5_token_counts, op6_suffix_dedup, op7_near_duplicates,
+                                  op8_language_id, op10_quality)}
 
 #: Where SQL can express the result.
 SQL: dict[str, str] = {}
