@@ -3,7 +3,7 @@
 A byte goes if it lies in a ``SPAN``-byte string that also starts anywhere else.
 
 *Anchors.*  Sorting every suffix of the corpus is not needed: a string that occurs
-twice brings its own landmarks.  Among the ``GRAM``-byte grams that start inside a
+twice brings its own landmarks.  Among the grams of a quarter of that length that start inside a
 ``SPAN``-byte window the ones of least hash are anchors, chosen by content alone, so
 both copies of a string have the same anchors at the same place.  Only anchors whose
 gram occurs twice go on, each with its context: the bytes before it and the bytes
@@ -43,8 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, slices, staged, table, text_key
 
-SPAN, GRAM = 400, 100
-BACK = SPAN - GRAM
+SPAN = 400
 #: Different contexts of one gram sorted in one task.
 GROUP = 1 << 16
 #: Rows sorted at once.
@@ -52,6 +51,18 @@ ROWS = 1 << 13
 #: Characters hashed at once, and bytes hashed as one block in comparisons.
 HASHED, BLOCK = 1 << 20, 16
 
+
+
+def gram_of(span: int) -> int:
+    """Bytes of an anchor's gram; a window holds its anchor's gram whole."""
+    return span // 4
+
+
+def back_of(span: int) -> int:
+    """Bytes a window can reach back from its anchor."""
+    return span - gram_of(span)
+
+
 _B = 0x9E3779B97F4A7C15 | 1
 _BI = pow(_B, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -90,10 +101,11 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1:w - 1 + n])
 
 
-def anchors(raws: list[bytes], span: int = SPAN, gram: int = GRAM) -> list[tuple[np.ndarray, np.ndarray]]:
+def anchors(raws: list[bytes], span: int = SPAN) -> list[tuple[np.ndarray, np.ndarray]]:
     """(places, gram hashes) of each text's anchors."""
     size = np.array([len(r) for r in raws], np.int64)
     start = np.cumsum(size) - size
+    gram = gram_of(span)
     w = span - gram + 1
     data = np.frombuffer(b"".join(raws), np.uint8)
     none = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
@@ -114,12 +126,12 @@ def anchors(raws: list[bytes], span: int = SPAN, gram: int = GRAM) -> list[tuple
     return [(at[a:b] - s, h[at[a:b]]) if b > a else none for a, b, s in zip(cut, cut[1:], start.tolist())]
 
 
-def context(raw: bytes, at: int, span: int = SPAN, back: int = BACK) -> tuple[bytes, bytes]:
+def context(raw: bytes, at: int, span: int = SPAN) -> tuple[bytes, bytes]:
     """Bytes before (nearest first) and from the anchor on."""
-    return raw[max(0, at - back):at][::-1], raw[at:at + span]
+    return raw[max(0, at - back_of(span)):at][::-1], raw[at:at + span]
 
 
-def _settled(raw: bytes, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def _settled(raw: bytes, at: np.ndarray, h: np.ndarray, span: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Anchors to send (one of equal contexts), and spans that equal contexts
     inside the text settle."""
     _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
@@ -127,10 +139,10 @@ def _settled(raw: bytes, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, lis
         return np.ones(len(at), bool), []
     send, spans, seen = np.ones(len(at), bool), [], {}
     for i in np.flatnonzero(counts[inverse] > 1).tolist():
-        key = context(raw, int(at[i]))
+        key = context(raw, int(at[i]), span)
         if key in seen:
             send[i] = False
-            if len(key[0]) + len(key[1]) >= SPAN:
+            if len(key[0]) + len(key[1]) >= span:
                 spans += [(int(p) - len(key[0]), int(p) + len(key[1])) for p in (at[i], at[seen[key]])]
         else:
             seen[key] = i
@@ -147,16 +159,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _found(df: DataFrame) -> DataFrame:
+def _found(df: DataFrame, span: int) -> DataFrame:
     """(_t1, _t2, text) -> anchors (_t1, _t2, at, h) and, with ``till``, settled spans."""
     def build():
         def step(b):
             for first, texts in slices(b, 2, HASHED):
                 raws = [t.encode("utf-8", "surrogatepass") for t in texts]
                 rows, places, hashes, till = [], [], [], []
-                for i, (raw, (at, h)) in enumerate(zip(raws, anchors(raws))):
+                for i, (raw, (at, h)) in enumerate(zip(raws, anchors(raws, span))):
                     if len(at):
-                        send, spans = _settled(raw, at, h)
+                        send, spans = _settled(raw, at, h, span)
                         at, h = at[send], h[send]
                         rows += [first + i] * (len(at) + len(spans))
                         places += at.tolist() + [a for a, _ in spans]
@@ -171,7 +183,7 @@ def _found(df: DataFrame) -> DataFrame:
     return map_arrow(df, build, "_t1 long, _t2 long, at int, h long, till int")
 
 
-def _contexts(df: DataFrame) -> DataFrame:
+def _contexts(df: DataFrame, span: int) -> DataFrame:
     """(_t1, _t2, text, marks) -> a row for each anchor with the 128-bit name of its
     context; the first of a batch also has the context and how many share it."""
     schema = "_t1 long, _t2 long, at int, h long, f1 long, f2 long, n int, before binary, after binary"
@@ -183,7 +195,7 @@ def _contexts(df: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 raw = text[i].as_py().encode("utf-8", "surrogatepass")
                 for m in marks[i].as_py():
-                    back, ahead = context(raw, m["at"])
+                    back, ahead = context(raw, m["at"], span)
                     name = xxhash.xxh3_128_digest(len(back).to_bytes(2, "big") + m["h"].to_bytes(8, "big", signed=True) + back + ahead)
                     if name in first:
                         rows[first[name]][6] += 1
@@ -298,9 +310,10 @@ class Suffixes:
 
 
 def reaches(group: np.ndarray, before: list[bytes], after: list[bytes], n: np.ndarray,
-            span: int = SPAN, back: int = BACK) -> tuple[np.ndarray, np.ndarray]:
+            span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """For each context (rows sorted by ``group``, contexts of a group different):
     how many bytes before and from the anchor on lie in repeated strings; -1: none."""
+    back = back_of(span)
     left, right = Suffixes(before, back), Suffixes(after, span)
     lo, hi = np.full(len(group), -1, np.int64), np.full(len(group), -1, np.int64)
     full = (n > 1) & (left.size + right.size >= span)
@@ -328,7 +341,7 @@ def reaches(group: np.ndarray, before: list[bytes], after: list[bytes], n: np.nd
     return lo, hi
 
 
-def _solved(df: DataFrame) -> DataFrame:
+def _solved(df: DataFrame, span: int) -> DataFrame:
     """Contexts sorted by (h, f1, f2) in each task -> (f1, f2, lo, hi)."""
     def run(it):
         held: list[tuple] = []  # h, f1, f2, n, before, after
@@ -337,7 +350,7 @@ def _solved(df: DataFrame) -> DataFrame:
             if not rows:
                 return
             h = np.array([r[0] for r in rows], np.int64)
-            lo, hi = reaches(h, [r[4] for r in rows], [r[5] for r in rows], np.array([r[3] for r in rows], np.int64))
+            lo, hi = reaches(h, [r[4] for r in rows], [r[5] for r in rows], np.array([r[3] for r in rows], np.int64), span)
             ok = np.flatnonzero(lo >= 0)
             if len(ok):
                 yield pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in ok], pa.int64()), pa.array([rows[i][2] for i in ok], pa.int64()),
@@ -357,15 +370,15 @@ def _solved(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "f1 long, f2 long, lo int, hi int")
 
 
-def _windows(df: DataFrame) -> DataFrame:
+def _windows(df: DataFrame, span: int) -> DataFrame:
     """Every window of contexts too many for one sort: (f1, f2, n, l, w1, w2)."""
     def build():
         def step(b):
             out: list[tuple] = []
             for h, f1, f2, n, before, after in zip(*(b.column(i).to_pylist() for i in range(6))):
                 raw, place = before[::-1] + after, len(before)
-                for l in range(max(0, SPAN - len(after)), place + 1):
-                    w = xxhash.xxh3_128_digest(raw[place - l:place - l + SPAN], seed=l)
+                for l in range(max(0, span - len(after)), place + 1):
+                    w = xxhash.xxh3_128_digest(raw[place - l:place - l + span], seed=l)
                     out.append((h, f1, f2, n, l, int.from_bytes(w[:8], "big", signed=True), int.from_bytes(w[8:], "big", signed=True)))
                 if len(out) > 50_000:
                     yield pack(out)
@@ -381,14 +394,14 @@ def _windows(df: DataFrame) -> DataFrame:
     return map_arrow(df, build, "h long, f1 long, f2 long, n int, l int, w1 long, w2 long")
 
 
-def _counted(contexts: DataFrame) -> DataFrame:
+def _counted(contexts: DataFrame, span: int) -> DataFrame:
     """What :func:`_solved` gives, by counting windows."""
     names = ["h", "f1", "f2"]
     one = contexts.groupBy(*names).agg(F.sum("n").cast("int").alias("n"), F.first("before").alias("before"), F.first("after").alias("after"))
-    w = _windows(one)
+    w = _windows(one, span)
     twice = w.groupBy("h", "l", "w1", "w2").agg(F.sum("n").alias("c")).where("c > 1").drop("c")
     return (w.join(twice, ["h", "l", "w1", "w2"], "left_semi").groupBy("f1", "f2")
-             .agg(F.max("l").alias("lo"), (SPAN - F.min("l")).alias("hi")))
+             .agg(F.max("l").alias("lo"), (span - F.min("l")).alias("hi")))
 
 
 #: Bits of the filter that spares texts without marks a shuffle (512 KB at most).
@@ -407,11 +420,11 @@ def _marked(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, Column]:
     return docs, maybe
 
 
-def repeated_spans(df: DataFrame, text_col: str, group: int = GROUP) -> DataFrame:
+def repeated_spans(df: DataFrame, text_col: str, group: int = GROUP, span: int = SPAN) -> DataFrame:
     """(_t1, _t2, spans): byte spans to remove from each different text."""
-    docs = df.select(*text_key(text_col), F.col(text_col).alias("text")).where(F.octet_length("text") >= SPAN)
+    docs = df.select(*text_key(text_col), F.col(text_col).alias("text")).where(F.octet_length("text") >= span)
     t = ["_t1", "_t2"]
-    found = staged(_found(docs), "anchors")
+    found = staged(_found(docs, span), "anchors")
     at = found.where("till < 0")
     # A gram counts as repeated if two different (text, place) have it; copies of a text don't.
     own = F.xxhash64("_t1", "_t2", "at")
@@ -420,13 +433,13 @@ def repeated_spans(df: DataFrame, text_col: str, group: int = GROUP) -> DataFram
     some, maybe = _marked(docs, marks.select(*t))
     texts = some.where(maybe).select(*t, "text").groupBy(*t).agg(F.first("text").alias("text"))
     listed = marks.groupBy(*t).agg(F.collect_list(F.struct("at", "h")).alias("marks"))  # of one text
-    members = staged(_contexts(texts.join(listed, t)), "contexts")
+    members = staged(_contexts(texts.join(listed, t), span), "contexts")
     contexts = members.where("n > 0").select("h", "f1", "f2", "n", "before", "after")
     sizes = contexts.groupBy("h").count().where(F.col("count") > group).select("h")
-    solved = lambda c: _solved(c.repartition("h").sortWithinPartitions("h", "f1", "f2"))
+    solved = lambda c: _solved(c.repartition("h").sortWithinPartitions("h", "f1", "f2"), span)
     if sizes.limit(1).count():
         sizes = staged(sizes, "large-groups")
-        done = solved(contexts.join(sizes, "h", "left_anti")).unionByName(_counted(contexts.join(sizes, "h", "left_semi")))
+        done = solved(contexts.join(sizes, "h", "left_anti")).unionByName(_counted(contexts.join(sizes, "h", "left_semi"), span))
     else:
         done = solved(contexts)
     spans = (members.select(*t, "at", "f1", "f2").join(done, ["f1", "f2"])
@@ -464,9 +477,9 @@ def _cut(df: DataFrame, kind: str) -> DataFrame:
     return map_arrow(df, build, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def removed(df: DataFrame, id_col: str, text_col: str, group: int = GROUP) -> DataFrame:
+def removed(df: DataFrame, id_col: str, text_col: str, group: int = GROUP, span: int = SPAN) -> DataFrame:
     """``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` for each row."""
-    spans = staged(repeated_spans(df, text_col, group), "spans")
+    spans = staged(repeated_spans(df, text_col, group, span), "spans")
     docs = df.select(F.col(id_col).alias("id"), *text_key(text_col), F.col(text_col).alias("text"))
     docs, maybe = _marked(docs, spans.select("_t1", "_t2"))
     docs = docs.withColumn("_maybe", maybe)
@@ -477,14 +490,14 @@ def removed(df: DataFrame, id_col: str, text_col: str, group: int = GROUP) -> Da
     return _cut(some, dict(df.dtypes)[id_col]).unionByName(none).withColumnRenamed("id", id_col)
 
 
-def without_repeats(df: DataFrame, text_col: str, group: int = GROUP) -> DataFrame:
+def without_repeats(df: DataFrame, text_col: str, group: int = GROUP, span: int = SPAN) -> DataFrame:
     """``df`` with the repeated strings cut out of its texts (characters cut in two
     go whole); rows of which nothing is left go, null texts and others stay."""
     from pyspark.sql.functions import pandas_udf
     spare = ["_suffix1_", "_suffix2_", "_suffix_spans_"]
     while any(c in {x.lower() for x in df.columns} for c in spare):
         spare = [f"_{c}" for c in spare]
-    spans = staged(repeated_spans(df, text_col, group), "spans").select(*[F.col(c).alias(s) for c, s in zip(("_t1", "_t2", "spans"), spare)])
+    spans = staged(repeated_spans(df, text_col, group, span), "spans").select(*[F.col(c).alias(s) for c, s in zip(("_t1", "_t2", "spans"), spare)])
 
     @pandas_udf("string")
     def cut(texts, spans):
