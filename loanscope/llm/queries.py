@@ -2,6 +2,7 @@
 
 from .language import op8_language_id
 from .neardup import op7_near_duplicates
+from .neighbours import op4_nearest
 from .packing import op3_packing
 from .privacy import op9_pii_surrogates
 from .quality import op10_quality
@@ -9,7 +10,7 @@ from .sharding import op1_sharding
 from .suffix import op6_suffix_dedup
 from .tokens import op5_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_packing, op5_token_counts, op6_suffix_dedup, op7_near_duplicates,
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_packing, op4_nearest, op5_token_counts, op6_suffix_dedup, op7_near_duplicates,
                                   op8_language_id, op9_pii_surrogates, op10_quality)}
 
 #: Where SQL can express the result.
