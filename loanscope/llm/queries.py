@@ -1,6 +1,7 @@
 """Queries of the training-data operators: name -> (spark, sf_dir) -> DataFrame."""
 
 from .language import op8_language_id
+from .lattice import op2_sentencepiece
 from .neardup import op7_near_duplicates
 from .neighbours import op4_nearest
 from .packing import op3_packing
@@ -10,7 +11,7 @@ from .sharding import op1_sharding
 from .suffix import op6_suffix_dedup
 from .tokens import op5_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_packing, op4_nearest, op5_token_counts, op6_suffix_dedup, op7_near_duplicates,
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_packing, op4_nearest, op5_token_counts, op6_suffix_dedup, op7_near_duplicates,
                                   op8_language_id, op9_pii_surrogates, op10_quality)}
 
 #: Where SQL can express the result.
