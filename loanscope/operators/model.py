@@ -3,8 +3,8 @@
 * ML-1: one-hot grade and purpose with the alphabetically first level dropped
   (``StringIndexer(alphabetDesc)`` + ``OneHotEncoder(dropLast=True)``).
 * ML-2: exact stratified split: per label, the first floor(0.8 n) loans in a
-  seeded hash order train, the rest test.  Positions come from the range-
-  sorted running count, not from a per-label single-task window.
+  seeded hash order train, the rest test.  Counts by leading hash bits find the
+  boundary; only the bucket it cuts is ranked.
 * ML-3: standardise the numeric columns with the training mean and
   population standard deviation.
 * ML-4: L2 logistic regression with balanced class weights n / (2 n_c);
@@ -22,16 +22,17 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import count_rows
 from ..schema import RANDOM_SEED
-from . import ranking
 
 NUMERIC = ("annual_income", "loan_amount", "term_months")
 CATEGORICAL = ("grade", "purpose")
 LABEL = "is_default"
+# The split hash has 60 bits; its leading 12 name the bucket.
+SPLIT_SHIFT = 48
 
 
 def model_frame(s: DataFrame) -> DataFrame:
@@ -49,14 +50,21 @@ def split_hash(loan_id, seed: int = RANDOM_SEED):
 
 def stratified_split(frame: DataFrame, train_fraction: float = 0.8,
                      seed: int = RANDOM_SEED, label: str = LABEL) -> DataFrame:
-    """ML-2: adds ``is_train``: per label, rank < floor(fraction x n_label)."""
-    h = frame.withColumn("_h", split_hash(F.col("loan_id"), seed)).withColumn("_one", F.lit(1))
-    pos = ranking.running_before(h, [label, "_h", "loan_id"], "_one", "_pos")
-    per = pos.groupBy(label).agg(F.min("_pos").alias("_start"), count_rows().alias("_nl"))
-    out = pos.join(F.broadcast(per), label)  # one row per label value
-    rank = F.col("_pos") - F.col("_start")
-    keep = F.floor(F.col("_nl") * F.lit(train_fraction))
-    return out.withColumn("is_train", rank < keep).drop("_h", "_one", "_pos", "_start", "_nl")
+    """ML-2: adds ``is_train``: per label, the first floor(fraction x n_label)
+    rows in the order of a seeded hash.  Counts per label and leading hash bits
+    (a table of fixed size) name the one bucket of each label that the boundary
+    cuts; only its rows are ranked, all others compare their bucket with it."""
+    rows = frame.withColumn("_h", split_hash(F.col("loan_id"), seed)).withColumn("_b", F.shiftright("_h", SPLIT_SHIFT))
+    group = Window.partitionBy(label)
+    heads = rows.groupBy(label, "_b").agg(count_rows().alias("_c"))
+    heads = heads.withColumn("_start", F.sum("_c").over(group.orderBy("_b")) - F.col("_c")) \
+                 .withColumn("_keep", F.floor(F.sum("_c").over(group) * F.lit(train_fraction)))
+    rows = rows.join(F.broadcast(heads), [label, "_b"])  # labels x 4096 rows at most
+    cut = (F.col("_start") < F.col("_keep")) & (F.col("_keep") < F.col("_start") + F.col("_c"))
+    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", "loan_id"))
+    whole = rows.where(~cut).withColumn("is_train", F.col("_start") < F.col("_keep"))
+    ranked = rows.where(cut).withColumn("is_train", F.col("_start") + rank <= F.col("_keep"))
+    return whole.unionByName(ranked).drop("_h", "_b", "_c", "_start", "_keep")
 
 
 def standardise(split: DataFrame, cols: Sequence[str] = NUMERIC) -> DataFrame:
@@ -81,6 +89,9 @@ def design_matrix(z: DataFrame):
     alphabetically first level dropped, assembled after the standardised
     numerics.  Levels come from all rows (dummies are made before the split).
     Returns (frame with a ``features`` vector, feature names)."""
+    # A missing category has no dummy: all zeros, like the first level, whose own is dropped.
+    first = z.agg(*[F.min(c).alias(c) for c in CATEGORICAL]).first()
+    z = z.fillna({c: first[c] if first[c] is not None else "" for c in CATEGORICAL})
     indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetDesc")
                 for c in CATEGORICAL]
     encoder = OneHotEncoder(inputCols=[f"{c}_idx" for c in CATEGORICAL],

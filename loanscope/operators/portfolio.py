@@ -78,13 +78,25 @@ def good_grades_upper_median(s: DataFrame) -> DataFrame:
 
 
 def q05_underpriced_low_risk(s: DataFrame, top: int = 20) -> DataFrame:
+    """Good-grade loans in the upper half by income overall and by rate in grade,
+    the highest rates first.  Both percentiles come from frequency tables of the
+    loans themselves; a percentile of a half or more means a value at or above a
+    threshold, so the loans are filtered by one income and a rate per grade (rows
+    of group size) and only the ``top`` left look their percentiles up."""
     base = s.select("loan_id", "grade", "purpose", "loan_amount", "interest_rate", "annual_income")
-    ranked = ranking.percent_rank(base, "interest_rate", "_rate_pr", keys=["grade"])
-    ranked = ranking.percent_rank(ranked, "annual_income", "_inc_pr")
+    rate = ranking.percent_ranks(base, "interest_rate", "_rate_pr", keys=["grade"])
+    income = ranking.percent_ranks(base, "annual_income", "_inc_pr")
     good = good_grades_upper_median(s).select("grade")
-    picked = (ranked.join(good, "grade", "left_semi")
-                    .where((F.col("_inc_pr") >= 0.5) & (F.col("_rate_pr") >= 0.5)))
-    top_rows = picked.orderBy(F.col("_rate_pr").desc(), F.col("loan_id")).limit(top)
+    least_income = income.where(F.col("_inc_pr") >= 0.5).agg(F.min("annual_income")).scalar()
+    # The rate percentiles at or above a half of good grades, highest first: as
+    # many loans as these values have are enough for the top, whatever ties.
+    rates = rate.join(good, "grade", "left_semi").where(F.col("_rate_pr") >= 0.5)
+    floors = rates.groupBy("grade").agg(F.min("interest_rate").alias("_floor"))
+    rich = base.where(F.col("annual_income") >= least_income)
+    picked = (rich.join(F.broadcast(floors), "grade").where(F.col("interest_rate") >= F.col("_floor")).drop("_floor")
+                  .join(rates, ["grade", "interest_rate"]))
+    top_rows = picked.orderBy(F.col("_rate_pr").desc(), F.col("loan_id")).limit(top).join(income, "annual_income")
+    top_rows = top_rows.orderBy(F.col("_rate_pr").desc(), F.col("loan_id"))
     return top_rows.select(
         "grade", "purpose",
         F.col("loan_amount").cast("double").alias("loan_amount"),

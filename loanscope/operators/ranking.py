@@ -2,16 +2,15 @@
 
 A plain ``percent_rank() OVER (ORDER BY x)`` or ``ntile(k) OVER (ORDER BY x)``
 puts every row into one task.  The forms here keep all loan-grain work
-distributed:
+distributed, by one algorithm at every size:
 
 * Peer counts are aggregated first (``groupBy(keys, value).count()``): a value
   held by a third of all rows becomes one row, combined map-side.
-* The running count over that frequency table comes from a range-partitioned
-  sort that is checkpointed to the shared checkpoint folder.  Partition sums
-  (one row per partition, bounded by the partition count, so safe to
-  broadcast) give each partition's offset; a running sum inside each
-  partition gives the rest.  Checkpointing pins the range boundaries, so a
-  retried task sees exactly the same partitions.
+* Values fall into buckets by a monotone function of the value (``bucket``), so
+  all of a bucket's values lie below those of the next.  The number of buckets
+  depends on the numbers' range only: running totals over buckets are a small
+  window, running totals inside a bucket one window partition each, and their
+  sum is the running count.
 * Results join back to the loans on the value (AQE broadcasts the frequency
   table when it is small and splits skewed join partitions when it is not).
 
@@ -21,17 +20,13 @@ size is bounded by the number of groups, not by the number of loans.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
-_PID_SHIFT = 33
-_LOCAL_MASK = (1 << _PID_SHIFT) - 1
+# Buckets per e-fold of the value; about 30,000 buckets cover 0 to 10^12.
+BUCKETS_PER_E = 1024
 
 
 def _asc(c: str) -> Column:
@@ -49,64 +44,29 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how=
     return left.join(renamed, cond, how).drop(*[f"__r_{c}" for c in cols])
 
 
-# Tables up to this many rows take the running sum in one window task: a
-# checked bound, not an assumption.  Larger ones use the range-sorted form.
-# Tunable per session with ``spark.loanscope.smallTableRows`` (0 = always
-# range-sort).
-SMALL_TABLE_ROWS = 1_000_000
-
-# Frequency tables cached for the size check.  Only the most recent ones stay
-# cached; an evicted table is simply recomputed from its lineage if reused.
-_CACHED: deque = deque()
-MAX_CACHED = 32
-
-
-def _cache(df: DataFrame) -> DataFrame:
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _CACHED.append(df)
-    while len(_CACHED) > MAX_CACHED:
-        _CACHED.popleft().unpersist()
-    return df
-
+def bucket(value: Column) -> Column:
+    """A whole number that never falls as ``value`` grows: the logarithm of its
+    size with its sign.  NULL stays NULL."""
+    x = value.cast("double")
+    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * BUCKETS_PER_E)
 
-def running_before(table: DataFrame, order_cols: Sequence[str], weight_col: str,
-                   out_col: str = "_before", small_rows: int | None = None) -> DataFrame:
-    """Add ``out_col`` = sum of ``weight_col`` over all rows strictly before each
-    row in the total order ``order_cols`` (ascending, NULLs first).
 
-    ``order_cols`` must identify rows uniquely.  The table's row count is
-    checked first: at most ``small_rows`` rows are summed by one window task;
-    beyond that the work is a range-partitioned sort where no task ever holds
-    more than one range.
-    """
-    if small_rows is None:
-        small_rows = int(table.sparkSession.conf.get("spark.loanscope.smallTableRows",
-                                                     str(SMALL_TABLE_ROWS)))
-    # Cached so the size check and the running sum share one computation.
-    table = _cache(table)
-    if small_rows > 0 and table.limit(small_rows + 1).count() <= small_rows:
-        w = Window.orderBy(*[_asc(c) for c in order_cols]).rowsBetween(Window.unboundedPreceding, -1)
-        return table.withColumn(out_col, F.coalesce(F.sum(weight_col).over(w), F.lit(0)).cast("bigint"))
-    ensure_checkpoint_dir(table.sparkSession)
-    ordered = table.orderBy(*[_asc(c) for c in order_cols]).checkpoint(eager=True)
-    table.unpersist()
-    mid = F.monotonically_increasing_id()
-    tagged = (ordered.withColumn("_mid", mid)
-                     .withColumn("_pid", F.shiftright(F.col("_mid"), _PID_SHIFT))
-                     .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK))))
-    part_tot = tagged.groupBy("_pid").agg(F.sum(weight_col).alias("_ptot"))
-    # One row per partition: bounded by the partition count, safe to broadcast.
-    offsets = part_tot.select(
-        "_pid",
-        F.coalesce(F.sum("_ptot").over(Window.orderBy("_pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("_poff"))
-    within = F.coalesce(F.sum(weight_col).over(
-        Window.partitionBy("_pid").orderBy("_loc").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0))
-    return (tagged.withColumn("_within", within)
-                  .join(F.broadcast(offsets), "_pid")
-                  .withColumn(out_col, (F.col("_poff") + F.col("_within")).cast("bigint"))
-                  .drop("_mid", "_pid", "_loc", "_within", "_poff"))
+def running_before(table: DataFrame, keys: Sequence[str], value: str, weight: str,
+                   out_col: str = "_before", total_col: str = "_n") -> DataFrame:
+    """Add ``out_col``, the sum of ``weight`` over the rows of the same ``keys``
+    with a smaller ``value`` (NULL is smallest), and ``total_col``, the sum over
+    all rows of the keys.  (keys, value) must identify rows."""
+    cells = [*keys, "_b"]
+    table = table.withColumn("_b", bucket(F.col(value)))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*keys)
+    heads = table.groupBy(*cells).agg(F.sum(weight).alias("_t")).select(
+        *cells, F.coalesce(F.sum("_t").over(before(group.orderBy(_asc("_b")))), F.lit(0)).alias("_head"),
+        F.sum("_t").over(group).alias(total_col))
+    inside = F.coalesce(F.sum(weight).over(before(Window.partitionBy(*cells).orderBy(_asc(value)))), F.lit(0))
+    return (_null_safe_join(table.withColumn("_inside", inside), heads, cells)
+            .withColumn(out_col, (F.col("_head") + F.col("_inside")).cast("bigint"))
+            .drop("_b", "_head", "_inside"))
 
 
 def value_frequencies(df: DataFrame, keys: Sequence[str], value: str,
@@ -115,36 +75,31 @@ def value_frequencies(df: DataFrame, keys: Sequence[str], value: str,
     earlier in the same key group, and ``_n`` rows in the group."""
     src = df.where(F.col(value).isNotNull()) if drop_null_values else df
     freq = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    freq = running_before(freq, [*keys, value], "_c", "_gbefore")
-    if keys:
-        grp = freq.groupBy(*keys).agg(F.min("_gbefore").alias("_gstart"),
-                                      F.sum("_c").alias("_n"))
-        freq = _null_safe_join(freq, grp, keys)
-    else:
-        # One number for the whole frame, summed from the (cached) frequency
-        # table and fetched once rather than carried as a scalar subquery
-        # that every downstream expression would repeat.
-        n = freq.agg(F.sum("_c")).first()[0] or 0
-        freq = freq.withColumn("_gstart", F.lit(0).cast("bigint")).withColumn("_n", F.lit(n).cast("bigint"))
-    return (freq.withColumn("_before", F.col("_gbefore") - F.col("_gstart"))
-                .drop("_gbefore", "_gstart"))
+    return running_before(freq, keys, value, "_c")
 
 
-def percent_rank(df: DataFrame, value: str, out_col: str, keys: Sequence[str] = ()) -> DataFrame:
-    """W-3 / W-4: SQL ``PERCENT_RANK() OVER (PARTITION BY keys ORDER BY value)``
-    = (rows before the value's peers) / (group rows - 1), 0 for one-row groups.
-    NULL values rank first, as in the SQL window."""
+def percent_ranks(df: DataFrame, value: str, out_col: str, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per (keys, value): (rows before the value's peers) / (group rows
+    - 1), 0 for one-row groups.  NULL values rank first, as in the SQL window."""
     freq = value_frequencies(df, keys, value)
     pr = F.when(F.col("_n") <= 1, F.lit(0.0)).otherwise(
         F.col("_before").cast("double") / (F.col("_n") - 1).cast("double"))
-    ranked = freq.select(*keys, value, pr.alias(out_col))
-    return _null_safe_join(df, ranked, [*keys, value])
+    return freq.select(*keys, value, pr.alias(out_col))
+
+
+def percent_rank(df: DataFrame, value: str, out_col: str, keys: Sequence[str] = ()) -> DataFrame:
+    """W-3 / W-4: SQL ``PERCENT_RANK() OVER (PARTITION BY keys ORDER BY value)``."""
+    return _null_safe_join(df, percent_ranks(df, value, out_col, keys), [*keys, value])
 
 
 def average_rank_pct(df: DataFrame, value: str, out_col: str, keys: Sequence[str] = ()) -> DataFrame:
     """W-6: pandas ``rank(pct=True)`` (average method): mean 1-based rank of the
-    value's peers divided by the group's non-null count.  NULL value -> NULL."""
-    freq = value_frequencies(df, keys, value, drop_null_values=True)
+    value's peers divided by the group's non-null count.  NULL value or NULL
+    key -> NULL: pandas has no group for a missing key."""
+    named = df
+    for k in keys:
+        named = named.where(F.col(k).isNotNull())
+    freq = value_frequencies(named, keys, value, drop_null_values=True)
     pct = ((F.col("_before").cast("double") + (F.col("_c") + 1) / 2.0) / F.col("_n").cast("double"))
     ranked = freq.select(*keys, value, pct.alias(out_col))
     return _null_safe_join(df, ranked, [*keys, value], how="left")
@@ -163,31 +118,25 @@ def _ntile_of(pos: Column, n: Column, k: int) -> Column:
 def ntile(df: DataFrame, value: str, k: int, out_col: str, tie_col: str = "loan_id") -> DataFrame:
     """W-5: ``NTILE(k) OVER (ORDER BY value, tie_col)`` over the whole frame.
 
-    A value whose peers all fall into one bucket gets it from the frequency
-    table.  Only values whose peers straddle a bucket boundary (at most k-1
-    of them) need per-row positions; those rows are ranked by ``tie_col`` with
-    the same range-sorted running count, so even a value held by a third of
-    the rows is split across tasks.
+    A value whose peers all fall into one tile gets it from the frequency table.
+    Only values whose peers straddle a tile boundary (at most k-1 of them) need
+    per-row positions: these rows are counted by ``tie_col`` the same way, so
+    even a value held by a third of the rows is split across tasks.
     """
     freq = value_frequencies(df, [], value)
     lo = _ntile_of(F.col("_before"), F.col("_n"), k)
     hi = _ntile_of(F.col("_before") + F.col("_c") - 1, F.col("_n"), k)
-    freq = freq.select(value, "_before", "_c", "_n", lo.alias("_lo"), hi.alias("_hi"))
+    freq = freq.select(value, "_before", "_n", lo.alias("_lo"), hi.alias("_hi"))
 
     whole = freq.where(F.col("_lo") == F.col("_hi")).select(value, F.col("_lo").alias(out_col))
     plain = _null_safe_join(df, whole, [value])
 
-    # At most k-1 straddling values: a bounded table, safe to broadcast.  Its
-    # running count of peers gives each value's offset inside the subset.
-    split = (freq.where(F.col("_lo") != F.col("_hi"))
-                 .withColumn("_sbefore", F.coalesce(F.sum("_c").over(
-                     Window.orderBy(_asc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                 .select(value, "_before", "_n", "_sbefore"))
-    rows = _null_safe_join(df, F.broadcast(split), [value])
-    rows = running_before(rows.withColumn("_one", F.lit(1)), [value, tie_col], "_one", "_rb")
-    pos = F.col("_before") + F.col("_rb") - F.col("_sbefore")
-    straddled = rows.withColumn(out_col, _ntile_of(pos, F.col("_n"), k)).drop(
-        "_one", "_rb", "_sbefore", "_before", "_n")
+    # At most k-1 straddling values: a bounded table, safe to broadcast.
+    split = freq.where(F.col("_lo") != F.col("_hi")).select(value, F.col("_before").alias("_start"), "_n")
+    rows = _null_safe_join(df, F.broadcast(split), [value]).withColumn("_one", F.lit(1))
+    rows = running_before(rows, [value], tie_col, "_one", "_pos", "_peers")
+    straddled = rows.withColumn(out_col, _ntile_of(F.col("_start") + F.col("_pos"), F.col("_n"), k)).drop(
+        "_one", "_pos", "_peers", "_start", "_n")
     return plain.unionByName(straddled)
 
 
