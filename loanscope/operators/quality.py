@@ -31,14 +31,16 @@ def _to_long(one_row: DataFrame, pairs, key: str, value: str) -> DataFrame:
         F.struct(F.lit(label).alias(key), measure.alias(value)) for label, measure in pairs])))
 
 
-def missing_report(raw: DataFrame, columns: Sequence[str] | None = None, top: int = 20) -> DataFrame:
-    """DQ-1: % of NULL-or-blank values per column, descending, top ``top``."""
+def missing_report(raw: DataFrame, columns: Sequence[str] | None = None, top: int | None = None) -> DataFrame:
+    """DQ-1: % of NULL-or-blank values of every column, descending; T-3: the
+    first ``top`` of them if asked for."""
     cols = list(columns) if columns is not None else [c for c in raw.columns if c != "loan_id"]
     aggs = [F.count_if(is_missing(F.col(c))).alias(c) for c in cols]
     counts = raw.agg(count_rows().alias("__total"), *aggs)
     long = _to_long(counts, [(c, pct(F.col(c), F.col("__total"))) for c in cols],
                     "column", "missing_pct")
-    return long.orderBy(F.col("missing_pct").desc(), F.col("column")).limit(top)
+    ranked = long.orderBy(F.col("missing_pct").desc(), F.col("column"))
+    return ranked if top is None else ranked.limit(top)
 
 
 def duplicate_id_groups(raw: DataFrame, id_col: str = "id") -> DataFrame:

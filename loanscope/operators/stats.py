@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_p_value, t_p_value
 from ..functions.measures import count_rows
+from ..schema import CORRELATION_PAIRS
 from . import ranking
 
-CORRELATION_PAIRS = (("interest_rate", "annual_income"),
-                     ("interest_rate", "is_default"),
-                     ("annual_income", "is_default"))
 
 
 def _completed(s: DataFrame) -> DataFrame:
@@ -32,9 +30,11 @@ def _completed(s: DataFrame) -> DataFrame:
 def contingency(s: DataFrame, row: str = "grade", col: str = "is_default",
                 values: Sequence = (0, 1)) -> DataFrame:
     """ST-1: completed loans per ``row`` x ``col`` value, one column per value
-    (``n_<value>``), zero-filled.  One aggregate; the pivot is over a fixed
-    value list, so no extra pass to discover columns."""
-    wide = (_completed(s).groupBy(row).pivot(col, list(values)).agg(count_rows())
+    (``n_<value>``), zero-filled; rows with a NULL group or a value outside the
+    list are in no cell.  One aggregate; the pivot is over a fixed value list, so
+    no extra pass to discover columns."""
+    known = F.col(row).isNotNull() & F.col(col).isin(*values)
+    wide = (_completed(s).where(known).groupBy(row).pivot(col, list(values)).agg(count_rows())
             .na.fill(0))
     return wide.select(row, *[F.col(str(v)).alias(f"n_{v}") for v in values]).orderBy(row)
 
@@ -45,8 +45,10 @@ def chi_square(s: DataFrame, row: str = "grade", col: str = "is_default",
 
     Expected counts come from row totals and from column totals taken with
     windows over the contingency table (one row per category, so the window
-    holds categories, not loans).  Yates' continuity correction applies when
-    dof = 1, as in SciPy.
+    holds categories, not loans).  Values no loan has are no column of the table:
+    they add neither to the sum nor to dof.  Yates' continuity correction applies
+    when dof = 1, as in SciPy; with fewer than two rows or columns nothing can be
+    tested (dof 0, chi2 0, V NULL).
     """
     table = contingency(s, row, col, values)
     cells = [F.col(f"n_{v}") for v in values]
@@ -57,21 +59,21 @@ def chi_square(s: DataFrame, row: str = "grade", col: str = "is_default",
         *[F.sum(c).over(everything).alias(f"_ct{i}") for i, c in enumerate(cells)],
         F.count(F.lit(1)).over(everything).alias("_r"))
     n = sum([F.col(f"_ct{i}") for i in range(1, len(values))], F.col("_ct0")).cast("double")
-    r, k = F.col("_r"), F.lit(len(values))
+    r, k = F.col("_r"), sum([F.when(F.col(f"_ct{i}") > 0, 1).otherwise(0) for i in range(len(values))], F.lit(0))
     dof = (r - 1) * (k - 1)
     terms = []
     for i, c in enumerate(cells):
-        e = F.col("_rt") * F.col(f"_ct{i}") / n
+        e = F.try_divide(F.col("_rt") * F.col(f"_ct{i}"), n)
         diff = F.abs(c - e)
         yates = F.when(dof == 1, F.least(F.lit(0.5), diff)).otherwise(F.lit(0.0))
-        terms.append(F.pow(diff - yates, 2) / e)
+        terms.append(F.coalesce(F.try_divide(F.pow(diff - yates, 2), e), F.lit(0.0)))
     per_row = table.select(sum(terms[1:], terms[0]).alias("_x"), n.alias("_n"),
                            dof.alias("_dof"), F.least(r, k).alias("_m"))
     res = per_row.agg(F.sum("_x").alias("chi2"), F.max("_dof").alias("dof"),
                       F.max("_n").alias("n"), F.max("_m").alias("m"))
     return res.select(
         "chi2", F.col("dof").cast("bigint").alias("dof"), F.col("n").cast("bigint").alias("n"),
-        F.sqrt(F.col("chi2") / (F.col("n") * (F.col("m") - 1))).alias("cramers_v"))
+        F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * (F.col("m") - 1))).alias("cramers_v"))
 
 
 def chi_square_test(s: DataFrame, row: str = "grade", col: str = "is_default") -> DataFrame:
@@ -96,9 +98,11 @@ def correlations(s: DataFrame, pairs: Sequence[tuple[str, str]] = CORRELATION_PA
 
 
 def correlations_test(s: DataFrame, pairs=CORRELATION_PAIRS) -> DataFrame:
+    """ST-4 with its p-value; a perfect correlation has p = 0, as in SciPy."""
     res = correlations(s, pairs)
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
-    return res.withColumn("p_value", t_p_value(t, F.col("n") - 2))
+    t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))
+    exact = (F.abs("r") >= 1) & (F.col("n") > 2)
+    return res.withColumn("p_value", F.when(exact, F.lit(0.0)).otherwise(t_p_value(t, F.col("n") - 2)))
 
 
 # --- good grades and the under-pricing t-test --------------------------------

@@ -47,7 +47,7 @@ def _tidy(fn: QueryFn) -> QueryFn:
 
 
 def _dq_missing(spark, sf_dir):
-    return quality.missing_report(tables.raw_loans(spark, sf_dir))
+    return quality.missing_report(tables.raw_loans(spark, sf_dir), top=20)
 
 
 def _dq_duplicates(spark, sf_dir):

@@ -4,7 +4,7 @@ from decimal import Decimal
 
 import pytest
 
-from loanscope.operators import export, portfolio, segments
+from loanscope.operators import export, model, portfolio, quality, segments, stats
 
 COLS = ("loan_id long, grade string, purpose string, loan_amount decimal(18,2), interest_rate double, "
         "annual_income decimal(18,2), term_months int, is_completed int, is_default int, issue_year int, "
@@ -55,3 +55,44 @@ def test_unscored_segment_for_grade_without_completed_loans(scored):
     assert by_grade[None].startswith("Unscored / ")
     tiers = {r.grade: r.risk_tier for r in seg.select("grade", "risk_tier").distinct().collect()}
     assert tiers["A"] == "Low Risk" and tiers["C"] == "High Risk"
+
+
+# ---- NULL and degenerate input, against pandas where it defines the result ----
+
+def test_contingency_drops_null_groups_like_crosstab(spark):
+    import pandas as pd
+    rows = [("A", 0)] * 30 + [("A", 1)] * 10 + [("B", 0)] * 25 + [("B", 1)] * 20 + [(None, 1)] * 40
+    df = spark.createDataFrame([(g, d, 1) for g, d in rows], "grade string, is_default int, is_completed int")
+    want = pd.crosstab(*pd.DataFrame(rows, columns=["grade", "is_default"]).T.values)
+    assert [tuple(r) for r in stats.contingency(df).collect()] == [(g, *want.loc[g]) for g in want.index]
+    assert stats.chi_square(df).first().dof == 1
+
+
+def test_chi_square_without_one_outcome(spark):
+    df = spark.createDataFrame([("A", 0, 1)] * 5 + [("B", 0, 1)] * 7, "grade string, is_default int, is_completed int")
+    r = stats.chi_square(df).first()
+    assert (r.chi2, r.dof, r.cramers_v) == (0.0, 0, None)
+
+
+def test_perfect_correlation_has_p_zero(spark):
+    df = spark.createDataFrame([(float(i), -2.0 * i, 1) for i in range(9)], "a double, b double, is_completed int")
+    r = stats.correlations_test(df, [("a", "b")]).first()
+    assert r.r == pytest.approx(-1.0) and r.p_value < 1e-12
+
+
+def test_missing_report_has_every_column(spark):
+    df = spark.createDataFrame([tuple([None] * 25)], ", ".join(f"c{i} string" for i in range(25)))
+    assert quality.missing_report(df).count() == 25
+    assert quality.missing_report(df, top=20).count() == 20
+
+
+def test_null_category_is_an_all_zero_dummy(spark):
+    import pandas as pd
+    rows = [(i, g, p, float(i), 2.0 * i, 36.0 + i, i % 2, True) for i, (g, p) in
+            enumerate([("A", "car"), ("B", None), (None, "home"), ("B", "home")])]
+    z = spark.createDataFrame(rows, "loan_id long, grade string, purpose string, annual_income double, loan_amount double, "
+                                    "term_months double, is_default int, is_train boolean")
+    design, names = model.design_matrix(model.standardise(z))
+    got = {(r.loan_id, r.feature) for r in model.features_long(design, names).where("feature like 'grade%' or feature like 'purpose%'").collect()}
+    want = pd.get_dummies(pd.DataFrame(rows, columns=z.columns)[["grade", "purpose"]], drop_first=True)
+    assert got == {(i, c) for c in want for i in want.index[want[c]]}

@@ -104,3 +104,20 @@ def test_correlations_match_numpy(spark):
     assert r.n == 200
     t = r.r * math.sqrt(198 / (1 - r.r ** 2))
     assert r.p_value == pytest.approx(D.t_two_sided_p(t, 198), rel=1e-9)
+
+
+def test_t_tail_against_closed_forms_and_the_normal_limit():
+    for t in (0.01, 0.5, 1.96, 7.0):
+        assert D.t_two_sided_p(t, 1) == pytest.approx(2 / math.pi * math.atan2(1, t), rel=1e-11)
+        w = t / math.sqrt(2 + t * t)
+        assert D.t_two_sided_p(t, 2) == pytest.approx(2 / (2 + t * t) / (1 + w), rel=1e-11)
+        # First order of the expansion in 1/df around the normal tail.
+        for df in (1e8, 1e10, 1e12):
+            density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+            near = math.erfc(t / math.sqrt(2)) + density * (t ** 3 + t) / (2 * df)
+            assert D.t_two_sided_p(t, df) == pytest.approx(near, rel=1e-9)
+
+
+def test_chi_square_tail_odd_and_even():
+    assert D.chi2_sf(3.0, 3) == pytest.approx(math.erfc(math.sqrt(1.5)) + math.sqrt(6 / math.pi) * math.exp(-1.5), rel=1e-12)
+    assert D.chi2_sf(5.0, 6) == pytest.approx(math.exp(-2.5) * (1 + 2.5 + 2.5 ** 2 / 2), rel=1e-12)
