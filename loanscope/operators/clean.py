@@ -22,8 +22,11 @@ def positive_income(raw: DataFrame, income_col: str = "annual_inc") -> DataFrame
     return raw.where(F.col(income_col) > 0)
 
 
-def dedup_first(raw: DataFrame, keys=DEDUP_KEYS, order_col: str = "loan_id") -> DataFrame:
-    """W-1: one row per key, the smallest ``order_col`` (ingest order) wins."""
+def dedup_first(raw: DataFrame, keys=None, order_col: str = "loan_id") -> DataFrame:
+    """W-1: one row per key, the smallest ``order_col`` (ingest order) wins.  The
+    key is ``raw_key``, the digest of the values as read, where ingest made one,
+    else the key columns."""
+    keys = keys or (("raw_key",) if "raw_key" in raw.columns else DEDUP_KEYS)
     w = Window.partitionBy(*keys).orderBy(F.col(order_col).asc_nulls_first())
     return (raw.withColumn("_rn", F.row_number().over(w))
                .where(F.col("_rn") == 1).drop("_rn"))

@@ -34,7 +34,7 @@ def _to_long(one_row: DataFrame, pairs, key: str, value: str) -> DataFrame:
 def missing_report(raw: DataFrame, columns: Sequence[str] | None = None, top: int | None = None) -> DataFrame:
     """DQ-1: % of NULL-or-blank values of every column, descending; T-3: the
     first ``top`` of them if asked for."""
-    cols = list(columns) if columns is not None else [c for c in raw.columns if c != "loan_id"]
+    cols = list(columns) if columns is not None else [c for c in raw.columns if c not in ("loan_id", "raw_key")]
     aggs = [F.count_if(is_missing(F.col(c))).alias(c) for c in cols]
     counts = raw.agg(count_rows().alias("__total"), *aggs)
     long = _to_long(counts, [(c, pct(F.col(c), F.col("__total"))) for c in cols],

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import clean, experiment, export, model, portfolio, quality, ranking, segments, stats
+from ..schema import RAW_SCHEMA
 from ..sources import tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -182,12 +183,17 @@ def _model_metrics(spark, sf_dir):
 
 
 def _ingest_summary(raw: DataFrame) -> DataFrame:
-    return raw.agg(F.count(F.lit(1)).alias("raw_rows"),
-                   F.sum("loan_amnt").cast("double").alias("loan_amnt_sum"),
-                   F.sum("annual_inc").cast("double").alias("annual_inc_sum"),
-                   F.count_if(F.col("loan_status").isNull()).alias("null_status"),
-                   F.count_if(F.col("audit_note").isNull()).alias("null_audit_note"),
-                   F.countDistinct("loan_id").alias("distinct_loan_ids"))
+    """Every ingested column: rows, NULLs and a checksum of its values as text
+    (for ``loan_id``: rows, repeated ids and 0)."""
+    names = [f.name for f in RAW_SCHEMA.fields] + ["audit_note"]
+    digest = lambda c: F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 8), 16, 10).cast("bigint")
+    one = raw.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("loan_id").alias("ids"),
+                  *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in names],
+                  *[F.coalesce(F.sum(digest(c)), F.lit(0)).alias(f"sum_{c}") for c in names])
+    row = lambda name, nulls, total: F.struct(F.lit(name).alias("column"), F.col("n").alias("n_rows"),
+                                              nulls.cast("bigint").alias("n_null"), total.cast("bigint").alias("checksum"))
+    return one.select(F.inline(F.array(row("loan_id", F.col("n") - F.col("ids"), F.lit(0)),
+                                       *[row(c, F.col(f"null_{c}"), F.col(f"sum_{c}")) for c in names])))
 
 
 _STAGED: dict = {}

@@ -1,74 +1,130 @@
 """CSV ingest of raw loan records (SRC-1..3, S14).
 
-Every column is read as text (no schema inference), pandas' missing-value
-tokens become NULL in one projection, and numeric columns are parsed with
-``try_cast`` (unparseable -> NULL, never an error).  ``loan_id`` records
-ingest order: ``monotonically_increasing_id`` grows with file split order,
-the Spark counterpart of the row order the reference's ``rowid`` keeps.
-The row count comes from the written Parquet footers.
+Columns are bound by the names in each file's own header: files may order them
+differently, lack optional ones or bring more, which are kept as text.  Every
+column is read as text (no schema inference), pandas' missing-value tokens become
+NULL in one projection, and numeric columns are parsed with ``try_cast``
+(unparseable -> NULL, never an error).
+
+``loan_id`` follows ingest order, files by name and rows by their place in the file,
+however Spark deals the splits: the file's number in the high bits, below them the
+split's byte offset plus the row's number in its task.  (A row has at least one byte
+for each column, so no row reaches the next split's offset.)
+
+``raw_key`` is a digest of the duplicate-defining columns as read, before any
+rounding: numbers by their value, unparseable text by its characters.
 """
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
-from ..schema import RAW_SCHEMA
+from ..schema import DEDUP_KEYS, RAW_SCHEMA
 
 # The tokens pandas' CSV reader treats as missing by default.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
              "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
              "nan", "null")
 
-TEXT_SCHEMA = T.StructType([T.StructField(f.name, T.StringType()) for f in RAW_SCHEMA.fields])
-
-
-def text_schema(extra_text_cols=()) -> T.StructType:
-    """All-text read schema: the raw columns plus any extra text columns."""
-    return T.StructType(list(TEXT_SCHEMA.fields) + [T.StructField(c, T.StringType()) for c in extra_text_cols])
+# loan_id: 25 bits of file number above 38 bits of place (256 GB a file).
+PLACE_BITS = 38
+MAX_FILES = 1 << 25
+# File numbers are broadcast up to this many files, joined beyond.
+BROADCAST_FILES = 100_000
 
 
 def _na_to_null(c: str) -> F.Column:
-    col = F.col(c)
+    col = F.col(f"`{c}`")
     return F.when(col.isin(*NA_TOKENS), F.lit(None).cast("string")).otherwise(col)
 
 
-def typed_raw(text: DataFrame, extra_text_cols=("audit_note",)) -> DataFrame:
-    """Text columns -> the raw schema (NA tokens -> NULL, try_cast numerics)."""
-    cols = [F.monotonically_increasing_id().alias("loan_id")]
+def raw_key() -> F.Column:
+    """Digest of the duplicate-defining columns of a text frame."""
+    parts = []
+    for c in DEDUP_KEYS:
+        v = _na_to_null(c)
+        if not isinstance(RAW_SCHEMA[c].dataType, T.StringType):
+            v = F.coalesce(v.try_cast("double").cast("string"), v)
+        parts.append(F.coalesce(F.concat(F.lit("="), v), F.lit("0")))
+    return F.md5(F.concat_ws("\x1f", *parts))
+
+
+def typed_raw(text: DataFrame, loan_id: F.Column) -> DataFrame:
+    """Text columns -> the raw schema (NA tokens -> NULL, try_cast numerics), the
+    columns beyond it as text, and ``raw_key``."""
+    cols = [loan_id.alias("loan_id")]
     for f in RAW_SCHEMA.fields:
         v = _na_to_null(f.name)
         cols.append((v if isinstance(f.dataType, T.StringType) else v.try_cast(f.dataType)).alias(f.name))
-    for c in extra_text_cols:
-        if c in text.columns:
-            cols.append(_na_to_null(c).alias(c))
-    return text.select(*cols)
+    known = {f.name for f in RAW_SCHEMA.fields} | {"loan_id", "raw_key"}
+    cols += [_na_to_null(c).alias(c) for c in text.columns if c not in known and not c.startswith("__")]
+    return text.select(*cols, raw_key().alias("raw_key"))
 
 
-def read_raw_csv(spark: SparkSession, path: str, multiline: bool = False,
-                 extra_text_cols=("audit_note",)) -> DataFrame:
-    """SRC-1/2: headed CSV -> typed raw frame.  ``multiline`` allows quoted
-    newlines (files are then read whole, one task per file)."""
-    schema = text_schema(extra_text_cols)
+def headers(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[str, tuple[str, ...]]]:
+    """(file, column names) of every file that is not empty, by file name."""
     try:
-        text = (spark.read.schema(schema)
-                .option("header", True).option("multiLine", multiline)
-                .option("quote", '"').option("escape", '"')
-                .option("nullValue", "\u0000").option("emptyValue", "")
-                .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-                .option("mode", "PERMISSIVE")
-                .csv(path))
-        text.schema  # resolve now so a missing path fails here
+        files = [r.path for r in spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).select("path").collect()]
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(f"{path} not found") from e
         raise
-    return typed_raw(text, extra_text_cols)
-
 
-def ingest_csv(spark: SparkSession, path: str, out_path: str, multiline: bool = False) -> int:
+    def header(file: str):
+        line = spark.read.text(file).select("value", "_metadata.file_path").first()
+        return line and (line.file_path, tuple(next(csv.reader([line.value.lstrip("\ufeff")]))))
+
+    with ThreadPoolExecutor(16) as pool:  # the first line of each file
+        return sorted(h for h in pool.map(header, files) if h)
+
+
+def read_raw_csv(spark: SparkSession, path: str | Sequence[str], multiline: bool = True, first_file: int = 0) -> DataFrame:
+    """SRC-1/2: headed CSV -> typed raw frame, columns by name.
+
+    ``multiline`` (the default) reads quoted newlines as part of their value, as
+    pandas does; a file is then the work of one task, so large inputs should come
+    as files of a few hundred MB.  Without it files are split, and a quoted newline
+    ends the record."""
+    found = headers(spark, path)
+    if not found:
+        raise ValueError(f"{path}: no header")
+    if first_file + len(found) > MAX_FILES:
+        raise ValueError(f"more than {MAX_FILES} files")
+    by_header: dict[tuple, list[str]] = {}
+    for file, names in found:
+        missing = [f.name for f in RAW_SCHEMA.fields if f.name not in names]
+        if missing:
+            raise ValueError(f"{file}: no column {', '.join(missing)}")
+        by_header.setdefault(names, []).append(file)
+    frames = []
+    for names, files in by_header.items():
+        # Repeated names get their place, so that each column can be addressed.
+        unique = [n if names.count(n) == 1 else f"{n}_{i}" for i, n in enumerate(names)]
+        text = (spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in unique]))
+                .option("header", True).option("multiLine", multiline)
+                .option("quote", '"').option("escape", '"')
+                .option("nullValue", "\u0000").option("emptyValue", "")
+                .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+                .option("mode", "PERMISSIVE").csv(files))
+        frames.append(text.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
+                                  F.monotonically_increasing_id().alias("__row")))
+    text = frames[0]
+    for f in frames[1:]:
+        text = text.unionByName(f, allowMissingColumns=True)
+    numbers = spark.createDataFrame([(file, first_file + i) for i, (file, _) in enumerate(found)], "__file string, __no long")
+    text = text.join(F.broadcast(numbers) if len(found) <= BROADCAST_FILES else numbers, "__file")
+    place = F.col("__start") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+    return typed_raw(text, F.shiftleft("__no", PLACE_BITS) + place)
+
+
+def ingest_csv(spark: SparkSession, path: str, out_path: str, multiline: bool = True) -> int:
     """SRC-1/3/5: CSV -> Parquet ``loans_raw`` (overwrite); returns the row
     count, answered from the written Parquet footers (no second CSV pass).
 

@@ -4,45 +4,36 @@ The reference loads its CSV in chunks, replacing the table with the first
 chunk and appending the rest.  Here new CSV files landing in a folder are
 appended to the Parquet ``loans_raw`` table by a file-source stream.  Each
 micro-batch is written by ``foreachBatch`` into its own ``batch_id=`` folder
-(overwrite, so a replayed batch is idempotent) with a stable ``loan_id``
-(micro-batch id in the high bits, in-batch ingest order below), and progress
-lives in a checkpoint folder under the shared checkpoint dir, so a restarted
-or retried run neither skips nor duplicates files.
+(overwrite, so a replayed batch is idempotent), read by the same header-bound
+reader as a batch ingest; ``loan_id`` numbers the files over all batches, so ids of
+different batches never meet.  Progress lives in a checkpoint folder under the shared
+checkpoint dir, so a restarted or retried run neither skips nor duplicates files.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..sources.csv_ingest import text_schema, typed_raw
-
-# In-batch ids use at most 44 bits (monotonically_increasing_id with fewer
-# than 2^11 partitions per micro-batch); the batch id goes above them.
-_BATCH_SHIFT = 44
+from ..sources.csv_ingest import read_raw_csv
 
 
 def start_csv_append(spark: SparkSession, csv_dir: str, table_path: str, checkpoint: str,
-                     max_files_per_trigger: int = 1, available_now: bool = True,
-                     extra_text_cols=("audit_note",)):
+                     max_files_per_trigger: int = 1, available_now: bool = True, multiline: bool = True):
     """Start the stream; with ``available_now`` it processes every file present
     and stops (the batch-equivalent run)."""
-    schema = text_schema(extra_text_cols)
-    text = (spark.readStream.schema(schema).option("header", True)
-            .option("quote", '"').option("escape", '"')
-            .option("nullValue", "\u0000").option("emptyValue", "")
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .csv(csv_dir))
+    # The stream says which files are new; their columns are bound per file.
+    arrived = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
+               .load(csv_dir).select("_metadata.file_path"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         # foreachBatch is at-least-once: a replayed batch overwrites its own
         # folder instead of appending twice, so the table stays exact.
-        typed = typed_raw(batch, extra_text_cols)
-        typed = typed.withColumn("loan_id", F.col("loan_id") + F.lit(batch_id << _BATCH_SHIFT))
-        typed.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")
+        files = sorted(r.file_path for r in batch.distinct().collect())  # max_files_per_trigger at most
+        if files:
+            typed = read_raw_csv(spark, files, multiline, first_file=batch_id * max_files_per_trigger)
+            typed.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")
 
-    writer = (text.writeStream.foreachBatch(write_batch)
+    writer = (arrived.writeStream.foreachBatch(write_batch)
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
@@ -52,4 +43,4 @@ def run_csv_append(spark: SparkSession, csv_dir: str, table_path: str, checkpoin
                    max_files_per_trigger: int = 1) -> DataFrame:
     q = start_csv_append(spark, csv_dir, table_path, checkpoint, max_files_per_trigger)
     q.awaitTermination()
-    return spark.read.parquet(table_path).drop("batch_id")
+    return spark.read.option("mergeSchema", True).parquet(table_path).drop("batch_id")

@@ -2,7 +2,7 @@ from decimal import Decimal
 
 import pytest
 
-from loanscope.operators import export
+from loanscope.operators import clean, export
 from loanscope.sources import csv_ingest
 from loanscope.streaming.ingest import run_csv_append
 
@@ -55,3 +55,47 @@ def test_summary_csv_sink(spark, tmp_path):
     export.write_csv(df, str(tmp_path / "out"), "grade")
     back = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
     assert [tuple(r) for r in back] == [("A", "1"), ("B", "2")]
+
+
+ROW = {"id": "1", "loan_amnt": "1000", "term": "36 months", "int_rate": "13.5%", "installment": "30.5", "grade": "A", "annual_inc": "50000",
+       "purpose": "car", "issue_d": "Dec-2018", "dti": "1.5", "addr_state": "CA", "loan_status": "Fully Paid", "total_pymnt": "111",
+       "total_rec_prncp": "1", "total_rec_int": "0", "recoveries": "0"}
+
+
+def _file(path, names, *rows):
+    path.parent.mkdir(exist_ok=True)
+    path.write_text("\n".join([",".join(names), *[",".join((ROW | r).get(n, "") for n in names) for r in rows]]) + "\n")
+
+
+def test_columns_are_bound_by_name(spark, tmp_path):
+    names = list(ROW)
+    _file(tmp_path / "in/a.csv", ["id", "member_id", *names[1:], "url"], {"member_id": "777", "url": "u"})
+    _file(tmp_path / "in/b.csv", names[::-1], {"id": "2", "loan_amnt": "2000"})
+    rows = {r.id: r for r in csv_ingest.read_raw_csv(spark, str(tmp_path / "in")).collect()}
+    assert rows["1"].loan_amnt == Decimal("1000.00") and rows["1"].grade == "A" and rows["1"].annual_inc == Decimal("50000.00")
+    assert (rows["1"].member_id, rows["1"].url, rows["2"].member_id) == ("777", "u", None)
+    assert rows["2"].loan_amnt == Decimal("2000.00") and rows["2"].total_pymnt == Decimal("111.00")
+    _file(tmp_path / "bad/a.csv", [n for n in names if n != "grade"], {})
+    with pytest.raises(ValueError, match="grade"):
+        csv_ingest.read_raw_csv(spark, str(tmp_path / "bad"))
+    _file(tmp_path / "in2/a.csv", ["url", *names], {"url": "v"})
+    out = run_csv_append(spark, str(tmp_path / "in2"), str(tmp_path / "t"), str(tmp_path / "c")).first()
+    assert (out.grade, out.url) == ("A", "v")
+
+
+def test_ids_follow_file_name_and_place(spark, tmp_path):
+    names = list(ROW)
+    _file(tmp_path / "in/part0.csv", names, {"total_pymnt": "111"})
+    _file(tmp_path / "in/part1.csv", names, *[{"id": str(i + 5), "loan_amnt": str(2000 + i)} for i in range(400)], {"total_pymnt": "222"})
+    for multiline in (True, False):
+        raw = csv_ingest.read_raw_csv(spark, str(tmp_path / "in"), multiline)
+        ids = [r.loan_id for r in raw.orderBy("loan_id").collect()]
+        assert len(set(ids)) == 402 and raw.orderBy("loan_id").first().total_pymnt == Decimal("111.00")
+        kept = clean.build_clean(raw)  # the first ingested of two equal loans stays
+        assert kept.where("loan_amount = 1000").first().total_payment_received == Decimal("111.00") and kept.count() == 401
+
+
+def test_duplicates_are_told_by_values_as_read(spark, tmp_path):
+    _file(tmp_path / "in/a.csv", list(ROW), {"annual_inc": "50000.001"}, {"annual_inc": "50000.004"}, {"annual_inc": "50000.0010"},
+          {"dti": "abc"}, {"dti": "xyz"}, {"dti": "abc"})
+    assert clean.build_clean(csv_ingest.read_raw_csv(spark, str(tmp_path / "in"))).count() == 4
