@@ -79,34 +79,34 @@ def power(comparison: DataFrame, alpha: float = 0.05, power_: float = 0.80) -> D
     """AB-5: required n per arm = 2 (z_{1-a/2} + z_power)^2 / d^2 (NULL when d = 0)."""
     k = F.lit(power_constant(alpha, power_))
     d = F.col("cohens_d")
-    # K / d^2 magnifies the last bits of a small d: report to 0.1 of a loan.
     return comparison.select(
         "cohens_d",
-        F.round(F.try_divide(k, d * d), 1).alias("required_n_per_arm"),
+        F.try_divide(k, d * d).alias("required_n_per_arm"),
         F.least("control_n", "treatment_n").alias("available_per_arm"))
 
 
-def duration(s: DataFrame, sim: DataFrame, comparison: DataFrame,
+def duration(s: DataFrame, comparison: DataFrame, ctx: stats.PricingContext | None = None,
              run_rate_year: int | None = None, alpha: float = 0.05,
              power_: float = 0.80) -> DataFrame:
     """AB-6: months to enrol 2 x required n at the target's share of a recent
     year's monthly volume.  ``run_rate_year`` defaults to the year before the
-    latest issue year (the reference uses its last full year)."""
-    total = s.agg(count_rows()).scalar()
-    target_n = sim.agg(count_rows()).scalar()
-    year = (F.lit(run_rate_year) if run_rate_year is not None
-            else s.agg(F.max("issue_year") - 1).scalar())
-    year_volume = s.where(F.col("issue_year") == year).agg(count_rows()).scalar()
-    d = comparison.select("cohens_d").scalar()
-    req = F.try_divide(F.lit(power_constant(alpha, power_)), d * d)
-    share = target_n.cast("double") / total.cast("double")
-    monthly_target = year_volume.cast("double") / 12.0 * share
-    return comparison.select(
-        share.alias("target_share"),
-        year.cast("bigint").alias("run_rate_year"),
-        year_volume.alias("run_rate_year_volume"),
-        monthly_target.alias("monthly_target_volume"),
-        F.try_divide(2 * req, monthly_target).alias("months_needed"))
+    latest issue year (the reference uses its last full year).  The loans are
+    read once: counts per issue year give every volume."""
+    ctx = ctx or stats.pricing_context(s)
+    aimed = F.col("grade").isin(*ctx.good_grades) & (F.col("annual_income") >= F.lit(ctx.income_median))
+    years = s.groupBy("issue_year").agg(count_rows().alias("n"), F.count_if(aimed).alias("aimed"))
+    year = F.lit(run_rate_year).cast("bigint") if run_rate_year is not None else F.col("last") - 1
+    one = years.agg(F.sum("n").alias("total"), F.sum("aimed").alias("target"), F.max("issue_year").cast("bigint").alias("last"),
+                    F.map_from_entries(F.collect_list(F.when(F.col("issue_year").isNotNull(), F.struct(
+                        F.col("issue_year").cast("bigint"), "n")))).alias("volume"))  # a row per year
+    one = one.select(year.alias("year"), (F.col("target").cast("double") / F.col("total").cast("double")).alias("share"),
+                     F.coalesce(F.try_element_at("volume", year), F.lit(0)).alias("in_year"),
+                     comparison.select("cohens_d").scalar().alias("d"))
+    req = F.try_divide(F.lit(power_constant(alpha, power_)), F.col("d") * F.col("d"))
+    monthly_target = F.col("in_year").cast("double") / 12.0 * F.col("share")
+    return one.select(
+        F.col("share").alias("target_share"), F.col("year").alias("run_rate_year"), F.col("in_year").alias("run_rate_year_volume"),
+        monthly_target.alias("monthly_target_volume"), F.try_divide(2 * req, monthly_target).alias("months_needed"))
 
 
 def portfolio_lift(s: DataFrame, ctx: stats.PricingContext | None = None) -> DataFrame:
@@ -140,5 +140,5 @@ def power_by_segment(sim: DataFrame, alpha: float = 0.05, power_: float = 0.80)
         "segment", "control_n", "treatment_n",
         (c("_mt") - c("_mc")).alias("lift_per_loan"),
         d.alias("cohens_d"),
-        F.round(F.try_divide(k, d * d), 1).alias("required_n_per_arm"),
+        F.try_divide(k, d * d).alias("required_n_per_arm"),
         F.least("control_n", "treatment_n").alias("available_per_arm")).orderBy("segment")

@@ -93,7 +93,7 @@ def q05_underpriced_low_risk(s: DataFrame, top: int = 20) -> DataFrame:
     rates = rate.join(good, "grade", "left_semi").where(F.col("_rate_pr") >= 0.5)
     floors = rates.groupBy("grade").agg(F.min("interest_rate").alias("_floor"))
     rich = base.where(F.col("annual_income") >= least_income)
-    picked = (rich.join(F.broadcast(floors), "grade").where(F.col("interest_rate") >= F.col("_floor")).drop("_floor")
+    picked = (rich.join(ranking.lookup(floors), "grade").where(F.col("interest_rate") >= F.col("_floor")).drop("_floor")
                   .join(rates, ["grade", "interest_rate"]))
     top_rows = picked.orderBy(F.col("_rate_pr").desc(), F.col("loan_id")).limit(top).join(income, "annual_income")
     top_rows = top_rows.orderBy(F.col("_rate_pr").desc(), F.col("loan_id"))

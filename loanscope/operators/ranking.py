@@ -69,12 +69,22 @@ def running_before(table: DataFrame, keys: Sequence[str], value: str, weight: st
             .drop("_b", "_head", "_inside"))
 
 
+# Rows a lookup table may have to be broadcast.
+LOOKUP_ROWS = 10_000
+
+
+def lookup(table: DataFrame) -> DataFrame:
+    """A group-grain table as the small side of a join: broadcast if it was seen
+    to be small (a grade column can be dirty), else left to the planner."""
+    return F.broadcast(table) if table.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else table
+
+
 def value_frequencies(df: DataFrame, keys: Sequence[str], value: str,
-                      drop_null_values: bool = False) -> DataFrame:
-    """Peer table: one row per (keys, value) with ``_c`` rows, ``_before`` rows
-    earlier in the same key group, and ``_n`` rows in the group."""
+                      drop_null_values: bool = False, weight: str | None = None) -> DataFrame:
+    """Peer table: one row per (keys, value) with ``_c`` rows (or their summed
+    ``weight``), ``_before`` earlier in the same key group, and ``_n`` in the group."""
     src = df.where(F.col(value).isNotNull()) if drop_null_values else df
-    freq = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    freq = src.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
     return running_before(freq, keys, value, "_c")
 
 
@@ -140,11 +150,11 @@ def ntile(df: DataFrame, value: str, k: int, out_col: str, tie_col: str = "loan_
     return plain.unionByName(straddled)
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], weight: str | None = None) -> DataFrame:
     """Linear-interpolated quantiles (NumPy/pandas default) of the non-null
-    values, exact, from the frequency table.  Returns one row with columns
-    ``q0, q1, ...`` (DOUBLE)."""
-    freq = value_frequencies(df, [], value, drop_null_values=True).select(
+    values (each ``weight`` times if given), exact, from the frequency table.
+    Returns one row with columns ``q0, q1, ...`` (DOUBLE)."""
+    freq = value_frequencies(df, [], value, drop_null_values=True, weight=weight).select(
         F.col(value).cast("double").alias("_v"), "_before", "_c", "_n")
     aggs = []
     for i, p in enumerate(probs):
@@ -161,24 +171,25 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFr
     return freq.agg(*aggs)
 
 
-def quantile_edges(source: DataFrame, value: str, k: int) -> list[float]:
+def quantile_edges(source: DataFrame, value: str, k: int, weight: str | None = None) -> list[float]:
     """The k+1 qcut edges (quantiles 0, 1/k, ..., 1) of ``value``: a bounded
     summary, fetched to the driver once like Spark ML's QuantileDiscretizer."""
     probs = [i / k for i in range(k + 1)]
-    row = exact_quantiles(source, value, probs).first()
+    row = exact_quantiles(source, value, probs, weight).first()
     return [row[f"q{i}"] for i in range(k + 1)]
 
 
 def quantile_cut(df: DataFrame, value: str, labels: Sequence[str], out_col: str,
-                 source: DataFrame | None = None) -> DataFrame:
+                 source: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """W-7 / W-8: ``pandas.qcut(value, len(labels), labels)``.
 
     Bins are (edge_i, edge_i+1], the lowest edge included; equal edges raise
     ``ValueError`` as pandas does.  NULL -> NULL.  ``source`` (default the
-    ``value`` column of ``df``) is a narrow frame the edges are computed from.
+    ``value`` column of ``df``) is a narrow frame the edges are computed from,
+    each of its rows standing for ``weight`` rows if given.
     """
     k = len(labels)
-    edges = quantile_edges(source if source is not None else df.select(value), value, k)
+    edges = quantile_edges(source if source is not None else df.select(value), value, k, weight)
     if any(e is None for e in edges):
         raise ValueError(f"quantile_cut({value}): no non-null values")
     if any(not (a < b) for a, b in zip(edges, edges[1:])):

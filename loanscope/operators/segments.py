@@ -31,12 +31,11 @@ def build_segments(s: DataFrame, with_rate_percentile: bool = True) -> DataFrame
     """W-9: loans + risk/value scores, proxies, tiers and the segment label."""
     risk = grade_risk_scores(s)
     value_score = (F.col("loan_amount") * F.col("term_months")).cast("double")
-    scored = s.join(risk, "grade", "left").withColumn("value_score", value_score)
-    # Narrow inputs for the cut edges: the risk score of every loan (a join
-    # of the grade column with the grade-grain scores) and the value score.
-    risk_src = s.select("grade").join(risk, "grade", "left").select("risk_score")
+    scored = s.join(ranking.lookup(risk), "grade", "left").withColumn("value_score", value_score)
+    # Inputs for the cut edges: a score and a loan count per grade, and the value score.
+    risk_src = s.groupBy("grade").agg(count_rows().alias("n")).join(risk, "grade")
     value_src = s.select(value_score.alias("value_score"))
-    scored = ranking.quantile_cut(scored, "risk_score", RISK_TIER_LABELS, "risk_tier", source=risk_src)
+    scored = ranking.quantile_cut(scored, "risk_score", RISK_TIER_LABELS, "risk_tier", source=risk_src, weight="n")
     scored = ranking.quantile_cut(scored, "value_score", VALUE_TIER_LABELS, "value_tier", source=value_src)
     if with_rate_percentile:
         scored = scored.withColumn(

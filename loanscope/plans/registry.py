@@ -232,11 +232,20 @@ def _stream_ingest(spark, sf_dir):
     return _ingest_summary(out)
 
 
-def _export_csv(spark, sf_dir):
-    """SRC-8: the dashboard reports written as headed CSVs (key column first),
-    read back: one row per report with its row count."""
+def _written(spark, df: DataFrame, name: str, key: str) -> DataFrame:
+    """A report written as CSV and read back: (report, key, column, value) of
+    every cell but the empty ones."""
     from ..session import scratch_path
-    base = scratch_path(spark, "export_csv", uuid.uuid4().hex)
+    path = scratch_path(spark, "export_csv", uuid.uuid4().hex, name)
+    export.write_csv(df, path, key)
+    back = spark.read.option("header", True).csv(path)
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").try_cast("double").alias("value")) for c in back.columns if c != key]
+    return (back.select(F.lit(name).alias("report"), F.col(key).alias("key"), F.explode(F.array(*cells)).alias("c"))
+                .select("report", "key", "c.column", "c.value").where("value is not null"))
+
+
+def _export_csv(spark, sf_dir):
+    """SRC-8: the dashboard reports as headed CSVs (key column first)."""
     sc, sg = _scored(spark, sf_dir), _seg(spark, sf_dir)
     reports = {
         "default_rate_by_grade": (export.default_rate_by_grade(sc), "grade"),
@@ -247,15 +256,19 @@ def _export_csv(spark, sf_dir):
     }
     out = None
     for name, (df, key) in reports.items():
-        export.write_csv(df, f"{base}/{name}", key)
-        back = (spark.read.option("header", True).csv(f"{base}/{name}")
-                .agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("report"), "n_rows"))
+        back = _written(spark, df, name, key)
         out = back if out is None else out.unionByName(back)
     return out
 
 
+def _export_coefficients(spark, sf_dir):
+    """SRC-8: the model's coefficients as a headed CSV."""
+    return _written(spark, _model_coefficients(spark, sf_dir), "feature_importance", "feature")
+
+
 QUERIES.update({
     "export_csv": _export_csv,
+    "export_coefficients": _export_coefficients,
     "csv_ingest": _csv_ingest,
     "stream_ingest": _stream_ingest,
     "good_grades": _good_grades,
@@ -285,7 +298,7 @@ QUERIES.update({
     "ab_power": lambda sp, d: experiment.power(_ab_compare(sp, d)),
     "ab_power_by_segment": lambda sp, d: experiment.power_by_segment(
         experiment.simulate(_seg(sp, d), _ctx(sp, d))),
-    "ab_duration": lambda sp, d: experiment.duration(_scored(sp, d), _simulation(sp, d), _ab_compare(sp, d)),
+    "ab_duration": lambda sp, d: experiment.duration(_scored(sp, d), _ab_compare(sp, d), _ctx(sp, d)),
     "portfolio_lift": lambda sp, d: experiment.portfolio_lift(_scored(sp, d), _ctx(sp, d)),
     "model_split": lambda sp, d: model.stratified_split(model.model_frame(_scored(sp, d))).select(
         "loan_id", "is_default", F.col("is_train").cast("bigint").alias("is_train")),
@@ -304,10 +317,12 @@ ROUNDED_6 = ("chi_square", "chi_square_test", "correlations", "correlations_test
 
 
 def _round_doubles(fn: QueryFn, digits: int = 6) -> QueryFn:
+    """For the comparison only: the operators keep full precision.  K / d^2 magnifies
+    the last bits of a small d, so the required n is compared to 0.1 of a loan."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = fn(spark, sf_dir)
         return df.select(*[
-            (F.round(F.col(f"`{f.name}`"), digits) if isinstance(f.dataType, T.DoubleType)
+            (F.round(F.col(f"`{f.name}`"), 1 if f.name == "required_n_per_arm" else digits) if isinstance(f.dataType, T.DoubleType)
              and f.name != "p_value" else F.col(f"`{f.name}`")).alias(f.name)
             for f in df.schema.fields])
     return run

@@ -1,7 +1,7 @@
 """Table access: raw loans, the materialised clean ``loans`` table, the scored view.
 
-The clean table is written once per application as Parquet under the shared
-checkpoint folder (the ``loans`` table of the pipeline) and every question
+The clean loans with their flags are written once per application as Parquet under
+the shared checkpoint folder (``loans`` is a view of that table) and every question
 reads it back with column pruning and predicate pushdown.  Writing it also
 cuts the lineage of the join + de-dup plan, so a lost executor re-reads Parquet
 instead of recomputing the ingest.
@@ -15,6 +15,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import build_clean, score
+from ..schema import CLEAN_COLUMNS, SCORED_EXTRA
 from ..session import scratch_path
 from . import fixture
 
@@ -31,11 +32,11 @@ def raw_loans(spark: SparkSession, sf_dir: str, materialise: bool = True) -> Dat
 
 
 def clean_loans(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
-    """``loans``: filter + de-dup + parse of the raw table.  With
-    ``materialise`` it is written once per application and read back."""
+    """``loans``: filter + de-dup + parse of the raw table.  With ``materialise``
+    it is a view of the stored scored table, which has every clean column."""
     if not materialise:
         return build_clean(raw_loans(spark, sf_dir))
-    return _materialise(spark, sf_dir, "loans", lambda: build_clean(raw_loans(spark, sf_dir)))
+    return scored_loans(spark, sf_dir).select(*CLEAN_COLUMNS)
 
 
 def _materialise(spark: SparkSession, sf_dir: str, name: str, build,
@@ -71,15 +72,15 @@ def segmented_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``loans_scored``: clean loans plus completed/default flags and issue year.
 
-    Stored partitioned by ``is_completed`` (most questions read completed
-    loans only: partition pruning skips the rest) and sorted by grade inside
-    each task's files (a local sort, no shuffle), so grade predicates skip
-    row groups by their min/max statistics."""
-    cols = score(clean_loans(spark, sf_dir)).columns
+    The one stored copy of the clean loans, partitioned by ``is_completed`` (most
+    questions read completed loans only: partition pruning skips the rest) and
+    sorted by grade inside each task's files (a local sort that begins with the
+    partition column, so the writer keeps it): grade predicates skip row groups
+    by their min/max statistics."""
     df = _materialise(spark, sf_dir, "loans_scored",
-                      lambda: score(clean_loans(spark, sf_dir)).sortWithinPartitions("grade", "purpose"),
+                      lambda: score(build_clean(raw_loans(spark, sf_dir))).sortWithinPartitions("is_completed", "grade", "purpose"),
                       partition_by=("is_completed",))
-    return df.select(*cols)
+    return df.select(*CLEAN_COLUMNS, *SCORED_EXTRA)
 
 
 def register_views(spark: SparkSession, sf_dir: str) -> list[str]:

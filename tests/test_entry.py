@@ -21,7 +21,7 @@ def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
     rows_only = set(QUERIES) - set(SQL)
     assert rows_only == {"chi_square_test", "correlations_test", "underpriced_welch_test",
-                         "ab_compare_test", "model_coefficients", "model_top_features", "model_metrics"}
+                         "ab_compare_test", "model_coefficients", "export_coefficients", "model_top_features", "model_metrics"}
 
 
 @pytest.fixture(scope="module")

@@ -34,3 +34,26 @@ def test_grade_filter_reaches_the_scan(spark):
     s = tables.scored_loans(spark, SF001)
     plan = _plan(s.where(s.grade.isin("A", "B")).groupBy("grade").count())
     assert "PushedFilters: [In(grade, [A,B])" in plan
+
+
+def test_stored_loans_are_sorted_by_grade(spark):
+    from pyspark.sql import functions as F
+    s = tables.scored_loans(spark, SF001).select("grade", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"))
+    by_file = {}
+    for r in sorted(s.collect(), key=lambda r: r.i):
+        by_file.setdefault(r.f, []).append(r.grade)
+    assert by_file and all(g == sorted(g) for g in by_file.values())
+
+
+def test_group_lookups_do_not_shuffle_loans(spark):
+    """With next to no automatic broadcast, no exchange on grade but of aggregates."""
+    from loanscope.operators import segments
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+    try:
+        s = tables.scored_loans(spark, SF001)
+        for df in (segments.build_segments(s, with_rate_percentile=False), portfolio.q05_underpriced_low_risk(s)):
+            tree = _plan(df).split("\n\n(")[0].split("Subqueries")[0].split("\n")
+            assert not any("SortMergeJoin" in x and "LeftOuter" in x for x in tree)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
