@@ -321,9 +321,10 @@ def _round_doubles(fn: QueryFn, digits: int = 6) -> QueryFn:
     the last bits of a small d, so the required n is compared to 0.1 of a loan."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = fn(spark, sf_dir)
+        shown = lambda f: (F.format_string("%.6e", F.col(f.name)).try_cast("double") if f.name == "p_value"
+                           else F.round(F.col(f"`{f.name}`"), 1 if f.name == "required_n_per_arm" else digits))
         return df.select(*[
-            (F.round(F.col(f"`{f.name}`"), 1 if f.name == "required_n_per_arm" else digits) if isinstance(f.dataType, T.DoubleType)
-             and f.name != "p_value" else F.col(f"`{f.name}`")).alias(f.name)
+            (shown(f) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")).alias(f.name)
             for f in df.schema.fields])
     return run
 

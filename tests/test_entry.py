@@ -20,8 +20,8 @@ def test_entry_smoke(spark):
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
     rows_only = set(QUERIES) - set(SQL)
-    assert rows_only == {"chi_square_test", "correlations_test", "underpriced_welch_test",
-                         "ab_compare_test", "model_coefficients", "export_coefficients", "model_top_features", "model_metrics"}
+    # A fitted model has no SQL form; test_model.py holds it against Newton's method.
+    assert rows_only == {"export_coefficients", "model_coefficients", "model_top_features", "model_metrics"}
 
 
 @pytest.fixture(scope="module")
