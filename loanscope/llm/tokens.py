@@ -16,6 +16,8 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 from functools import lru_cache
 
 import public_tokenizers
@@ -23,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import map_arrow, slices, table
 
@@ -39,9 +42,7 @@ def _byte_alphabet() -> dict[str, int]:
 @lru_cache(maxsize=2)
 def prepared(path: str):
     """(library tokenizer, pre-token pattern, special strings, whole tokens)."""
-    import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
     special = {t.content for t in tok.get_added_tokens_decoder().values()}
     alphabet, words = _byte_alphabet(), []
@@ -59,9 +60,26 @@ def prepared(path: str):
     return tok, pattern, special, whole
 
 
-def counter(path: str):
-    """texts -> token counts."""
+@lru_cache(maxsize=2)
+def disputed(path: str) -> str:
+    """Characters the two Unicode tables class differently: the library's regular
+    expressions know another version.  Planes 0 to 3 and 14; no other has any."""
+    tok, pattern, _, _ = prepared(path)
+    chars = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000))]
+    return "".join(c for c in chars if len(tok.pre_tokenizer.pre_tokenize_str(f"a{c}1{c} {c}{c}!")) != len(pattern.findall(f"a{c}1{c} {c}{c}!")))
+
+
+def counter(path: str, odd: str):
+    """texts -> token counts; ``odd``: the characters of :func:`disputed`, whose
+    texts the library itself cuts into pre-tokens."""
     tok, pattern, special, whole = prepared(path)
+    strange = re.compile(f"[{re.escape(odd)}]") if odd else None
+
+    def pre_tokens(text: str) -> list[str]:
+        if strange is not None and not text.isascii() and strange.search(text):
+            return [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)]
+        return pattern.findall(text)
+
     cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def count(texts: list) -> list[int]:
@@ -74,7 +92,7 @@ def counter(path: str):
                     parts = cut.split(t)
                     n += len(parts) - 1
                 for part in parts:
-                    pre = pattern.findall(part)
+                    pre = pre_tokens(part)
                     n += len(pre)
                     rest += [p for p in pre if p not in whole]
             sums.append(n)
@@ -91,10 +109,10 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, limit: int = 1024,
                  vocabulary: str = BYTE_BPE) -> DataFrame:
     """``id``, ``n_bytes``, ``n_tokens``, ``over_limit`` for each row."""
     path = public_tokenizers.path(vocabulary)
-    kind = dict(df.dtypes)[id_col]
+    kind, odd = dict(df.dtypes)[id_col], disputed(path)
 
     def build():
-        count = counter(path)
+        count = counter(path, odd)
 
         def step(b):
             for first, texts in slices(b, 2):
