@@ -1,0 +1,216 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF001
+from loanscope.llm import language, neighbours, privacy, quality
+from llm_edges import TEXTS, empty, frame
+
+TRAIN = {"en": ["the cat and the dog are in the house", "there is the other thing"], "de": ["der hund und die katze sind im haus", "das ist die andere"]}
+
+
+def slow_bits(texts, word, order=language.ORDER):
+    """Code length of one word by the definition, one byte at a time."""
+    counts = {}
+    for t in texts:
+        for w in language.words_of(t):
+            b = b" " + w.encode() + b" "
+            for o in range(order + 1):
+                for i in range(max(1, o), len(b)):
+                    counts.setdefault(b[i - o:i], Counter())[b[i]] += 1
+    b, total = b" " + word.encode() + b" ", 0.0
+    for i in range(1, len(b)):
+        for o in range(min(order, i), -1, -1):
+            c = counts.get(b[i - o:i])
+            if c is None:
+                continue
+            n, d = sum(c.values()), len(c)
+            if c[b[i]]:
+                total -= math.log2(c[b[i]] / (n + d))
+                break
+            total -= math.log2(d / (n + d))
+        else:
+            total += 8
+    return total
+
+
+def test_code_lengths_equal_the_definition():
+    model = language.Model(TRAIN)
+    words = ["the", "hund", "xyz", "katzen", "é", "a", "thedogandthecathouse"]
+    got = model.word_bits(words)
+    for j, lang in enumerate(model.langs):
+        for i, w in enumerate(words):
+            assert got[i, j] == pytest.approx(slow_bits(TRAIN[lang], w), abs=1e-9)
+
+
+def test_held_out_accuracy_and_edges(spark):
+    docs = spark.read.parquet(SF001 + "/documents.parquet")
+    test = language.held_out("doc_id")
+    model = language.train(docs.where(~test), "doc_id", "text", "lang")
+    got = language.identify(docs.where(test).select("lang", "text"), model, "text").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+    out = language.identify(frame(spark), model, "text")
+    rows = out.collect()
+    assert len(rows) == len(TEXTS) + 1 and out.columns[:7] == frame(spark).columns
+    und = {i for i, r in enumerate(rows) if r.lang_pred == "und"}
+    assert und == {i for i, r in enumerate(rows) if not r.text or not any(c.isalpha() for c in r.text)}
+    assert all(0 <= r.score <= 1 for r in rows)
+    assert language.identify(empty(spark), model, "text").collect() == []
+    nothing = language.train(empty(spark), "doc_id", "text", "lang")
+    assert {r.lang_pred for r in language.identify(frame(spark), nothing, "text").collect()} == {"und"}
+
+
+def test_training_rows_are_bounded(spark):
+    df = spark.range(2000).select("id", F.concat(F.lit("word "), F.col("id").cast("string")).alias("t"), F.lit("en").alias("l"))
+    seen = {}
+    real = language.Model
+    try:
+        language.Model = lambda texts: seen.update(texts) or real(texts)
+        language.train(df, "id", "t", "l", sample=50)
+    finally:
+        language.Model = real
+    assert len(seen["en"]) == 50
+
+
+def vectors(n, dim=16, seed=0):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, dim))
+    return (centres[rng.integers(0, 6, n)] + rng.normal(size=(n, dim)) * rng.uniform(0.5, 1.5, (n, 1))).astype(np.float32)
+
+
+@pytest.mark.parametrize("block", [10_000, 64])
+def test_neighbours_recall(spark, block):
+    x = vectors(900).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "id long, e array<float>, v1 int")
+    rows = neighbours.nearest(df, "id", "e", F.col("id") % 20 == 0, block=block, queries=7).collect()
+    hit = 0
+    for q in range(0, 900, 20):
+        own = sorted((r for r in rows if r.query_id == q), key=lambda r: r.rank)
+        assert [r.rank for r in own] == list(range(1, 21)) and q not in {r.id for r in own}
+        score = x @ x[q]
+        assert all(r.score == pytest.approx(score[r.id], abs=1e-9) for r in own)
+        assert [(-r.score, r.id) for r in own] == sorted((-r.score, r.id) for r in own)
+        best = set(np.argsort(-score, kind="stable")[:21].tolist()) - {q}
+        hit += len({r.id for r in own} & set(sorted(best, key=lambda i: -score[i])[:20]))
+    assert hit >= 0.95 * 20 * 45
+
+
+def test_neighbours_edges(spark):
+    nan, same = float("nan"), [1.0, 2.0]
+    rows = [(0, same), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [None, 1.0]), (5, []), (6, [1.0]), (7, [2.0, 1.0])]
+    rows += [(i, same) for i in range(8, 40)] + [(8, same), (60, [-1.0, 0.5])]
+    df = spark.createDataFrame(rows, "id long, e array<double>")
+    got = {}
+    for r in neighbours.nearest(df, "id", "e", F.col("id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, r.score))
+    assert set(got) == {0, 20, 60}
+    assert [i for _, i, _ in sorted(got[0])] == list(range(8, 28))  # ties to the smaller id
+    assert [i for _, i, _ in sorted(got[20])] == [0, *range(8, 20), *range(21, 28)]
+    assert neighbours.nearest(df.where("id in (0, 7)"), "id", "e", F.col("id") % 20 == 0).count() == 1
+    assert neighbours.nearest(df.limit(0), "id", "e", F.col("id") % 20 == 0).collect() == []
+
+
+def test_chi_square_quantile():
+    assert neighbours.chi_square_cdf(neighbours.chi_square_limit(0.95)) == pytest.approx(0.95)
+    assert neighbours.chi_square_limit(0.95) == pytest.approx(15.507, abs=1e-3)  # 8 degrees of freedom
+
+
+ENTITIES = ["mail me: anna.b2@post.example.com", "call +1 (415) 555-0134", "card 4532015112830366", "or 4532-0151-1283-0366 or 1234567890123456",
+            "from 10.1.2.3 and 8.8.4.4", 'token = "3f786850e387550fdab836ed7e6dc881de23001b"', "Mr. Adam Smith met Mrs. Eva Stone and Dr. Kim",
+            "ssn 123-45-6789", "iban DE89 3704 0044 0532 0130 00", "Frau Иванова, Herr Müller", "version 1.2.3 on 2024-01-05 costs 1,200"]
+
+
+def test_permutation_is_one():
+    for form in ("00", "a0", "aB", "0-0"):
+        places = [range(10) if c == "0" else range(26) if c.isalpha() else [c] for c in form]
+        import itertools
+        texts = ["".join(str(x) if c == "0" else chr(ord("a" if c.islower() else "A") + x) if c.isalpha() else c
+                         for c, x in zip(form, xs)) for xs in itertools.product(*places)]
+        made = {privacy.permute(t, b"k", "t") for t in texts}
+        assert made == set(texts)
+
+
+def test_surrogates_keep_type_and_format():
+    text = "\n".join(ENTITIES)
+    found = privacy.entities(text)
+    assert Counter(k for k, *_ in found) == {"mail": 1, "phone": 1, "card": 3, "ip": 2, "secret": 1, "name": 5, "ssn": 1, "iban": 1}
+    out, n = privacy.rewrite(text, {})
+    assert n == len(found) and "version 1.2.3 on 2024-01-05 costs 1,200" in out
+    again = privacy.entities(out)
+    assert [k for k, *_ in again] == [k for k, *_ in found]
+    assert not {e for _, e, *_ in again} & {e for _, e, *_ in found}
+    cards = [e for k, e, *_ in again if k == "card"]
+    assert cards[0] == cards[1] and privacy.luhn(cards[0]) and not privacy.luhn(cards[2])  # one card in two layouts
+    assert [e for k, e, *_ in again if k == "ip"][0].startswith("10.") and "+1 (" in out
+    for (k, e, *_), (_, f, *_) in zip(found, again):
+        if k == "name":
+            assert e.split("|")[0] == f.split("|")[0] and e.count(" ") == f.count(" ")
+            given = f.split("|")[1].split(" ")[0]
+            if " " in f and e[0] in "mf":
+                assert given in privacy.GIVEN["latin", e[0]]
+    assert any("Ѐ" <= c <= "ӿ" for c in out.split("Frau ")[1][:3])  # script kept
+
+
+def test_distinct_and_real_names_are_avoided(spark):
+    rng = random.Random(2)
+    people = sorted({f"Mr. {rng.choice(privacy.GIVEN['latin', 'm'])} {rng.choice(privacy.FAMILY['latin'])}" for _ in range(500)})
+    df = spark.createDataFrame([(i, f"{p} spoke. {p} left.", 5) for i, p in enumerate(people)], "doc_id long, text string, _key_ int")
+    for limit in (privacy.BROADCAST, 0):  # broadcast, and joined
+        out = privacy.pseudonymised(df, "text", broadcast_rows=limit).orderBy("doc_id").collect()
+        names = [r.text.split(" spoke.")[0] for r in out]
+        assert all(r.text == f"{m} spoke. {m} left." for r, m in zip(out, names))  # coreference
+        assert len(set(names)) == len(people) and not set(names) & set(people)
+        if limit:
+            first = [r.text for r in out]
+    assert first == [r.text for r in out]
+
+
+def test_privacy_edges(spark):
+    df = frame(spark)
+    out = privacy.pseudonymised(df, "text", count_col="found")
+    assert out.columns == [*df.columns, "found"]
+    assert sorted(map(str, (r.text for r in out.collect()))) == sorted(map(str, (r.text for r in df.collect())))
+    assert privacy.pseudonymised(empty(spark), "text").collect() == []
+
+
+def slow_quality(text):
+    import re
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    dup = sum(x in lines[:i] for i, x in enumerate(lines))
+    grams = Counter(tuple(words[i:i + 3]) for i in range(len(words) - 2))
+    rep = {j for i in range(len(words) - 2) if grams[tuple(words[i:i + 3])] > 1 for j in range(i, i + 3)}
+    return len(words), sum(map(len, words)), sum(c in quality.SYMBOLS for c in text), dup, len(rep)
+
+
+def test_quality_counts_equal_brute_force(spark):
+    rng = random.Random(8)
+    texts = [t for t in TEXTS if not t or len(t) < 3000]
+    texts += ["\n".join(" ".join(rng.choice(["a", "b", "c#", "\x1cd", "é"]) for _ in range(rng.randrange(0, 8))) + rng.choice(["", "\r", "\t "])
+                        for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.quality(df, "doc_id", "text").collect():
+        want = slow_quality(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and (not r.kept or not r.base_failed)
+    assert quality.quality(empty(spark), "doc_id", "text").collect() == []
+    assert quality.quality(frame(spark), "doc_id", "text").count() == len(TEXTS) + 1
+
+
+def test_bands_reject_repeats_and_noise(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    prose = [" ".join(rng.choice(words) for _ in range(n)) for n in (60, 300, 2000, 9000)]
+    noise = [" ".join("".join(chr(rng.randrange(33, 0x2FF)) for _ in range(8)) for _ in range(n)) for n in (300, 2000)]
+    import base64
+    noise = [" ".join(base64.b85encode(rng.randbytes(60)).decode() for _ in range(n)) for n in (60, 400)]
+    loop = [" ".join(f"{w} and {words[i % 40]}" for i, w in enumerate(words[:60] * 30))]
+    rows = [(i, t) for i, t in enumerate(prose + noise + loop)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert [got[i].kept for i in range(4)] == [True] * 4
+    assert not any(got[i].kept for i in range(4, len(rows)))
