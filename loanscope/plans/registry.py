@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..operators import clean, experiment, export, model, portfolio, quality, ranking, segments, stats
 from ..schema import RAW_SCHEMA
+from ..session import input_state
 from ..sources import tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -140,7 +141,7 @@ _LOCK = threading.RLock()
 
 
 def _ctx(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, input_state(spark, sf_dir))
     with _LOCK:
         if key not in _CTX:
             _CTX[key] = stats.pricing_context(_scored(spark, sf_dir))
@@ -159,7 +160,7 @@ _MODELS: dict = {}
 
 
 def _fitted(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, input_state(spark, sf_dir))
     with _LOCK:
         if key not in _MODELS:
             split = model.stratified_split(model.model_frame(_scored(spark, sf_dir)))
@@ -204,7 +205,7 @@ def _staged_csv(spark, sf_dir) -> str:
     once per application under the shared checkpoint folder."""
     from ..session import scratch_path
     from ..sources import csv_ingest
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, input_state(spark, sf_dir))
     with _LOCK:
         if key not in _STAGED:
             path = scratch_path(spark, "staged_csv", uuid.uuid4().hex)

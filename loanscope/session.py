@@ -20,11 +20,15 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
-                  app_name: str = "loanscope", extra: dict | None = None) -> SparkSession:
+def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app_name: str = "loanscope",
+                  extra: dict | None = None, input_bytes: int | None = None, cores: int = 8) -> SparkSession:
+    """A session for an input of ``input_bytes`` (see :func:`scale_conf`) or, for
+    small local work, with a plain number of shuffle partitions."""
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if input_bytes is not None:
+        conf.update(scale_conf(input_bytes, cores))
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -44,7 +48,7 @@ def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 <
     gives ~400k shuffle partitions before coalescing; locally, a few dozen.
     """
     by_size = max(1, input_bytes // target_partition_bytes)
-    partitions = int(max(2 * cores, min(by_size, 500_000)))
+    partitions = int(max(2 * cores, by_size))
     # Row groups are the unit a Parquet scan can split on: 128 MB at scale,
     # smaller when the whole input is small so stage tables still spread over
     # every core when read back.
@@ -85,5 +89,13 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "loanscope", spark.sparkContext.applicationId, *parts])
 
 
+def input_state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of a folder's entries: what a result kept for the
+    folder was made from."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def parquet_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import build_clean, score
 from ..schema import CLEAN_COLUMNS, SCORED_EXTRA
-from ..session import scratch_path
+from ..session import input_state, scratch_path
 from . import fixture
 
-_MATERIALISED: dict[tuple[str, str], str] = {}
+_MATERIALISED: dict[tuple, str] = {}
 # Re-entrant: building one table may materialise the table it is built from.
 _LOCK = threading.RLock()
 
@@ -41,7 +41,7 @@ def clean_loans(spark: SparkSession, sf_dir: str, materialise: bool = True) -> D
 
 def _materialise(spark: SparkSession, sf_dir: str, name: str, build,
                  partition_by: tuple = ()) -> DataFrame:
-    key = (spark.sparkContext.applicationId, f"{name}:{sf_dir}")
+    key = (spark.sparkContext.applicationId, name, sf_dir, input_state(spark, sf_dir))
     with _LOCK:
         path = _build_once(spark, sf_dir, name, build, partition_by, key)
     return spark.read.parquet(path)
@@ -50,7 +50,7 @@ def _materialise(spark: SparkSession, sf_dir: str, name: str, build,
 def _build_once(spark, sf_dir, name, build, partition_by, key) -> str:
     path = _MATERIALISED.get(key)
     if path is None:
-        tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+        tag = hashlib.sha1(repr(key[2:]).encode()).hexdigest()[:12]
         path = scratch_path(spark, f"{name}_{tag}")
         writer = build().write.mode("overwrite")
         if partition_by:

@@ -57,3 +57,15 @@ def test_group_lookups_do_not_shuffle_loans(spark):
             assert not any("SortMergeJoin" in x and "LeftOuter" in x for x in tree)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_changed_input_is_not_answered_from_the_old_table(spark, tmp_path):
+    import shutil
+
+    import pyarrow.parquet as pq
+    for f in ("lineitem", "orders", "customer", "part", "nation"):
+        shutil.copy(f"{SF001}/{f}.parquet", tmp_path)
+    n = tables.clean_loans(spark, str(tmp_path)).count()
+    (tmp_path / "lineitem.parquet").unlink()
+    pq.write_table(pq.read_table(f"{SF001}/lineitem.parquet").slice(0, 100), tmp_path / "lineitem.parquet")
+    assert 0 < tables.clean_loans(spark, str(tmp_path)).count() < n
