@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_arrow, slices, staged, table
+from .common import REMEMBERED, fresh, map_arrow, slices, staged, table
 
 KEY = b"surrogate-key"
 #: Entities drawn again that are broadcast at most; more are joined.
@@ -245,6 +245,9 @@ def _cached(kind: str, entity: str, attempt: int, key: bytes) -> str:
     return surrogate(kind, entity, attempt, key)
 
 
+REMEMBERED.append(_cached.cache_clear)
+
+
 def rewrite(text: str | None, attempts: dict, key: bytes = KEY) -> tuple[str | None, int]:
     """(text with surrogates, entities found); ``attempts``: by (kind, entity)."""
     found = entities(text) if text else []

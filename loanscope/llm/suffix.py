@@ -38,18 +38,20 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, staged, table, text_key
+from .common import REMEMBERED, map_arrow, screened, slices, staged, table, text_key
 
 SPAN = 400
 #: Different contexts of one gram sorted in one task.
 GROUP = 1 << 16
+#: Anchors whose contexts a task holds at once.
+CONTEXTS = 20_000
 #: Rows sorted at once.
 ROWS = 1 << 13
 #: Characters hashed at once, and bytes hashed as one block in comparisons.
-HASHED, BLOCK = 1 << 20, 16
+HASHED, BLOCK = 1 << 18, 16
 
 
 
@@ -67,11 +69,12 @@ _B = 0x9E3779B97F4A7C15 | 1
 _BI = pow(_B, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[str, np.ndarray] = {}
+REMEMBERED.append(_powers.clear)
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        n = 1 << max(20, int(n - 1).bit_length())
+        n = 1 << max(18, int(n - 1).bit_length())
         for name, base in (("up", _B), ("down", _BI)):
             p = np.full(n, base, np.uint64)
             p[0] = 1
@@ -189,27 +192,33 @@ def _contexts(df: DataFrame, span: int) -> DataFrame:
     schema = "_t1 long, _t2 long, at int, h long, f1 long, f2 long, n int, before binary, after binary"
 
     def build():
+        def packed(rows):
+            a, c, at, h, names, n, back, ahead = zip(*rows)
+            pair = np.frombuffer(b"".join(names), ">i8").reshape(-1, 2).astype(np.int64)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(at, pa.int32()), pa.array(h, pa.int64()),
+                 pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(n, pa.int32()), pa.array(back, pa.binary()), pa.array(ahead, pa.binary())],
+                names=["_t1", "_t2", "at", "h", "f1", "f2", "n", "before", "after"])
+
         def step(b):
             t1, t2, text, marks = (b.column(i) for i in range(4))
             rows, first = [], {}
             for i in range(b.num_rows):
-                raw = text[i].as_py().encode("utf-8", "surrogatepass")
+                raw, key = text[i].as_py().encode("utf-8", "surrogatepass"), (t1[i].as_py(), t2[i].as_py())
                 for m in marks[i].as_py():
                     back, ahead = context(raw, m["at"], span)
                     name = xxhash.xxh3_128_digest(len(back).to_bytes(2, "big") + m["h"].to_bytes(8, "big", signed=True) + back + ahead)
                     if name in first:
-                        rows[first[name]][6] += 1
-                        rows.append([t1[i].as_py(), t2[i].as_py(), m["at"], m["h"], name, None, 0, None, None])
+                        rows[first[name]][5] += 1
+                        rows.append([*key, m["at"], m["h"], name, 0, None, None])
                     else:
                         first[name] = len(rows)
-                        rows.append([t1[i].as_py(), t2[i].as_py(), m["at"], m["h"], name, None, 1, back, ahead])
+                        rows.append([*key, m["at"], m["h"], name, 1, back, ahead])
+                if len(rows) > CONTEXTS:
+                    yield packed(rows)
+                    rows, first = [], {}
             if rows:
-                a, c, at, h, names, _, n, back, ahead = zip(*rows)
-                pair = np.frombuffer(b"".join(names), ">i8").reshape(-1, 2).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(at, pa.int32()), pa.array(h, pa.int64()),
-                     pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(n, pa.int32()), pa.array(back, pa.binary()), pa.array(ahead, pa.binary())],
-                    names=["_t1", "_t2", "at", "h", "f1", "f2", "n", "before", "after"])
+                yield packed(rows)
         return step
 
     return map_arrow(df, build, schema)
@@ -404,22 +413,6 @@ def _counted(contexts: DataFrame, span: int) -> DataFrame:
              .agg(F.max("l").alias("lo"), (span - F.min("l")).alias("hi")))
 
 
-#: Bits of the filter that spares texts without marks a shuffle (512 KB at most).
-_FILTER_WORDS = 1 << 16
-
-
-def _marked(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, Column]:
-    """``docs`` with the filter word of its key, and whether the key may be in
-    ``keys``: false for sure, true perhaps.  The filter has a fixed size."""
-    word = lambda c: F.pmod(F.col(c), F.lit(_FILTER_WORDS)).cast("int")
-    bit = lambda c: F.pmod(F.shiftright(F.col(c), 20), F.lit(64)).cast("int")
-    bits = keys.select(word("_t1").alias("_w"), F.expr("shiftleft(1L, cast(pmod(shiftright(_t1, 20), 64) as int))").alias("_b"))
-    bits = bits.groupBy("_w").agg(F.bit_or("_b").alias("_b"))
-    docs = docs.withColumn("_w", word("_t1")).join(F.broadcast(bits), "_w", "left")
-    maybe = F.coalesce(F.expr("(shiftright(_b, cast(pmod(shiftright(_t1, 20), 64) as int)) & 1L) = 1L"), F.lit(False))
-    return docs, maybe
-
-
 def repeated_spans(df: DataFrame, text_col: str, group: int = GROUP, span: int = SPAN) -> DataFrame:
     """(_t1, _t2, spans): byte spans to remove from each different text."""
     docs = df.select(*text_key(text_col), F.col(text_col).alias("text")).where(F.octet_length("text") >= span)
@@ -430,8 +423,7 @@ def repeated_spans(df: DataFrame, text_col: str, group: int = GROUP, span: int =
     own = F.xxhash64("_t1", "_t2", "at")
     grams = at.groupBy("h").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x != y").select("h")
     marks = staged(at.join(grams, "h", "left_semi").select(*t, "at", "h").distinct(), "marks")
-    some, maybe = _marked(docs, marks.select(*t))
-    texts = some.where(maybe).select(*t, "text").groupBy(*t).agg(F.first("text").alias("text"))
+    texts = screened(docs, "_t1", marks, "_t1", "_maybe").where("_maybe").select(*t, "text").groupBy(*t).agg(F.first("text").alias("text"))
     listed = marks.groupBy(*t).agg(F.collect_list(F.struct("at", "h")).alias("marks"))  # of one text
     members = staged(_contexts(texts.join(listed, t), span), "contexts")
     contexts = members.where("n > 0").select("h", "f1", "f2", "n", "before", "after")
@@ -481,8 +473,7 @@ def removed(df: DataFrame, id_col: str, text_col: str, group: int = GROUP, span:
     """``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` for each row."""
     spans = staged(repeated_spans(df, text_col, group, span), "spans")
     docs = df.select(F.col(id_col).alias("id"), *text_key(text_col), F.col(text_col).alias("text"))
-    docs, maybe = _marked(docs, spans.select("_t1", "_t2"))
-    docs = docs.withColumn("_maybe", maybe)
+    docs = screened(docs, "_t1", spans, "_t1", "_maybe")
     some = docs.where("_maybe").select("id", "_t1", "_t2", "text").join(spans, ["_t1", "_t2"], "left").select("id", "text", "spans")
     whole = F.coalesce("text", F.lit(""))
     none = docs.where("not _maybe").select("id", F.octet_length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
@@ -506,9 +497,13 @@ def without_repeats(df: DataFrame, text_col: str, group: int = GROUP, span: int
 
     text = F.col(f"`{text_col}`")
     keyed = df.select("*", *[k.alias(f"{s}k") for k, s in zip(text_key(text), spare)])
-    hit = keyed.join(spans, (F.col(f"{spare[0]}k") == F.col(spare[0])) & (F.col(f"{spare[1]}k") == F.col(spare[1])), "left")
+    keyed = screened(keyed, f"{spare[0]}k", spans, spare[0], f"{spare[0]}m")
+    own = [F.col(f"`{c}`") for c in df.columns]
+    none = keyed.where(f"not {spare[0]}m").select(*own)
+    same = (F.col(f"{spare[0]}k") == F.col(spare[0])) & (F.col(f"{spare[1]}k") == F.col(spare[1]))
+    hit = keyed.where(f"{spare[0]}m").join(spans, same, "left")
     out = hit.withColumn(text_col, F.when(F.col(spare[2]).isNotNull(), cut(text, F.col(spare[2]))).otherwise(text))
-    return out.where(F.col(spare[2]).isNull() | (F.length(text) > 0)).select(*[F.col(f"`{c}`") for c in df.columns])
+    return none.unionAll(out.where(F.col(spare[2]).isNull() | (F.length(text) > 0)).select(*own))
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
