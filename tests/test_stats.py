@@ -121,3 +121,45 @@ def test_t_tail_against_closed_forms_and_the_normal_limit():
 def test_chi_square_tail_odd_and_even():
     assert D.chi2_sf(3.0, 3) == pytest.approx(math.erfc(math.sqrt(1.5)) + math.sqrt(6 / math.pi) * math.exp(-1.5), rel=1e-12)
     assert D.chi2_sf(5.0, 6) == pytest.approx(math.exp(-2.5) * (1 + 2.5 + 2.5 ** 2 / 2), rel=1e-12)
+
+
+# Fixed values of the published cohort, margin and sensitivity tables (some rows).
+COHORTS = {2007: (599, 599, 158, 26.38, 100.0), 2008: (2393, 2393, 496, 20.73, 100.0), 2009: (5281, 5281, 723, 13.69, 100.0)}
+MARGINS = {"A": (268616545, 110796607, 157819938), "B": (655996068, 442283009, 213713059), "C": (903631433, 857964678, 45666755)}
+SENSITIVITY = {"High Risk / Low Value": (123264, 186692021, 188632066, -1940045, -39666459, 35786368),
+               "Low Risk / High Value": (212897, 550986070, 342717123, 208268947, 139725523, 276812372),
+               "Low Risk / Low Value": (393859, 373626543, 210362493, 163264050, 121191551, 205336548)}
+
+
+def test_cohort_golden(spark):
+    from loanscope.operators import export
+    parts = [spark.range(n).select(F.lit(y).alias("issue_year"), F.lit(1).alias("is_completed"), (F.col("id") < d).cast("int").alias("is_default"))
+             for y, (n, _, d, _, _) in COHORTS.items()]
+    df = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    got = {r.issue_year: (r.total_loans_in_cohort, r.completed_loans, r.defaults, r.default_rate_pct_of_completed, r.pct_of_cohort_completed)
+           for r in export.cohort_analysis(df).collect()}
+    assert got == COHORTS
+
+
+def _sums(spark, key, rows):
+    """Two loans of each group: one that paid the interest, one that lost the principal."""
+    out = [(g, 1, d, i * (1 - d), float(lost * d), 0.0) for g, (i, lost) in rows.items() for d in (0, 1)]
+    return spark.createDataFrame([(g, c, d, float(i), a, p) for g, c, d, i, a, p in out],
+                                 f"{key} string, is_completed int, is_default int, interest_received double, loan_amount double, principal_received double")
+
+
+def _decimal(df):
+    return df.select(*[F.col(c).cast("decimal(18,2)").alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def test_margin_and_sensitivity_golden(spark):
+    from loanscope.operators import export, segments
+    got = {r.grade: tuple(r)[1:] for r in export.realized_margin_by_grade(_decimal(_sums(spark, "grade", {g: v[:2] for g, v in MARGINS.items()}))).collect()}
+    assert got == MARGINS
+    sens = segments.segment_sensitivity(_decimal(_sums(spark, "segment", {g: v[1:3] for g, v in SENSITIVITY.items()})))
+    for r in sens.collect():
+        want = SENSITIVITY[r.segment]
+        # The published sums are rounded to units, so a scenario may be off by one.
+        assert [abs(a - b) <= 1 for a, b in zip(tuple(r)[2:], want[1:])] == [True] * 5
+    robust = {r.segment: r.robust for r in segments.segment_robustness(sens).collect()}
+    assert robust == {"High Risk / Low Value": False, "Low Risk / High Value": True, "Low Risk / Low Value": True}
