@@ -23,6 +23,12 @@ def planted(seed=1):
             base[rng.randrange(len(base))] = rng.choice(words)
         docs.append(base)
         docs.append(base[:-2])
+    base = prose(120)
+    for i in range(45):  # one large group: light and heavy edits of one text, some shortened
+        copy = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            copy[rng.randrange(len(copy))] = rng.choice(words) if i % 3 else f"only{i}"
+        docs.append(copy[rng.randrange(0, 12):] if i % 5 == 0 else copy)
     return [" ".join(d) for d in docs]
 
 
