@@ -15,6 +15,9 @@ separate documents; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import os
+import re
 import zlib
 
 import numpy as np
@@ -23,6 +26,8 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import map_arrow, slices, staged, table
 
@@ -33,7 +38,7 @@ PARTITION_PIECES = 40_000
 #: Exchanges at most; more would only lower the count further.
 ROUNDS = 6
 #: Words whose ids a worker remembers; only a matter of speed.
-REMEMBERED = 300_000
+KNOWN_WORDS = 500_000
 
 
 def id_bytes(vocabulary: str, end_id: int):
@@ -41,22 +46,44 @@ def id_bytes(vocabulary: str, end_id: int):
 
     No pre-token spans white space, so a text's ids are those of the strings
     between its blanks, each put to the library once and remembered."""
-    import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
     tok = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    known: dict[str, bytes] = {"": b""}
+    # Lower-case words of Latin letters pass its normalizer and pattern unchanged:
+    # they can go straight to the merges, each but once for all its spellings.
+    merges = Tokenizer(tok.model)
+    merges.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+    latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    cores: dict[str, bytes] = {}
+    others: dict[str, bytes] = {"": b""}
+    as_bytes = lambda encodings: [np.array(e.ids, "<u4").tobytes() for e in encodings]
+    ends = dict(zip(("", ".", ","), as_bytes(tok.encode_batch(["", ".", ","], add_special_tokens=False))))
     end = np.array([end_id], "<u4").tobytes()
 
+    def learn(words: set[str]) -> dict[str, bytes]:
+        plain, rest = [], []
+        for w in words:
+            mark = w[-1:] if w[-1:] in (".", ",") else ""
+            core = w[:-1] if mark else w
+            if core.isalpha() and (core.isascii() or latin.fullmatch(core)):
+                plain.append((w, core.lower(), mark))
+            else:
+                rest.append(w)
+        missing = list({c for _, c, _ in plain} - cores.keys())
+        cores.update(zip(missing, as_bytes(merges.encode_batch_fast(missing, add_special_tokens=False))))
+        missing = [w for w in rest if w not in others]
+        others.update(zip(missing, as_bytes(tok.encode_batch(missing, add_special_tokens=False))))
+        ids = {w: cores[c] + ends[m] for w, c, m in plain}
+        ids.update((w, others[w]) for w in rest)
+        return ids
+
     def encode(texts: list) -> list[bytes]:
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
+        if len(cores) + len(others) > KNOWN_WORDS:
+            cores.clear()
+            others.clear()
+            others[""] = b""
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) + end for ws in words]
+        ids = learn(set().union(*words))
+        return [b"".join(map(ids.__getitem__, ws)) + end for ws in words]
 
     return encode
 
@@ -96,7 +123,6 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     """(sequence, offset) of each piece: largest first, into the fullest
     sequence with room.  Open sequences are kept by free space, so each piece
     costs a look at the next occupied free space only."""
-    import bisect
     seq, off = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     free: dict[int, list[int]] = {}
     spaces: list[int] = []  # sorted free spaces in use
@@ -111,7 +137,8 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
                 del free[space]
                 del spaces[k]
         else:
-            space, b, made = capacity, made, made + 1
+            space, b = capacity, made
+            made += 1
         seq[i], off[i] = b, capacity - space
         if left := space - s:
             if left not in free:
