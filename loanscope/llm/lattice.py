@@ -254,7 +254,9 @@ def encode(df: DataFrame, id_col: str, text_col: str, model: str = MODEL) -> Dat
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(src.dtypes)["id"]
     pairs = _blocks(src, path, False).select("block", F.posexplode("words").alias("no", "word"))
-    words = encoded_words(pairs.select("word").distinct(), path)
+    # A word grows into dozens of substrings: its place is dealt by number, not by bytes.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = encoded_words(pairs.select("word").repartition(tasks, "word").distinct(), path)
     known = pairs.join(words, "word").select("block", "no", "ids")
     texts = _blocks(src, path, True)
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
