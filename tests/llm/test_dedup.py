@@ -87,6 +87,20 @@ def test_similarity_is_exact_from_the_threshold_on():
         assert got == pytest.approx(true) if true >= 0.8 else true - 1e-12 <= got < 0.8
 
 
+def test_near_copy_of_a_text_with_a_repeated_line(spark):
+    """Only one text of the pair has repeated shingles."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    line = " ".join(words[:9])
+    twice = "\n".join([line, " ".join(words[9:]), line])
+    edited = "\n".join([line, " ".join(words[9:]), line.replace(words[4], "other")])
+    x, y = neardup.shingles(twice), neardup.shingles(edited)
+    assert len(set(x.tolist())) < len(x) and len(set(y.tolist())) == len(y) and 0.95 < neardup.similarity(x, y) < 1
+    assert len(np.intersect1d(neardup.labelled(x), neardup.labelled(y))) >= neardup._common(x, y)[0]
+    df = spark.createDataFrame([(0, twice), (1, edited), (2, PROSE)], "doc_id long, text string")
+    assert {r.id: r.class_id for r in neardup.classes(df, "doc_id", "text").collect()} == {0: 0, 1: 0, 2: 2}
+
+
 def test_near_duplicate_edges(spark):
     rows = neardup.classes(frame(spark), "doc_id", "text").collect()
     got = {(r.id, r.class_id) for r in rows}
