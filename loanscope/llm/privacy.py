@@ -17,7 +17,11 @@ The same entity always has the same surrogate: it depends on the key and on the
 canonical entity alone.  Collision checks then run over the distinct entities of the
 whole table: of entities with the same surrogate all but the smallest, and every
 entity whose surrogate is itself an entity of the table, are drawn again with the
-next attempt until all surrogates are distinct and none is real.  Only the entities
+next attempt until all surrogates are distinct and none is real.  A format may be too
+small for that (192.168.x.x has 65,536 addresses): after ``ROUNDS`` attempts in its own
+format an entity gets one of a wider format, one character longer with every further
+attempt (private addresses: 10.x.x.x, then IPv6; other addresses: IPv6), so an
+exhausted format widens and the rounds always end.  Only the entities
 with an attempt above 0 have to be known when texts are rewritten.  They go to the
 tasks by broadcast up to ``BROADCAST`` of them; beyond that they are joined to the
 texts that hold them.
@@ -30,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from functools import lru_cache
 
@@ -43,6 +48,7 @@ from .common import REMEMBERED, fresh, map_arrow, slices, staged, table
 KEY = b"surrogate-key"
 #: Entities drawn again that are broadcast at most; more are joined.
 BROADCAST = 50_000
+#: Attempts in an entity's own format; later ones are in wider formats.
 ROUNDS = 10
 
 TITLES = {"m": ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Signor"),
@@ -127,8 +133,9 @@ def _digits(text: str) -> str:
 
 
 def _lay(digits: str, like: str) -> str:
+    """``digits`` in the layout of ``like``; those of a wider format at its end."""
     it = iter(digits)
-    return "".join(next(it) if c.isascii() and c.isdigit() else c for c in like)
+    return "".join([next(it) if c.isascii() and c.isdigit() else c for c in like] + list(it))
 
 
 def canonical(kind: str, text: str) -> str:
@@ -170,39 +177,51 @@ def _mapped_ip(text: str, key: bytes, tweak: str) -> str:
             return ".".join(map(str, ((n >> bits << bits) | x).to_bytes(4, "big")))
 
 
+def _wider_ip(text: str, key: bytes, tweak: str, wide: int) -> str:
+    """An address outside the format of ``text``: a private one in 10.0.0.0/8 at
+    first, then in fd00::/8; a public one in the documentation's 2001:db8::/32."""
+    draw, old = _number(key, tweak, "wide", text), ipaddress.ip_address(text)
+    if not (old.is_private or old.is_link_local):
+        return ipaddress.IPv6Address(0x20010DB8 << 96 | draw % (1 << 96)).compressed
+    if old.version == 4 and wide <= 3:
+        return str(ipaddress.IPv4Address(10 << 24 | draw % (1 << 24)))
+    return ipaddress.IPv6Address(0xFD << 120 | draw % (1 << 120)).compressed
+
+
 def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str:
     """Surrogate of a canonical entity, itself canonical."""
-    tweak = f"{kind}|{attempt}"
+    tweak, wide = f"{kind}|{attempt}", max(0, attempt - ROUNDS + 1)
+    pad = "0" * wide  # a longer format, of which the entity is one string
     if kind == "ip":
-        return _mapped_ip(entity, key, tweak)
+        return _wider_ip(entity, key, tweak, wide) if wide else _mapped_ip(entity, key, tweak)
     if kind == "card":
         valid = luhn(entity)
-        return _walk(entity, key, tweak, lambda s: luhn(s) == valid)
+        return _walk(entity + pad, key, tweak, lambda s: luhn(s) == valid)
     if kind == "phone":
         cut = len(entity) - min(10, len(re.sub(r"\D", "", entity)))
-        return entity[:cut] + permute(entity[cut:], key, tweak + entity[:cut])
+        return entity[:cut] + permute(entity[cut:] + pad, key, tweak + entity[:cut])
     if kind == "ssn":
-        return permute(entity, key, tweak)
+        return permute(entity + pad, key, tweak)
     if kind == "iban":
-        return entity[:2] + permute(entity[2:], key, tweak + entity[:2])
+        return entity[:2] + permute(entity[2:] + pad, key, tweak + entity[:2])
     if kind == "secret":
         hexa = next((a for a in _HEX if set(entity) <= set(a)), None)
         if hexa:
-            return permute(entity, key, tweak, [hexa])
+            return permute(entity + pad, key, tweak, [hexa])
         head = re.match(r"(?:sk|pk|ghp|AKIA)[_\-]?", entity)[0]
-        return head + permute(entity[len(head):], key, tweak + head)
+        return head + permute(entity[len(head):] + pad, key, tweak + head)
     if kind == "mail":
         local, domain = entity.rsplit("@", 1)
         name, end = domain.rsplit(".", 1)
         # The local part is permuted on its own: no other local part of the domain gets its surrogate.
-        return f"{permute(local, key, tweak + '@' + domain)}@{permute(name, key, 'domain' + end)}.{end}"
+        return f"{permute(local + pad, key, tweak + '@' + domain)}@{permute(name, key, 'domain' + end)}.{end}"
     gender, name = entity.split("|", 1)
     script = "cyrillic" if re.match("[Ѐ-ӿ]", name) else "latin"
     draw = _number(key, tweak, name if gender == "n" else entity)
     lists = [FAMILY[script]]
     if " " in name:
         lists.insert(0, GIVEN[script, gender] if gender != "n" else GIVEN[script, "m"] + GIVEN[script, "f"])
-    lists += [FAMILY[script]] * min(attempt, 6)  # crowded lists: double-barrelled names
+    lists += [FAMILY[script]] * (min(attempt, 6) + wide)  # crowded lists: double-barrelled names
     parts = []
     for names in lists:
         draw, i = divmod(draw, len(names))
@@ -217,7 +236,7 @@ def _shown(kind: str, found: str, entity: str, made: str) -> str:
         return _lay(_digits(made), found)
     if kind == "iban":
         it = iter(made)
-        return "".join(c if c == " " else next(it) for c in found)
+        return "".join([c if c == " " else next(it) for c in found] + list(it))
     if kind == "mail":
         return "".join(m.upper() if f.isupper() else m for f, m in zip(found, made)) if len(found) == len(made) else made
     if kind == "name":
@@ -275,8 +294,9 @@ def distinct_entities(df: DataFrame, text_col: str) -> DataFrame:
     return map_arrow(df.select(F.col(f"`{text_col}`").alias("text")), build, "kind string, entity string").distinct()
 
 
-def redrawn(names: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, entity, attempt) of the entities whose first surrogate collides."""
+def redrawn(names: DataFrame, key: bytes = KEY) -> DataFrame:
+    """(kind, entity, attempt) of the entities whose first surrogate collides.  Ends,
+    as formats widen without bound from attempt ``ROUNDS`` on."""
     def build():
         def step(b):
             made = [surrogate(k, e, a, key) for k, e, a in zip(*(b.column(i).to_pylist() for i in range(3)))]
@@ -285,7 +305,7 @@ def redrawn(names: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> DataFra
 
     names = staged(names, "entities")
     now = names.withColumn("attempt", F.lit(0))
-    for r in range(rounds):
+    while True:
         now = staged(map_arrow(now, build, "kind string, entity string, attempt int, made string"), "surrogates")
         # Who keeps a surrogate several entities have: the one settled earliest, then the smallest.
         holder = now.groupBy("kind", "made").agg(F.min(F.struct("attempt", "entity")).alias("_keep"), F.count("*").alias("_n"))
@@ -297,8 +317,6 @@ def redrawn(names: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> DataFra
             break
         now = now.join(again.withColumn("_again", F.lit(1)), ["kind", "entity"], "left").select(
             "kind", "entity", (F.col("attempt") + F.coalesce("_again", F.lit(0))).alias("attempt"))
-    else:
-        raise ValueError(f"surrogates still collide after {rounds} attempts: use longer name lists")
     return now.where("attempt > 0").select("kind", "entity", "attempt")
 
 

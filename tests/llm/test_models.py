@@ -169,6 +169,30 @@ def test_distinct_and_real_names_are_avoided(spark):
     assert first == [r.text for r in out]
 
 
+@pytest.mark.parametrize("kind, many", [("ip", [f"192.168.{i >> 8}.{i & 255}" for i in range(0, 65536, 2)]),
+                                        ("ip", [f"192.168.{i >> 8}.{i & 255}" for i in range(65536)]),
+                                        ("mail", [f"{c}@{d}.org" for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcdefghijklmnopqrstuvwxyz"])])
+def test_crowded_and_exhausted_formats_settle(spark, kind, many):
+    """Half of a format's strings, or all of them, are real."""
+    names = spark.createDataFrame([(kind, e) for e in many], "kind string, entity string")
+    attempts = {e: a for _, e, a in privacy.redrawn(names).collect()}
+    made = [privacy.surrogate(kind, e, attempts.get(e, 0)) for e in many]
+    assert len(set(made)) == len(many) and not set(made) & set(many)
+    assert max(attempts.values()) >= privacy.ROUNDS
+
+
+@pytest.mark.parametrize("entity", [("card", "4532015112830366"), ("phone", "+14155550134"), ("ssn", "123456789"), ("iban", "DE89370400440532013000"),
+                                    ("secret", "3f786850e387550fdab836ed7e6dc881"), ("name", "m|Adam Smith"), ("ip", "8.8.4.4"), ("ip", "10.1.2.3")])
+def test_wider_formats_are_distinct_and_shown_whole(entity):
+    made = [privacy.surrogate(*entity, a) for a in range(privacy.ROUNDS + 6)]
+    assert len(set(made)) == len(made) and entity[1] not in made
+    shown = {"card": "4532-0151-1283-0366", "phone": "+1 (415) 555-0134", "ssn": "123-45-6789", "iban": "DE89 3704 0044 0532 0130 00",
+             "name": "Mr. Adam Smith"}.get(entity[0], entity[1])
+    for m in made:
+        out = privacy._shown(entity[0], shown, entity[1], m)
+        assert privacy.canonical(entity[0], out) == m
+
+
 def test_privacy_edges(spark):
     df = frame(spark)
     out = privacy.pseudonymised(df, "text", count_col="found")
