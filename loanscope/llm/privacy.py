@@ -13,6 +13,14 @@ numbers, phone numbers, names after a title) receive surrogates of the same type
 * Names become names of the same gender (told by the title), script and number of
   parts, drawn by key from lists; these are not a permutation.
 
+Mentions are linked inside each text before anything is drawn: a surname after a title
+to the latest person of that surname and gender (the next one if none came before), a
+title without gender to the same name with one, a number without country code to the
+same number with it.  Full names, surnames and given names of a detected person are
+also found without a title; a single such word that the text has in lower case too is
+left, as it may be a common word.  Across texts names are one entity if they agree as
+linked, title's gender included.
+
 The same entity always has the same surrogate: it depends on the key and on the
 canonical entity alone.  Collision checks then run over the distinct entities of the
 whole table: of entities with the same surrogate all but the smallest, and every
@@ -76,6 +84,12 @@ PATTERN = re.compile(
     r"|(?P<name>(?<![\w])(?:" + _TITLE + r")\.? " + _WORD_NAME + r"(?: " + _WORD_NAME + r")?)")
 _QUICK = re.compile(r"[\d@]|(?:" + _TITLE + r")\.? [A-ZÀ-ÞА-Я]")
 
+_TITLED = re.compile(r"(?:" + _TITLE + r")\.? ")
+_BARE = re.compile(r"(?<![\w'’\-])" + _WORD_NAME)
+_OWNED = re.compile(r"['’]s?(?= |$)")
+#: A number's part that its surrogate keeps: country code and trunk zero.
+_COUNTRY = re.compile(r"(?P<code>\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}))?0?")
+
 _CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àâäáãåæçèéêëìíîïñòóôõöøœùúûüýÿß",
             "ÀÂÄÁÃÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØŒÙÚÛÜÝŸ", "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
             "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
@@ -143,7 +157,10 @@ def canonical(kind: str, text: str) -> str:
     if kind in ("card", "ssn"):
         return _digits(text)
     if kind == "phone":
-        return ("+" if text.startswith("+") else "") + _digits(text)
+        digits = _digits(text)
+        if digits.startswith("00") and len(digits) >= 10:
+            return "+" + digits[2:]
+        return ("+" if text.startswith("+") else "") + digits
     if kind == "iban":
         return text.replace(" ", "")
     if kind == "mail":
@@ -198,8 +215,9 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         valid = luhn(entity)
         return _walk(entity + pad, key, tweak, lambda s: luhn(s) == valid)
     if kind == "phone":
-        cut = len(entity) - min(10, len(re.sub(r"\D", "", entity)))
-        return entity[:cut] + permute(entity[cut:] + pad, key, tweak + entity[:cut])
+        # The country code is not in the tweak: with and without it the number stays one.
+        cut = _COUNTRY.match(entity).end()
+        return entity[:cut] + _walk(entity[cut:] + pad, key, tweak, lambda s: (s[:1] == "0") == (entity[cut:cut + 1] == "0"))
     if kind == "ssn":
         return permute(entity + pad, key, tweak)
     if kind == "iban":
@@ -230,8 +248,19 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
     return f"{gender}|" + " ".join([*first, "-".join(parts[len(first):])])
 
 
+def _national(number: str) -> str:
+    """Digits of a number with country code, without it."""
+    return number[_COUNTRY.match(number).end("code"):]
+
+
 def _shown(kind: str, found: str, entity: str, made: str) -> str:
     """The canonical surrogate in the layout of the text found."""
+    if kind == "phone" and entity.startswith("+"):
+        digits, old, new = _digits(found), _national(entity), _national(made)
+        for lead in ("", "0"):
+            if digits == lead + old and not found.startswith("+"):
+                return _lay(lead + new, found)
+        return _lay(("00" if digits.startswith("00") else "") + _digits(made), found)
     if kind in ("card", "ssn", "phone"):
         return _lay(_digits(made), found)
     if kind == "iban":
@@ -240,7 +269,11 @@ def _shown(kind: str, found: str, entity: str, made: str) -> str:
     if kind == "mail":
         return "".join(m.upper() if f.isupper() else m for f, m in zip(found, made)) if len(found) == len(made) else made
     if kind == "name":
-        return found.split(" ", 1)[0] + " " + made.split("|", 1)[1]
+        title = _TITLED.match(found)
+        title, old, new = title[0] if title else "", entity.split("|", 1)[1], made.split("|", 1)[1]
+        if (name := found[len(title):]) != old:  # a part of the name: the same part
+            new = new.rsplit(" ", 1)[-1] if name == old.rsplit(" ", 1)[-1] else new.split(" ", 1)[0]
+        return title + new
     return made
 
 
@@ -255,8 +288,100 @@ def entities(text: str) -> list[tuple[str, str, int, int]]:
             continue
         if kind == "secret" and not re.search(r"\d", found):
             continue
-        out.append((kind, canonical(kind, found), m.start(), m.end()))
-    return out
+        end = m.end()
+        if kind == "name":
+            head = _TITLED.match(found).end()
+            if owned := _OWNED.search(found, head + 1):
+                end, found = m.start() + owned.start(), found[:owned.start()]
+        out.append((kind, canonical(kind, found), m.start(), end))
+    return _linked_names(text, _linked_phones(out))
+
+
+def _linked_phones(found: list[tuple]) -> list[tuple]:
+    """Numbers without country code as the same number with it, if the text has that."""
+    whole: dict[str, str] = {}
+    for kind, e, *_ in found:
+        if kind == "phone" and e.startswith("+"):
+            for as_written in (_national(e), "0" + _national(e), e[1:]):
+                whole.setdefault(as_written, e)
+    if not whole:
+        return found
+    return [(k, whole.get(e, e) if k == "phone" else e, a, b) for k, e, a, b in found]
+
+
+def _linked_names(text: str, found: list[tuple]) -> list[tuple]:
+    """Name mentions as the persons they mean, mentions without a title added."""
+    titled = [(*e.split("|", 1), a, b) for k, e, a, b in found if k == "name"]
+    if not titled:
+        return found
+    part = lambda name: name.rsplit(" ", 1)[-1]
+    genders: dict[str, set] = {}  # of each name as written
+    for g, name, _, _ in titled:
+        genders.setdefault(name, set()).update({g} - {"n"})
+    families: dict[str, list] = {}
+    for name in genders:
+        if " " in name:
+            families.setdefault(part(name), []).append(name)
+    for family, names in families.items():  # a gender known from 'title surname' alone
+        open_ = [n for n in names if not genders[n]]
+        told = genders.get(family, set()).difference(*(genders[n] for n in names))
+        if len(open_) == 1 and len(told) == 1:
+            genders[open_[0]] |= told
+    persons = {name: [(g, name) for g in sorted(genders[name]) or ["n"]] for name in genders}
+
+    # Words and full names that stand for a person without a title.
+    spots = [(a, b) for _, _, a, b in found]
+    given = {name.split(" ", 1)[0] for name in genders if " " in name}
+    known, bare, i, last = given | {part(n) for n in genders}, [], 0, 0
+    words = [(m[0], m.start()) for m in _BARE.finditer(text)]
+    common = None
+    for j, (w, a) in enumerate(words):
+        if owned := _OWNED.search(w):
+            w = w[:owned.start()]
+        if w not in known or a < last:
+            continue
+        while i < len(spots) and spots[i][1] <= a:
+            i += 1
+        if i < len(spots) and spots[i][0] < a + len(w):
+            continue
+        name, end = w, a + len(w)
+        if j + 1 < len(words) and words[j + 1][1] == end + 1 and text[end] == " ":
+            after = _OWNED.split(words[j + 1][0])[0]
+            if f"{w} {after}" in genders:
+                name, end = f"{w} {after}", end + 1 + len(after)
+        if " " not in name:
+            if common is None:
+                common = set(re.findall(r"[^\W\d_]+", text))
+            if w.lower() in common or text[end:end + 1] == "_" or text[end:end + 1].isalnum():
+                continue
+        bare.append(("", name, a, end))
+        last = end
+
+    # In the text's order: the latest person a mention fits, else the first to come.
+    first: dict[tuple, tuple] = {}
+    latest: dict[tuple, tuple] = {}
+
+    def ways(person):
+        g, name = person
+        yield from {("name", name), ("name", name, g), ("part", part(name)), ("part", part(name), g), ("given", name.split(" ", 1)[0])}
+
+    for name in genders:
+        if " " in name or not families.get(name):
+            for person in persons[name]:
+                for way in ways(person):
+                    first.setdefault(way, person)
+    linked = []
+    for at, (g, name, a, b) in enumerate(sorted(titled + bare, key=lambda x: x[2])):
+        by = "name" if " " in name else "part"
+        fits = [(by, name, x) for x in ((g, "n") if g in ("m", "f") else ())] or [(by, name)]
+        if not g and by == "part":
+            fits.append(("given", name))
+        seen = max((latest[w] for w in fits if w in latest), default=None)
+        person = seen[1] if seen else next((first[w] for w in fits if w in first), (g or "n", name))
+        for way in ways(person):
+            latest[way] = (at, person)
+        linked.append(("name", "|".join(person), a, b))
+    return sorted([x for x in found if x[0] != "name"] + linked, key=lambda x: x[2])
 
 
 @lru_cache(maxsize=100_000)

@@ -193,6 +193,42 @@ def test_wider_formats_are_distinct_and_shown_whole(entity):
         assert privacy.canonical(entity[0], out) == m
 
 
+@pytest.mark.parametrize("text, persons", [
+    ("Mrs. Anna Smith came. Dr. Anna Smith left.", ["f|Anna Smith"] * 2),
+    ("Dr. Anna Smith came. Mrs. Smith left.", ["f|Anna Smith"] * 2),
+    ("Mr. Adam Smith came. Mr. Smith's hat. Smith left, Adam Smith too, Adam's dog.", ["m|Adam Smith"] * 5),
+    ("Mr. Smith came. Mr. Adam Smith left.", ["m|Adam Smith"] * 2),
+    ("Mr. Adam Smith and Mrs. Smith and Mr. Bob Smith: Mr. Smith, Adam.", ["m|Adam Smith", "f|Smith", "m|Bob Smith", "m|Bob Smith", "m|Adam Smith"]),
+    ("Mr. Smith, Dr. Smith, Smith; Mr. Baker, a baker. Smithson, Smith-Jones, Smith2.", ["m|Smith"] * 3 + ["m|Baker"]),
+])
+def test_mentions_of_a_person_are_linked(text, persons):
+    found = privacy.entities(text)
+    assert [e for _, e, *_ in found] == persons
+    out, n = privacy.rewrite(text, {})
+    assert n == len(persons)
+    for (_, e, a, b) in found:
+        made = privacy.surrogate("name", e).split("|")[1]
+        name = text[a:b].split(". ")[-1]
+        want = made if name == e[2:] else made.split(" ")[-1] if name == e.rsplit(" ", 1)[-1].split("|")[-1] else made.split(" ")[0]
+        assert want in out
+    if "Smith-Jones" not in text:
+        assert "Smith" not in out and "Adam " not in out
+
+
+def test_numbers_with_and_without_country_code_are_one():
+    text = "call +1 (415) 555-0134 or (415) 555-0134 or 1-415-555-0134, and +49 30 1234 5678 is 030 1234 5678"
+    found = privacy.entities(text)
+    assert [e for _, e, *_ in found] == ["+14155550134"] * 3 + ["+493012345678"] * 2
+    out, n = privacy.rewrite(text, {("phone", "+14155550134"): 1})
+    us, german = privacy.surrogate("phone", "+14155550134", 1), privacy.surrogate("phone", "+493012345678")
+    assert n == 5 and us[:2] == "+1" and german[:3] == "+49" and len(german) == 13
+    assert out == (f"call +1 ({us[2:5]}) {us[5:8]}-{us[8:]} or ({us[2:5]}) {us[5:8]}-{us[8:]} or 1-{us[2:5]}-{us[5:8]}-{us[8:]}, "
+                   f"and +49 {german[3:5]} {german[5:9]} {german[9:]} is 0{german[3:5]} {german[5:9]} {german[9:]}")
+    assert [privacy._national(x) for x in ("+302101234567", "+380441234567")] == ["2101234567", "441234567"]
+    # In texts of their own, too.
+    assert privacy.surrogate("phone", "4155550134") == privacy.surrogate("phone", "+14155550134")[2:]
+
+
 def test_privacy_edges(spark):
     df = frame(spark)
     out = privacy.pseudonymised(df, "text", count_col="found")
