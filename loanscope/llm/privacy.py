@@ -40,6 +40,7 @@ rewritten alike; an empty table gives no rows; other columns are kept or ignored
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import hmac
 import ipaddress
@@ -72,17 +73,36 @@ FAMILY = {"latin": "Abel Baker Berger Castro Dubois Fischer Garcia Hoffmann Jans
 
 _WORD_NAME = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’\-]+|[А-ЯЁ][а-яё\-]+)"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+#: What a token keeps: the prefix that tells its issuer.
+_ISSUER = re.compile(r"(?P<sure>gh[pousr]_|github_pat_|glpat-|A[KS]IA|AIza|xox[abeoprs]-|hf_|npm_|pypi-|SG\.|ya29\.|eyJ)"
+                     r"|(?:[spr]k|ghp)(?:[_\-](?:live|test|proj|ant|or|svcacct|admin|v\d|api\d\d)(?=[_\-]))*[_\-]?")
+_TOKENS = (r"[spr]k[_\-][0-9A-Za-z_\-]{15,}[0-9A-Za-z]|(?:sk|pk|ghp|AKIA)[_\-]?[0-9A-Za-z]{16,64}|gh[pousr]_[0-9A-Za-z]{16,}"
+           r"|github_pat_[0-9A-Za-z_]{20,}|glpat-[0-9A-Za-z_\-]{20,}|A[KS]IA[0-9A-Z]{16}|AIza[0-9A-Za-z_\-]{35}|xox[abeoprs]-[0-9A-Za-z\-]{10,}"
+           r"|hf_[0-9A-Za-z]{30,}|npm_[0-9A-Za-z]{30,}|pypi-[0-9A-Za-z_\-]{50,}|SG\.[0-9A-Za-z_\-]{16,}\.[0-9A-Za-z_\-]{16,}|ya29\.[0-9A-Za-z_\-]{20,}"
+           r"|eyJ[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}(?:\.[0-9A-Za-z_\-]{8,})?")
+_H = "[0-9A-Fa-f]{1,4}"
+_V4 = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_V6 = (rf"(?:(?:{_H}:){{6}}|(?:{_H}(?::{_H}){{0,5}})?::(?:{_H}:){{0,5}}){_V4}|(?:{_H}:){{7}}{_H}"
+       rf"|(?:{_H}(?::{_H}){{0,6}})?::(?:{_H}(?::{_H}){{0,6}})?")
+#: Numbers in pairs: after a country code, after a trunk zero, nine digits, Russian trunk 8.
+_PAIRS = (r"(?:\+|00)\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]\d{2,4}){2,5}"
+          r"|0\d{1,3}(?P<gap>[ .\-])\d{2,3}(?:(?P=gap)\d{2}){2,3}|0\d{1,3}/\d{2,3}(?:[ .]\d{2}){2,3}"
+          r"|(?:[6-9]\d{2}(?P<of>[ .\-])\d{2}|[2-9]\d(?P<to>[ .\-])\d{3})(?:(?(of)(?P=of)|(?P=to))\d{2}){2}"
+          r"|8[ \-]?\(?\d{3}\)?[ \-]\d{3}[ \-]\d{2}[ \-]\d{2}")
 #: One pattern, alternatives in order of precedence.
 PATTERN = re.compile(
     r"(?P<mail>[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+)"
-    r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|AKIA)[_\-]?[0-9A-Za-z]{16,64})(?![0-9A-Za-z]))"
+    r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|" + _TOKENS + r")(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z]))"
-    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
+    r"|(?P<ipv6>(?<![\w:.])(?:" + _V6 + r")(?![\w:]|\.\d))"
+    r"|(?P<ip>(?<![\d.])" + _V4 + r"(?![\d]|\.\d))"
     r"|(?P<card>(?<![\d])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}(?:[ \-]\d{1,3})?|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\d]))"
     r"|(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]?\d{3,4}(?![\w])|(?<![\w+])\+\d{8,15}(?![\w]))"
+    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]?\d{3,4}(?![\w])|(?<![\w+])\+\d{8,15}(?![\w])"
+    r"|(?<![\w+.,:/\-])(?:" + _PAIRS + r")(?![\w]|[.,:/\-]\d))"
     r"|(?P<name>(?<![\w])(?:" + _TITLE + r")\.? " + _WORD_NAME + r"(?: " + _WORD_NAME + r")?)")
-_QUICK = re.compile(r"[\d@]|(?:" + _TITLE + r")\.? [A-ZÀ-ÞА-Я]")
+_PLAIN = re.compile(r"\d{2,4}[ .\-]\d{3,4}[ .\-]?\d{3,4}")
+_QUICK = re.compile(r"[\d@]|[spr]k[_\-]|gh[pousr]_|github_pat_|glpat-|A[KS]IA|AIza|xox|hf_|npm_|pypi-|SG\.|ya29|eyJ|(?:" + _TITLE + r")\.? [A-ZÀ-ÞА-Я]")
 
 _TITLED = re.compile(r"(?:" + _TITLE + r")\.? ")
 _BARE = re.compile(r"(?<![\w'’\-])" + _WORD_NAME)
@@ -165,6 +185,8 @@ def canonical(kind: str, text: str) -> str:
         return text.replace(" ", "")
     if kind == "mail":
         return text.lower()
+    if kind == "ip" and ":" in text:
+        return ipaddress.IPv6Address(text).compressed
     if kind == "name":
         title, rest = text.split(" ", 1)
         return f"{_gender(title)}|{rest}"
@@ -175,7 +197,24 @@ def _gender(title: str) -> str:
     return next(g for g, ts in TITLES.items() if title.rstrip(".") in ts)
 
 
+def _mapped_ip6(text: str, key: bytes, tweak: str) -> str:
+    """Another address of the same scope: link-local, unique local, mapped IPv4, else the first three bits."""
+    n = int(ipaddress.IPv6Address(text))
+    fixed = next((b for b, net in ((10, 0x3FA), (7, 0x7E), (96, 0xFFFF)) if n >> (128 - b) == net), 3)
+    bits = 128 - fixed
+    low = bits // 2
+    a, b = (n & ((1 << bits) - 1)) >> low, n & ((1 << low) - 1)
+    for r in range(8):
+        if r % 2:
+            a = (a + _number(key, tweak, "ipv6", fixed, r, b)) % (1 << (bits - low))
+        else:
+            b = (b + _number(key, tweak, "ipv6", fixed, r, a)) % (1 << low)
+    return ipaddress.IPv6Address(n >> bits << bits | a << low | b).compressed
+
+
 def _mapped_ip(text: str, key: bytes, tweak: str) -> str:
+    if ":" in text:
+        return _mapped_ip6(text, key, tweak)
     n = int.from_bytes(bytes(map(int, text.split("."))), "big")
     fixed = next((b for b, net in ((8, 10), (8, 127), (12, 0xAC1), (16, 0xC0A8)) if n >> (32 - b) == net), 0)
     bits = 32 - fixed
@@ -226,7 +265,7 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         hexa = next((a for a in _HEX if set(entity) <= set(a)), None)
         if hexa:
             return permute(entity + pad, key, tweak, [hexa])
-        head = re.match(r"(?:sk|pk|ghp|AKIA)[_\-]?", entity)[0]
+        head = _ISSUER.match(entity)[0]
         return head + permute(entity[len(head):] + pad, key, tweak + head)
     if kind == "mail":
         local, domain = entity.rsplit("@", 1)
@@ -277,6 +316,26 @@ def _shown(kind: str, found: str, entity: str, made: str) -> str:
     return made
 
 
+def _real(kind: str, found: str) -> bool:
+    """Whether what the pattern found is an entity."""
+    if kind == "iban":
+        return sum(c.isdigit() for c in found) >= 10
+    if kind == "ip" and ":" in found:  # not '::', '::1', nor steps of slices such as 1::2
+        groups = [g for g in found.split(":") if g]
+        with contextlib.suppress(ValueError):
+            ipaddress.IPv6Address(found)
+            return any(c.isdigit() for c in found) and (len(groups) >= 3 or len(found.split(":")[0]) == 4 or "." in found)
+        return False
+    if kind == "phone":  # short ones without a sign are pairs such as 01 02 03 04
+        n = len(_digits(found))
+        return n <= 15 + 2 * found.startswith("00") and (n >= 9 or found[0] in "+(" or bool(_PLAIN.fullmatch(found)))
+    if kind == "secret":
+        if re.match(r"[spr]k[_\-]", found):
+            return bool(re.search(r"[0-9A-Za-z]{16}", found[3:])) or all(re.search(c, found[3:]) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+        return bool(re.search(r"\d", found) or (m := _ISSUER.match(found)) and m["sure"])
+    return True
+
+
 def entities(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, canonical entity, from, to) of each entity, in order."""
     if not text or not _QUICK.search(text):
@@ -284,9 +343,8 @@ def entities(text: str) -> list[tuple[str, str, int, int]]:
     out = []
     for m in PATTERN.finditer(text):
         kind, found = m.lastgroup, m.group()
-        if kind == "iban" and sum(c.isdigit() for c in found) < 10:
-            continue
-        if kind == "secret" and not re.search(r"\d", found):
+        kind = "ip" if kind == "ipv6" else kind
+        if not _real(kind, found):
             continue
         end = m.end()
         if kind == "name":
