@@ -2,7 +2,7 @@
 
 Base rules count words, symbols, repeated lines and words inside 3-word windows
 that occur twice.  The verdict comes from zstandard: a text is compressed whole and
-in fixed chunks, and each ratio (bytes / compressed bytes) must lie in a band that
+in fixed chunks (a remainder in a last one that ends at the text's end), and each ratio (bytes / compressed bytes) must lie in a band that
 depends on the length compressed, since a longer text offers more to refer back to.
 Above the band the text repeats itself, below it is noise (keys, encoded binaries).
 The bands are fixed parameters, not learnt from the table: base64 and the like give
@@ -26,7 +26,7 @@ from .common import map_arrow, slices, table
 #: (bytes from, least ratio, largest ratio) for whole documents.
 BANDS = ((0, 0.0, 3.0), (512, 1.15, 4.0), (2048, 1.4, 5.0), (16384, 1.5, 6.0))
 #: Fixed chunks: their bytes, the band of one chunk, and the share of a text's
-#: full chunks that may lie outside it.
+#: chunks that may lie outside it.
 CHUNK, CHUNK_BAND, CHUNK_SHARE = 2048, (1.35, 4.5), 0.25
 LEVEL = 3
 SYMBOLS = "#*$%&|<>"
@@ -58,7 +58,7 @@ def repeated_window_words(words: list[str], k: int = 3) -> int:
 
 def judge(text: str | None, pack: zstandard.ZstdCompressor) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ratio,
-    chunks outside their band, full chunks, in band)."""
+    chunks outside their band, chunks, in band)."""
     if not text:
         return 0, 0, 0, 0, 0, None, 0, 0, False
     flat = text
@@ -69,7 +69,9 @@ def judge(text: str | None, pack: zstandard.ZstdCompressor) -> tuple:
     raw = text.encode("utf-8", "surrogatepass")
     ratio = len(raw) / len(pack.compress(raw))
     lo, hi = band(len(raw))
-    cuts = range(0, len(raw) - CHUNK + 1, CHUNK)
+    cuts = list(range(0, len(raw) - CHUNK + 1, CHUNK))
+    if cuts and len(raw) % CHUNK:
+        cuts.append(len(raw) - CHUNK)  # ends at the text's end
     out = sum(not CHUNK_BAND[0] <= CHUNK / len(pack.compress(raw[at:at + CHUNK])) <= CHUNK_BAND[1] for at in cuts)
     fits = lo <= ratio <= hi and out <= CHUNK_SHARE * len(cuts)
     return (len(words), len(flat) - flat.count(" "), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)),

@@ -291,6 +291,19 @@ def test_quality_counts_equal_brute_force(spark):
     assert quality.quality(frame(spark), "doc_id", "text").count() == len(TEXTS) + 1
 
 
+def test_remainder_after_full_chunks_is_judged():
+    import base64
+    import zstandard
+    rng = random.Random(12)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    prose = " ".join(rng.choice(words) for _ in range(1000))
+    noise = base64.b64encode(rng.randbytes(1600)).decode()[:2047]
+    pack = zstandard.ZstdCompressor(level=quality.LEVEL)
+    *_, ratio, out, chunks, fits = quality.judge(prose[:2048] + noise, pack)
+    assert quality.band(4095)[0] <= ratio and (out, chunks, fits) == (1, 2, False)
+    assert quality.judge(prose[:4095], pack)[-3:] == (0, 2, True) and quality.judge(prose[:4096], pack)[-2] == 2
+
+
 def test_bands_reject_repeats_and_noise(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
