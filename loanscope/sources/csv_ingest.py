@@ -8,8 +8,8 @@ NULL in one projection, and numeric columns are parsed with ``try_cast``
 
 ``loan_id`` follows ingest order, files by name and rows by their place in the file,
 however Spark deals the splits: the file's number in the high bits, below them the
-split's byte offset plus the row's number in its task.  (A row has at least one byte
-for each column, so no row reaches the next split's offset.)
+split's byte offset plus the number of the row (or of its first line) in its task.  (A row or line has a byte
+at least, so none reaches the next split's offset.)
 
 ``raw_key`` is a digest of the duplicate-defining columns as read, before any
 rounding: numbers by their value, unparseable text by its characters.
@@ -18,8 +18,9 @@ rounding: numbers by their value, unparseable text by its characters.
 from __future__ import annotations
 
 import csv
+import uuid
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import DEDUP_KEYS, RAW_SCHEMA
+from ..session import scratch_path
+from . import csv_records
 
 # The tokens pandas' CSV reader treats as missing by default.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -68,58 +71,89 @@ def typed_raw(text: DataFrame, loan_id: F.Column) -> DataFrame:
     return text.select(*cols, raw_key().alias("raw_key"))
 
 
-def headers(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[str, tuple[str, ...]]]:
-    """(file, column names) of every file that is not empty, by file name."""
+class Source(NamedTuple):
+    """A file: its header and, if values have newlines, the place of its first record."""
+    path: str
+    names: tuple[str, ...]
+    broken: bool
+    start: int | None = None
+    at: int | None = None
+
+
+def _names(head: str) -> tuple[str, ...]:
+    return tuple(next(csv.reader([head.lstrip("\ufeff").rstrip("\r")])))
+
+
+def sources(spark: SparkSession, path: str | Sequence[str], multiline: bool = True) -> tuple[list[Source], DataFrame | None]:
+    """Every file that is not empty, by name, and the records of those whose values have
+    newlines.  One job reads all first lines and looks for open quotes; a second one, only
+    where it found some, cuts the records of those files and writes them once."""
     try:
-        files = [r.path for r in spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).select("path").collect()]
+        found = csv_records.surveyed(spark, path, quotes=multiline).collect()  # a row for each file
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(f"{path} not found") from e
         raise
+    out, broken, records = [Source(r.file, _names(r.head), False) for r in found if not r.broken], [r.file for r in found if r.broken], None
+    if broken:
+        kept = scratch_path(spark, "csv_records", uuid.uuid4().hex)
+        csv_records.records(spark, [csv_records.location(f) for f in broken]).write.parquet(kept)
+        records = spark.read.parquet(kept)
+        place = F.struct("start", "at")
+        heads = records.groupBy("file").agg(F.min_by(F.struct("record", "start", "at"), place).alias("h")).select("file", "h.*")
+        out += [Source(r.file, _names(r.record), True, r.start, r.at) for r in heads.collect()]
+    return sorted(out), records
 
-    def header(file: str):
-        line = spark.read.text(file).select("value", "_metadata.file_path").first()
-        return line and (line.file_path, tuple(next(csv.reader([line.value.lstrip("\ufeff")]))))
 
-    with ThreadPoolExecutor(16) as pool:  # the first line of each file
-        return sorted(h for h in pool.map(header, files) if h)
+# The reader's rules; the same ones parse a record that was cut beforehand.
+_OPTIONS = {"quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": "", "ignoreLeadingWhiteSpace": "false",
+            "ignoreTrailingWhiteSpace": "false", "mode": "PERMISSIVE"}
 
 
 def read_raw_csv(spark: SparkSession, path: str | Sequence[str], multiline: bool = True, first_file: int = 0) -> DataFrame:
     """SRC-1/2: headed CSV -> typed raw frame, columns by name.
 
-    ``multiline`` (the default) reads quoted newlines as part of their value, as
-    pandas does; a file is then the work of one task, so large inputs should come
-    as files of a few hundred MB.  Without it files are split, and a quoted newline
-    ends the record."""
-    found = headers(spark, path)
+    ``multiline`` (the default) takes quoted newlines for part of their value, as pandas
+    does; without it a newline ends the record.  Files are split either way: those
+    without a quoted newline by Spark's reader, the others by :mod:`csv_records`."""
+    found, records = sources(spark, path, multiline)
     if not found:
         raise ValueError(f"{path}: no header")
     if first_file + len(found) > MAX_FILES:
         raise ValueError(f"more than {MAX_FILES} files")
-    by_header: dict[tuple, list[str]] = {}
-    for file, names in found:
-        missing = [f.name for f in RAW_SCHEMA.fields if f.name not in names]
+    by_header: dict[tuple, list[Source]] = {}
+    for s in found:
+        missing = [f.name for f in RAW_SCHEMA.fields if f.name not in s.names]
         if missing:
-            raise ValueError(f"{file}: no column {', '.join(missing)}")
-        by_header.setdefault(names, []).append(file)
+            raise ValueError(f"{s.path}: no column {', '.join(missing)}")
+        by_header.setdefault((s.names, s.broken), []).append(s)
+    groups = {key: i for i, key in enumerate(by_header)}
+    files = spark.createDataFrame([(s.path, first_file + i, groups[s.names, s.broken], s.start, s.at) for i, s in enumerate(found)],
+                                  "__file string, __no long, __group int, __head_start long, __head_at long")
+    files = F.broadcast(files) if len(found) <= BROADCAST_FILES else files
+    if records is not None:
+        records = (records.join(files, F.col("file") == F.col("__file"))
+                          .where("start != __head_start or at != __head_at"))
     frames = []
-    for names, files in by_header.items():
+    for (names, broken), own in by_header.items():
         # Repeated names get their place, so that each column can be addressed.
         unique = [n if names.count(n) == 1 else f"{n}_{i}" for i, n in enumerate(names)]
-        text = (spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in unique]))
-                .option("header", True).option("multiLine", multiline)
-                .option("quote", '"').option("escape", '"')
-                .option("nullValue", "\u0000").option("emptyValue", "")
-                .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-                .option("mode", "PERMISSIVE").csv(files))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in unique])
+        if broken:
+            # Under names of their own: a header may have any.
+            plain = ", ".join(f"c{i} string" for i in range(len(unique)))
+            cut = records.where(F.col("__group") == groups[names, broken])
+            cut = cut.select("__file", "start", "at", F.from_csv("record", plain, _OPTIONS | {"multiLine": "true"}).alias("r"))
+            frames.append(cut.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(unique)], "__file",
+                                     F.col("start").alias("__start"), F.col("at").alias("__row")))
+            continue
+        text = spark.read.schema(schema).options(header=True, **_OPTIONS).csv([csv_records.location(s.path) for s in own])
         frames.append(text.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
                                   F.monotonically_increasing_id().alias("__row")))
     text = frames[0]
     for f in frames[1:]:
         text = text.unionByName(f, allowMissingColumns=True)
-    numbers = spark.createDataFrame([(file, first_file + i) for i, (file, _) in enumerate(found)], "__file string, __no long")
-    text = text.join(F.broadcast(numbers) if len(found) <= BROADCAST_FILES else numbers, "__file")
+    text = text.join(files.select("__file", "__no"), "__file")
     place = F.col("__start") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
     return typed_raw(text, F.shiftleft("__no", PLACE_BITS) + place)
 

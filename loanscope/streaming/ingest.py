@@ -6,8 +6,10 @@ appended to the Parquet ``loans_raw`` table by a file-source stream.  Each
 micro-batch is written by ``foreachBatch`` into its own ``batch_id=`` folder
 (overwrite, so a replayed batch is idempotent), read by the same header-bound
 reader as a batch ingest; ``loan_id`` numbers the files over all batches, so ids of
-different batches never meet.  Progress lives in a checkpoint folder under the shared
-checkpoint dir, so a restarted or retried run neither skips nor duplicates files.
+different batches never meet: each batch leaves the number of the next file beside the
+stream's progress, whatever number of files a later run takes at once.  Progress lives
+in a checkpoint folder under the shared checkpoint dir, so a restarted or retried run
+neither skips nor duplicates files.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.csv_ingest import read_raw_csv
+from ..sources.csv_records import location
 
 
 def start_csv_append(spark: SparkSession, csv_dir: str, table_path: str, checkpoint: str,
@@ -25,13 +28,17 @@ def start_csv_append(spark: SparkSession, csv_dir: str, table_path: str, checkpo
     arrived = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
                .load(csv_dir).select("_metadata.file_path"))
 
+    counts = f"{checkpoint.rstrip('/')}/file_numbers"
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         # foreachBatch is at-least-once: a replayed batch overwrites its own
         # folder instead of appending twice, so the table stays exact.
-        files = sorted(r.file_path for r in batch.distinct().collect())  # max_files_per_trigger at most
+        files = sorted(location(r.file_path) for r in batch.distinct().collect())  # max_files_per_trigger at most
+        first = spark.read.schema("next_file long").parquet(f"{counts}/{batch_id - 1}").first().next_file if batch_id else 0
         if files:
-            typed = read_raw_csv(spark, files, multiline, first_file=batch_id * max_files_per_trigger)
+            typed = read_raw_csv(spark, files, multiline, first_file=first)
             typed.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")
+        spark.createDataFrame([(first + len(files),)], "next_file long").coalesce(1).write.mode("overwrite").parquet(f"{counts}/{batch_id}")
 
     writer = (arrived.writeStream.foreachBatch(write_batch)
               .option("checkpointLocation", checkpoint))

@@ -1,9 +1,14 @@
+import csv
+import random
+import uuid
+from contextlib import contextmanager
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from loanscope.operators import clean, export
-from loanscope.sources import csv_ingest
+from loanscope.sources import csv_ingest, csv_records
 from loanscope.streaming.ingest import run_csv_append
 
 HEADER = ("id,loan_amnt,term,int_rate,installment,grade,annual_inc,purpose,issue_d,dti,addr_state,"
@@ -99,3 +104,97 @@ def test_duplicates_are_told_by_values_as_read(spark, tmp_path):
     _file(tmp_path / "in/a.csv", list(ROW), {"annual_inc": "50000.001"}, {"annual_inc": "50000.004"}, {"annual_inc": "50000.0010"},
           {"dti": "abc"}, {"dti": "xyz"}, {"dti": "abc"})
     assert clean.build_clean(csv_ingest.read_raw_csv(spark, str(tmp_path / "in"))).count() == 4
+
+
+@contextmanager
+def splits_of(spark, size):
+    """Scans in splits of so many bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    old = {n: spark.conf.get(n, None) for n in names}
+    for n, v in zip(names, (size, "0", "1")):
+        spark.conf.set(n, v)
+    try:
+        yield
+    finally:
+        for n, v in old.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def jobs_of(spark, act):
+    """What ``act`` returns, and how many jobs it ran."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "")
+    out = act()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def _cell(rng):
+    kind = rng.random()
+    if kind < 0.3:
+        return "".join(rng.choice('ab ,"\n') for _ in range(rng.randint(0, 12)))
+    if kind < 0.35:
+        return '"\n\n"' + "x" * rng.randint(0, 80) + "\n"
+    return rng.choice(["x", "1", "foo bar", "é", ""])
+
+
+@pytest.mark.parametrize("end, size", [("\n", "97"), ("\r\n", "97"), ("\n", "3k"), ("\n", "1m")])
+def test_records_by_split_equal_the_multiline_reader(spark, tmp_path, end, size):
+    rng = random.Random(size)
+    b = "b\nq" if end == "\n" else "b"  # the reader takes the first line end it sees for all
+    for f in range(2):
+        with open(tmp_path / f"f {f}.csv", "w", newline="") as h:
+            w = csv.writer(h, lineterminator=end)
+            w.writerow(["i", "a", b, "c"])
+            w.writerows([f"{f}-{i}", _cell(rng), _cell(rng), _cell(rng)] for i in range(300))
+            h.write(f's1,a"b,"c"d,{end}{end}s2,,"",x""{end}')  # quotes inside values, a blank line
+    schema = "i string, a string, b string, c string"
+    whole = spark.read.schema(schema).options(header=True, multiLine=True, **csv_ingest._OPTIONS).csv(str(tmp_path))
+    with splits_of(spark, size):
+        cut = csv_records.records(spark, str(tmp_path))
+        parsed = cut.select("file", "start", "at", F.from_csv("record", schema, csv_ingest._OPTIONS | {"multiLine": "true"}).alias("r")).collect()
+        tasks = csv_records.lines(spark, str(tmp_path)).rdd.getNumPartitions()
+    assert tasks > 50 or size != "97"
+    got = [tuple(x.r) for x in parsed if x.r.i != "i"]
+    assert sorted(got, key=str) == sorted((tuple(r) for r in whole.collect()), key=str)
+    order = [x.r.i for x in sorted(parsed, key=lambda x: (x.file, x.start, x.at))]
+    assert order == [x for f in range(2) for x in ("i", *[f"{f}-{i}" for i in range(300)], "s1", "s2")]
+
+
+def test_a_file_with_quoted_newlines_is_read_by_many_tasks(spark, tmp_path):
+    names = [*ROW, "audit_note"]
+    rows = [ROW | {"id": str(i), "loan_amnt": str(1000 + i), "audit_note": f'line "{i}"\nof, two' if i % 3 else "plain"} for i in range(900)]
+    (tmp_path / "in").mkdir()
+    with open(tmp_path / "in" / "one.csv", "w", newline="") as h:
+        w = csv.writer(h)
+        w.writerow(names)
+        w.writerows([r[n] for n in names] for r in rows)
+    want = spark.read.options(header=True, multiLine=True, **csv_ingest._OPTIONS).csv(str(tmp_path / "in"))
+    with splits_of(spark, "4k"):
+        raw, jobs = jobs_of(spark, lambda: csv_ingest.read_raw_csv(spark, str(tmp_path / "in")))
+        got = raw.orderBy("loan_id").collect()
+        assert csv_records.lines(spark, str(tmp_path / "in")).rdd.getNumPartitions() > 20
+    assert [(r.id, r.audit_note) for r in got] == [(r["id"], r["audit_note"]) for r in rows] == [(r.id, r.audit_note) for r in want.collect()]
+    assert len({r.loan_id for r in got}) == 900 and jobs < 30  # none of them by split or by record
+    broken = csv_records.surveyed(spark, str(tmp_path / "in")).first()
+    assert broken.broken and broken.head.rstrip("\r") == ",".join(names)
+
+
+def test_headers_of_many_files_in_one_job(spark, tmp_path):
+    names = list(ROW)
+    for i in range(400):
+        _file(tmp_path / f"in/{i:03}.csv", names if i % 2 else names[::-1], {"id": str(i), "loan_amnt": str(1000 + i)})
+    (found, _), jobs = jobs_of(spark, lambda: csv_ingest.sources(spark, str(tmp_path / "in")))
+    assert len(found) == 400 and jobs <= 2  # the scan, and its shuffle where it is a job of its own
+    raw = csv_ingest.read_raw_csv(spark, str(tmp_path / "in"))
+    assert [(r.id, r.loan_amnt) for r in raw.orderBy("loan_id").collect()] == [(str(i), Decimal(1000 + i)) for i in range(400)]
+
+
+def test_stream_restarted_with_other_batches_keeps_ids_apart(spark, tmp_path):
+    for i in range(4):
+        _file(tmp_path / f"in/{i}.csv", list(ROW), {"id": str(i)})
+    run_csv_append(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c"), max_files_per_trigger=4)
+    for i in range(4, 9):
+        _file(tmp_path / f"in/{i}.csv", list(ROW), {"id": str(i)})
+    out = run_csv_append(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c"), max_files_per_trigger=2)
+    assert out.count() == 9 == out.select("loan_id").distinct().count()
