@@ -3,8 +3,8 @@
 * ML-1: one-hot grade and purpose with the alphabetically first level dropped
   (``StringIndexer(alphabetDesc)`` + ``OneHotEncoder(dropLast=True)``).
 * ML-2: exact stratified split: per label, the first floor(0.8 n) loans in a
-  seeded hash order train, the rest test.  Counts by leading hash bits find the
-  boundary; only the bucket it cuts is ranked.
+  seeded hash order train, the rest test.  Counts by leading hash bits, and by the
+  next bits of the one prefix that holds it, find the loan at the boundary.
 * ML-3: standardise the numeric columns with the training mean and
   population standard deviation.
 * ML-4: L2 logistic regression with balanced class weights n / (2 n_c);
@@ -22,17 +22,16 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import count_rows
 from ..schema import RANDOM_SEED
+from .selection import behind, thresholds
 
 NUMERIC = ("annual_income", "loan_amount", "term_months")
 CATEGORICAL = ("grade", "purpose")
 LABEL = "is_default"
-# The split hash has 60 bits; its leading 12 name the bucket.
-SPLIT_SHIFT = 48
 
 
 def model_frame(s: DataFrame) -> DataFrame:
@@ -51,20 +50,18 @@ def split_hash(loan_id, seed: int = RANDOM_SEED):
 def stratified_split(frame: DataFrame, train_fraction: float = 0.8,
                      seed: int = RANDOM_SEED, label: str = LABEL) -> DataFrame:
     """ML-2: adds ``is_train``: per label, the first floor(fraction x n_label)
-    rows in the order of a seeded hash.  Counts per label and leading hash bits
-    (a table of fixed size) name the one bucket of each label that the boundary
-    cuts; only its rows are ranked, all others compare their bucket with it."""
-    rows = frame.withColumn("_h", split_hash(F.col("loan_id"), seed)).withColumn("_b", F.shiftright("_h", SPLIT_SHIFT))
-    group = Window.partitionBy(label)
-    heads = rows.groupBy(label, "_b").agg(count_rows().alias("_c"))
-    heads = heads.withColumn("_start", F.sum("_c").over(group.orderBy("_b")) - F.col("_c")) \
-                 .withColumn("_keep", F.floor(F.sum("_c").over(group) * F.lit(train_fraction)))
-    rows = rows.join(F.broadcast(heads), [label, "_b"])  # labels x 4096 rows at most
-    cut = (F.col("_start") < F.col("_keep")) & (F.col("_keep") < F.col("_start") + F.col("_c"))
-    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", "loan_id"))
-    whole = rows.where(~cut).withColumn("is_train", F.col("_start") < F.col("_keep"))
-    ranked = rows.where(cut).withColumn("is_train", F.col("_start") + rank <= F.col("_keep"))
-    return whole.unionByName(ranked).drop("_h", "_b", "_c", "_start", "_keep")
+    rows in the order of a seeded hash.  The boundary row of each label is found by
+    counting; every row is compared with it where it stands, none is ranked or moved."""
+    rows = frame.withColumn("_h", split_hash(F.col("loan_id"), seed))
+    order = ["_h", "loan_id"]
+    counts = rows.groupBy(label).agg(count_rows().alias("n")).collect()  # a row for each label
+    keep = {r[0]: int(r.n * train_fraction) for r in counts}
+    cut = [(x, keep[x]) for x in keep if keep[x] < dict(counts)[x]]
+    at = dict(zip([x for x, _ in cut], thresholds(rows.select(label, *order), label, order, cut))) if cut else {}
+    train = F.lit(True)
+    for x, threshold in at.items():
+        train = F.when(F.col(label).eqNullSafe(F.lit(x)), ~behind(order, threshold)).otherwise(train)
+    return rows.withColumn("is_train", train).drop("_h")
 
 
 def standardise(split: DataFrame, cols: Sequence[str] = NUMERIC) -> DataFrame:

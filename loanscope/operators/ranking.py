@@ -7,10 +7,12 @@ distributed, by one algorithm at every size:
 * Peer counts are aggregated first (``groupBy(keys, value).count()``): a value
   held by a third of all rows becomes one row, combined map-side.
 * Values fall into buckets by a monotone function of the value (``bucket``), so
-  all of a bucket's values lie below those of the next.  The number of buckets
-  depends on the numbers' range only: running totals over buckets are a small
-  window, running totals inside a bucket one window partition each, and their
-  sum is the running count.
+  all of a bucket's values lie below those of the next.  Where many distinct values
+  share a bucket, approximate quantiles of them cut it into parts (any cuts are right,
+  these are even).  Running totals over the parts are a small window, running totals
+  inside a part one window partition each, and their sum is the running count.
+* NTILE needs the rows at k-1 positions, which ``selection`` finds by counting; every
+  row is then compared with them, and no loan row moves.
 * Results join back to the loans on the value (AQE broadcasts the frequency
   table when it is small and splits skewed join partitions when it is not).
 
@@ -25,8 +27,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import behind, thresholds
+
 # Buckets per e-fold of the value; about 30,000 buckets cover 0 to 10^12.
 BUCKETS_PER_E = 1024
+# Buckets with more distinct values than this are cut, the fullest first; the others
+# then have less than 1 / CUT_BUCKETS of the distinct values each.
+CUT_ROWS, CUT_BUCKETS, CUT_PARTS = 50_000, 1024, 256
 
 
 def _asc(c: str) -> Column:
@@ -46,9 +53,21 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how=
 
 def bucket(value: Column) -> Column:
     """A whole number that never falls as ``value`` grows: the logarithm of its
-    size with its sign.  NULL stays NULL."""
+    size with its sign, for NaN the largest.  NULL stays NULL."""
     x = value.cast("double")
-    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * BUCKETS_PER_E)
+    return F.when(F.isnan(x), F.lit((1 << 63) - 1)).otherwise(F.floor(F.signum(x) * F.log1p(F.abs(x)) * BUCKETS_PER_E))
+
+
+def cut_buckets(table: DataFrame, value: str) -> DataFrame:
+    """``table`` with ``_b``, its value's bucket, and ``_s``, the part of it."""
+    x = F.col(value).cast("double")
+    table = table.withColumn("_b", bucket(F.col(value)))
+    edges = F.percentile_approx(x, [i / CUT_PARTS for i in range(1, CUT_PARTS)], 4 * CUT_PARTS)
+    full = (table.where(F.col("_b").isNotNull()).groupBy("_b").agg(F.count(F.lit(1)).alias("_d"), edges.alias("_edges")).where(F.col("_d") > CUT_ROWS)
+                 .orderBy(F.desc("_d"), "_b").limit(CUT_BUCKETS).select("_b", "_edges"))
+    part = F.coalesce(F.size(F.filter("_edges", lambda e: e <= x)), F.lit(0))
+    return (table.join(F.broadcast(full), "_b", "left")  # CUT_BUCKETS rows at most
+                 .withColumn("_s", F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(part)).drop("_edges"))
 
 
 def running_before(table: DataFrame, keys: Sequence[str], value: str, weight: str,
@@ -56,17 +75,17 @@ def running_before(table: DataFrame, keys: Sequence[str], value: str, weight: st
     """Add ``out_col``, the sum of ``weight`` over the rows of the same ``keys``
     with a smaller ``value`` (NULL is smallest), and ``total_col``, the sum over
     all rows of the keys.  (keys, value) must identify rows."""
-    cells = [*keys, "_b"]
-    table = table.withColumn("_b", bucket(F.col(value)))
+    cells = [*keys, "_b", "_s"]
+    table = cut_buckets(table, value)
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*keys)
     heads = table.groupBy(*cells).agg(F.sum(weight).alias("_t")).select(
-        *cells, F.coalesce(F.sum("_t").over(before(group.orderBy(_asc("_b")))), F.lit(0)).alias("_head"),
+        *cells, F.coalesce(F.sum("_t").over(before(group.orderBy(_asc("_b"), "_s"))), F.lit(0)).alias("_head"),
         F.sum("_t").over(group).alias(total_col))
     inside = F.coalesce(F.sum(weight).over(before(Window.partitionBy(*cells).orderBy(_asc(value)))), F.lit(0))
     return (_null_safe_join(table.withColumn("_inside", inside), heads, cells)
             .withColumn(out_col, (F.col("_head") + F.col("_inside")).cast("bigint"))
-            .drop("_b", "_head", "_inside"))
+            .drop("_b", "_s", "_head", "_inside"))
 
 
 # Rows a lookup table may have to be broadcast.
@@ -128,26 +147,28 @@ def _ntile_of(pos: Column, n: Column, k: int) -> Column:
 def ntile(df: DataFrame, value: str, k: int, out_col: str, tie_col: str = "loan_id") -> DataFrame:
     """W-5: ``NTILE(k) OVER (ORDER BY value, tie_col)`` over the whole frame.
 
-    A value whose peers all fall into one tile gets it from the frequency table.
-    Only values whose peers straddle a tile boundary (at most k-1 of them) need
-    per-row positions: these rows are counted by ``tie_col`` the same way, so
-    even a value held by a third of the rows is split across tasks.
-    """
+    The frequency table tells on which value each of the k-1 tiles begins and at which of
+    its rows; ``selection`` finds that row's ``tie_col`` (a whole number that identifies
+    rows).  A row's tile is the number of beginnings it has reached: a projection, so a
+    value held by a third of the rows is not gathered anywhere."""
     freq = value_frequencies(df, [], value)
-    lo = _ntile_of(F.col("_before"), F.col("_n"), k)
-    hi = _ntile_of(F.col("_before") + F.col("_c") - 1, F.col("_n"), k)
-    freq = freq.select(value, "_before", "_n", lo.alias("_lo"), hi.alias("_hi"))
-
-    whole = freq.where(F.col("_lo") == F.col("_hi")).select(value, F.col("_lo").alias(out_col))
-    plain = _null_safe_join(df, whole, [value])
-
-    # At most k-1 straddling values: a bounded table, safe to broadcast.
-    split = freq.where(F.col("_lo") != F.col("_hi")).select(value, F.col("_before").alias("_start"), "_n")
-    rows = _null_safe_join(df, F.broadcast(split), [value]).withColumn("_one", F.lit(1))
-    rows = running_before(rows, [value], tie_col, "_one", "_pos", "_peers")
-    straddled = rows.withColumn(out_col, _ntile_of(F.col("_start") + F.col("_pos"), F.col("_n"), k)).drop(
-        "_one", "_pos", "_peers", "_start", "_n")
-    return plain.unionByName(straddled)
+    first, last = (_ntile_of(p, F.col("_n"), k) for p in (F.greatest(F.col("_before") - 1, F.lit(0)), F.col("_before") + F.col("_c") - 1))
+    holders = freq.where(first < last).select(value, "_before", "_c", "_n").collect()  # values on which a tile begins: k-1 at most
+    starts = []
+    for x, before, c, n in holders:
+        q, r = divmod(n, k)
+        starts += [(x, p - before) for p in (j * q + min(j, r) for j in range(1, k)) if before <= p < before + c and p < n]
+    starts = list(dict.fromkeys(starts))
+    inside = [s for s in starts if s[1]]
+    at = dict(zip(inside, thresholds(df.select(value, tie_col), value, [tie_col], inside))) if inside else {}
+    kind, v = df.schema[value].dataType, F.col(value)
+    tile = F.lit(1).cast("bigint")
+    for start in starts:
+        x = F.lit(start[0]).cast(kind)
+        later = v.isNotNull() if start[0] is None else F.coalesce(v > x, F.lit(False))
+        same = v.eqNullSafe(x) & (behind([tie_col], at[start]) if start[1] else F.lit(True))
+        tile = tile + (later | same).cast("bigint")
+    return df.withColumn(out_col, tile)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], weight: str | None = None) -> DataFrame:

@@ -106,3 +106,48 @@ def test_buckets_never_fall(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double").select("v", ranking.bucket(F.col("v")).alias("b"))
     b = [r.b for r in sorted(df.collect())]
     assert b == sorted(b) and b[0] < b[3] < b[-1]
+
+
+def test_narrow_doubles_are_cut_evenly(spark, monkeypatch):
+    """All distinct values in one bucket by size: quantiles cut it, the ranks stay exact."""
+    monkeypatch.setattr(ranking, "CUT_ROWS", 500)
+    rng = np.random.default_rng(2)
+    vals = np.concatenate([1 + rng.random(30_000) / 1000, [1.0, np.nan, np.inf, -3.0], 1 + rng.integers(0, 9, 3000) / 1e9])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)] + [(-1, None)], "loan_id long, v double")
+    cells = ranking.cut_buckets(df.select("v").distinct(), "v").groupBy("_b", "_s").count().collect()
+    assert max(r["count"] for r in cells) < 1000 and len(cells) > 100
+    mine = ranking.percent_rank(df, "v", "pr").select("loan_id", "pr").collect()
+    native = df.withColumn("pr", F.percent_rank().over(Window.orderBy(F.col("v").asc_nulls_first()))).select("loan_id", "pr")
+    assert sorted(mine) == sorted(native.collect())
+
+
+@pytest.mark.parametrize("spread", [1, 1 << 38, 7])
+def test_positions_in_a_hot_tie(spark, monkeypatch, spread):
+    """A third and more of the rows on one value, ids of many files: counted, not ranked."""
+    from loanscope.operators import selection
+    monkeypatch.setattr(selection, "FEW", 16)
+    monkeypatch.setattr(selection, "BITS", 4)
+    rng = random.Random(spread)
+    ids = rng.sample(range(-3000, 40_000), 6000)
+    rows = [(i * spread + rng.randrange(spread), 7.5 if n % 3 else float(rng.randrange(30))) for n, i in enumerate(ids)] + [(None, 7.5)]
+    df = spark.createDataFrame(rows, "loan_id long, v double")
+    for k in (4, 7, 100):
+        mine = ranking.ntile(df, "v", k, "q").collect()
+        native = df.withColumn("q", F.ntile(k).over(Window.orderBy(F.col("v").asc_nulls_first(), F.col("loan_id").asc_nulls_first()))).collect()
+        assert sorted(map(str, mine)) == sorted(map(str, native))
+    plan = ranking.ntile(df, "v", 4, "q")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan  # a projection
+
+
+def test_thresholds_by_several_columns(spark, monkeypatch):
+    from loanscope.operators import selection
+    monkeypatch.setattr(selection, "FEW", 3)
+    rng = random.Random(4)
+    rows = [("a" if i % 2 else None, rng.randrange(5), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, h long, loan_id long")
+    for g in ("a", None):
+        order = sorted((h, i) for x, h, i in rows if x == g)
+        asked = [(g, p) for p in (0, 1, 57, 120, 199)]
+        for (_, p), t in zip(asked, selection.thresholds(df, "g", ["h", "loan_id"], asked)):
+            reached = {(r.h, r.loan_id) for r in df.where(F.col("g").eqNullSafe(F.lit(g))).where(selection.behind(["h", "loan_id"], t)).collect()}
+            assert reached == set(order[p:])
