@@ -9,17 +9,19 @@
   population standard deviation.
 * ML-4: L2 logistic regression with balanced class weights n / (2 n_c);
   sklearn's C = 1 objective equals Spark's with regParam = 1 / sum(weights)
-  and standardization off.  Fitting is Spark's distributed L-BFGS.
-* ML-5..7: test metrics (exact AUC, ``numBins=0``) and signed coefficients.
+  and standardization off.  Fitting is Spark's distributed L-BFGS; Newton steps
+  over sufficient statistics then carry its result to full precision.
+* ML-5..7: test metrics and signed coefficients.  AUC is a rank sum over the table of
+  distinct scores, ties counting half.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import count_rows
 from ..schema import RANDOM_SEED
+from . import ranking
 from .selection import behind, thresholds
 
 NUMERIC = ("annual_income", "loan_amount", "term_months")
@@ -136,9 +139,58 @@ def fit(split: DataFrame, max_iter: int = 1000, tol: float = 1e-6):
     return lr.fit(train.withColumn("w", w_col)), names, design
 
 
-def coefficients(model, names: Sequence[str], spark) -> DataFrame:
-    """ML-7: signed coefficients, ascending."""
-    coef = model.coefficients.toArray().tolist()
+def linear(z: DataFrame, names: Sequence[str], beta: Sequence[float]) -> DataFrame:
+    """``z`` with ``eta``, the linear predictor; the last of ``beta`` is the intercept."""
+    eta = F.lit(float(beta[-1]))
+    for c, b in zip(NUMERIC, beta):
+        eta = eta + F.col(f"{c}_z") * F.lit(float(b))
+    for c in CATEGORICAL:  # a level's coefficient; the first level has none
+        own = [(n[len(c) + 1:], float(b)) for n, b in zip(names, beta) if n not in NUMERIC and n.startswith(f"{c}_")]
+        levels = F.broadcast(z.sparkSession.createDataFrame(own, f"{c} string, w_{c} double"))  # no more rows than coefficients
+        z = z.join(levels, c, "left")
+        eta = eta + F.coalesce(f"w_{c}", F.lit(0.0))
+    return z.withColumn("eta", eta).drop(*[f"w_{c}" for c in CATEGORICAL])
+
+
+def newton(design: DataFrame, names: Sequence[str], model, most: int = 20, tol: float = 1e-11) -> list[float]:
+    """ML-4 to full precision: coefficients and intercept from the fitted model on, by
+    Newton's method.  Within a pair of categories the dummies are constant, so a step
+    needs, for each pair, only sums of the weights and residuals by the numeric columns:
+    one aggregate, whose rows (pairs of levels) make the small system of equations."""
+    train = design.where("is_train").select(*CATEGORICAL, *[f"{c}_z" for c in NUMERIC], LABEL)
+    weights, _ = _weights(train)
+    w = F.when(F.col(LABEL) == 1, F.lit(weights.get(1, 0.0))).otherwise(F.lit(weights.get(0, 0.0)))
+    beta = np.array([*model.coefficients.toArray(), model.intercept])
+    k, ridge = len(NUMERIC), np.append(np.ones(len(names)), 0.0)
+    parts = [F.lit(1.0), *[F.col(f"{c}_z") for c in NUMERIC]]
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    for _ in range(most):
+        mu = 1 / (1 + F.exp(-F.col("eta")))
+        sums = (linear(train, names, beta).withColumns({"_r": w * (mu - F.col(LABEL)), "_v": w * mu * (1 - mu)})
+                .groupBy(*CATEGORICAL).agg(*[F.sum(F.col("_r") * x) for x in parts], *[F.sum(F.col("_v") * parts[i] * parts[j]) for i, j in pairs]))
+        slope, curve = ridge * beta, np.diag(ridge)
+        for row in sums.collect():  # a row for each pair of levels
+            values = row[len(CATEGORICAL):]
+            # Features that are 1 for the whole group, with the intercept last; then the numeric ones.
+            ones = [i for i, n in enumerate(names) if n in {f"{c}_{x}" for c, x in zip(CATEGORICAL, row)}] + [len(names)]
+            place = [ones, *[[i] for i in range(k)]]
+            for part, x in zip(place, values):
+                slope[part] += x
+            for (i, j), x in zip(pairs, values[k + 1:]):
+                for one in place[i]:
+                    curve[one, place[j]] += x
+                    if i != j:
+                        curve[place[j], one] += x
+        step = np.linalg.solve(curve, slope)
+        beta = beta - step
+        if np.abs(step).max() < tol:
+            break
+    return beta.tolist()
+
+
+def coefficients(model, names: Sequence[str], spark, beta: Sequence[float] | None = None) -> DataFrame:
+    """ML-7: signed coefficients, ascending; of the fitted model or of ``beta``."""
+    coef = model.coefficients.toArray().tolist() if beta is None else beta
     rows = [(n, float(v)) for n, v in zip(names, coef)]
     return spark.createDataFrame(rows, "feature string, coefficient double").orderBy("coefficient")
 
@@ -147,23 +199,38 @@ def top_coefficients(coefs: DataFrame, k: int = 10) -> DataFrame:
     return coefs.orderBy(F.abs("coefficient").desc(), "feature").limit(k)
 
 
-def evaluate(model, z: DataFrame) -> DataFrame:
-    """ML-5/6: accuracy, precision, recall and exact AUC on the test rows."""
+def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """One row: the area under the ROC curve as a rank sum over distinct scores: of all
+    pairs of a positive and a negative row, the share in order, ties counting half."""
+    pos, neg = (F.count_if(F.col(label) == y) for y in (1, 0))
+    table = scored.groupBy(score).agg(pos.alias("_pos"), neg.alias("_neg"))
+    table = ranking.running_before(table, [], score, "_neg", "_below", "_negs")
+    wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
+    return table.agg(F.try_divide(wins, F.sum("_pos") * F.max("_negs")).alias("auc"))
+
+
+def evaluate(model, z: DataFrame, names: Sequence[str] | None = None, beta: Sequence[float] | None = None) -> DataFrame:
+    """ML-5/6: accuracy, precision, recall and AUC on the test rows, by the fitted
+    model or by ``beta``.  Scores are told apart to 12 digits."""
     test = z.where(~F.col("is_train"))
-    pred = model.transform(test)
-    y, yhat = F.col(LABEL), F.col("prediction").cast("int")
+    if beta is None:
+        p = vector_to_array(F.col("probability"))[1]
+        pred = model.transform(test).select(LABEL, p.alias("_p"))
+    else:
+        pred = linear(test, names, beta).select(LABEL, (1 / (1 + F.exp(-F.col("eta")))).alias("_p"))
+    pred = pred.withColumn("_p", F.round("_p", 12))
+    y, yhat = F.col(LABEL), (F.col("_p") > 0.5).cast("int")
     m = pred.agg(count_rows().alias("n"),
                  F.count_if(y == yhat).alias("correct"),
                  F.count_if((y == 1) & (yhat == 1)).alias("tp"),
                  F.count_if((y == 0) & (yhat == 1)).alias("fp"),
                  F.count_if((y == 1) & (yhat == 0)).alias("fn"))
-    auc = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol=LABEL,
-                                        metricName="areaUnderROC", numBins=0).evaluate(pred)
     base_rate = z.agg(F.avg(LABEL)).scalar()
+    area = auc(pred, "_p", LABEL).scalar()
     return m.select(
         (F.col("correct") / F.col("n")).alias("accuracy"),
         F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"),
-        F.lit(float(auc)).alias("auc"),
+        area.alias("auc"),
         base_rate.alias("base_default_rate"),
         F.col("n").alias("test_rows"))

@@ -164,23 +164,25 @@ def _fitted(spark, sf_dir):
     with _LOCK:
         if key not in _MODELS:
             split = model.stratified_split(model.model_frame(_scored(spark, sf_dir)))
-            _MODELS[key] = model.fit(split)
+            fitted, names, design = model.fit(split)
+            _MODELS[key] = fitted, names, design, model.newton(design, names, fitted)
         return _MODELS[key]
 
 
 def _model_features(spark, sf_dir):
-    _, names, design = _fitted(spark, sf_dir)  # the matrix the model was fit on
+    _, names, design, _ = _fitted(spark, sf_dir)  # the matrix the model was fit on
     return model.features_long(design, names).withColumn("value", F.round("value", 9))
 
 
 def _model_coefficients(spark, sf_dir):
-    m, names, _ = _fitted(spark, sf_dir)
-    return model.coefficients(m, names, spark)
+    m, names, _, beta = _fitted(spark, sf_dir)
+    return model.coefficients(m, names, spark, beta).withColumn("coefficient", F.round("coefficient", 8))
 
 
 def _model_metrics(spark, sf_dir):
-    m, _, z = _fitted(spark, sf_dir)
-    return model.evaluate(m, z)
+    m, names, z, beta = _fitted(spark, sf_dir)
+    out = model.evaluate(m, z, names, beta)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns[:-1]], "test_rows")
 
 
 def _ingest_summary(raw: DataFrame) -> DataFrame:
