@@ -5,6 +5,10 @@ the shared checkpoint folder (``loans`` is a view of that table) and every quest
 reads it back with column pruning and predicate pushdown.  Writing it also
 cuts the lineage of the join + de-dup plan, so a lost executor re-reads Parquet
 instead of recomputing the ingest.
+
+Where the session names a folder in ``spark.loanscope.tables``, the tables are named
+tables there instead (``named``): the next application reads them as they are, and they
+are rebuilt and switched when the input's files have changed.
 """
 
 from __future__ import annotations
@@ -17,7 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.clean import build_clean, score
 from ..schema import CLEAN_COLUMNS, SCORED_EXTRA
 from ..session import input_state, scratch_path
-from . import fixture
+from . import fixture, named
+
+#: Session setting: the folder of tables that outlive an application.
+SHARED = "spark.loanscope.tables"
 
 _MATERIALISED: dict[tuple, str] = {}
 # Re-entrant: building one table may materialise the table it is built from.
@@ -50,12 +57,21 @@ def _materialise(spark: SparkSession, sf_dir: str, name: str, build,
 def _build_once(spark, sf_dir, name, build, partition_by, key) -> str:
     path = _MATERIALISED.get(key)
     if path is None:
-        tag = hashlib.sha1(repr(key[2:]).encode()).hexdigest()[:12]
-        path = scratch_path(spark, f"{name}_{tag}")
-        writer = build().write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        digest = lambda x: hashlib.sha1(repr(x).encode()).hexdigest()[:12]
+        shared = spark.conf.get(SHARED, None)
+        if shared:
+            # Named by the input's place; the state of its files tells a table that is out of date.
+            folder, state = f"{shared.rstrip('/')}/{name}_{digest(sf_dir)}", digest(key[2:])
+            known = named.versions(spark, folder)
+            if not known or known[-1].state != state:
+                named.replace(build(), folder, partition_by, state)
+            path = f"{folder}/{named.versions(spark, folder)[-1].name}"
+        else:
+            path = scratch_path(spark, f"{name}_{digest(key[2:])}")
+            writer = build().write.mode("overwrite")
+            if partition_by:
+                writer = writer.partitionBy(*partition_by)
+            writer.parquet(path)
         _MATERIALISED[key] = path
     return path
 
