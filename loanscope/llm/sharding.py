@@ -95,14 +95,14 @@ def assign(df: DataFrame, key: str, shards: int, vnodes: int = 64, load: float =
     bounds = np.array([p for p, _ in points], np.int64)
     owners = [s for _, s in points]
     rows = staged(df.select(F.col(key).alias("_key"), F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(RING)).alias("_at"),
-                            *[e.alias(f"_p{i}") for i, e in enumerate(payload.values())]), "shard-rows")
+                            *[e.alias(f"_p{i}") for i, e in enumerate(payload.values())], F.monotonically_increasing_id().alias("_row")), "shard-rows")
 
     @F.pandas_udf("int")
     def arc_of(at: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, at.to_numpy()) % len(bounds)).astype("int32")
 
-    placed = (rows.withColumn("_row", F.monotonically_increasing_id())
-                  .withColumn("_arc", arc_of("_at"))
+    # A row's number is written with it: later jobs may read the table in other splits.
+    placed = (rows.withColumn("_arc", arc_of("_at"))
                   .withColumn("_sub", F.pmod(F.xxhash64("_row"), F.lit(SUBCELLS)).cast("int")))
     # At most shards * vnodes * SUBCELLS counts, whatever the table's size.
     counts = {(r[0], r[1]): r[2] for r in placed.groupBy("_arc", "_sub").count().collect()}

@@ -70,3 +70,32 @@ def test_growing_moves_few_rows_with_slack(spark):
     moved = sum(at[24][k] != at[25][k] for k in at[24])
     assert moved < 4000 * 0.15  # a plain modulus moves 96 %
     assert xxhash.xxh64_intdigest("shard|0|0", seed=7) % sharding.RING in dict(sharding.ring(24, 1))
+
+
+def test_no_row_is_lost_when_the_splits_change_between_jobs(spark):
+    df = spark.range(5000).select("id", F.col("id").alias("k"))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    out = sharding.assign(df, "k", 24)
+    old = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "1k")
+        rows = out.collect()
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+    assert sorted(r.k for r in rows) == list(range(5000))
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_query_gives_size_and_crc_of_the_text(spark, tmp_path):
+    import zlib
+    df = frame(spark)
+    df.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op1_sharding(spark, str(tmp_path)).collect()
+    raw = lambda t: (t or "").encode()
+    want = sorted((str(r.doc_id), len(raw(r.text)) + 8, zlib.crc32(raw(r.text))) for r in df.collect())
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in got) == want and {r.law for r in got} == {"rows"}
