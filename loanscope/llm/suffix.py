@@ -421,7 +421,8 @@ def repeated_spans(df: DataFrame, text_col: str, group: int = GROUP, span: int =
     at = found.where("till < 0")
     # A gram counts as repeated if two different (text, place) have it; copies of a text don't.
     own = F.xxhash64("_t1", "_t2", "at")
-    grams = at.groupBy("h").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x != y").select("h")
+    # (Written, so that both sides of the join are dealt for it and a gram that many rows have can be split.)
+    grams = staged(at.groupBy("h").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x != y").select("h"), "grams")
     marks = staged(at.join(grams, "h", "left_semi").select(*t, "at", "h").distinct(), "marks")
     texts = screened(docs, "_t1", marks, "_t1", "_maybe").where("_maybe").select(*t, "text").groupBy(*t).agg(F.first("text").alias("text"))
     listed = marks.groupBy(*t).agg(F.collect_list(F.struct("at", "h")).alias("marks"))  # of one text
@@ -460,25 +461,28 @@ def _cut(df: DataFrame, kind: str) -> DataFrame:
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 cut = merged([(s["a"], s["b"]) for s in spans.as_py() or ()])
                 rest = rest_of(raw, cut)
-                rows.append((len(raw), len(raw) - len(rest), len(cut), hashlib.sha256(rest).hexdigest()))
-            a, c, d, e = zip(*rows) if rows else ((),) * 4
+                rows.append((len(raw), len(raw) - len(rest), len(cut), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
+            a, c, d, e, f = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64()),
-                                              pa.array(e, pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                                              pa.array(e, pa.string()), pa.array(f, pa.string())],
+                                             names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
         return step
 
-    return map_arrow(df, build, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(df, build, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
-def removed(df: DataFrame, id_col: str, text_col: str, group: int = GROUP, span: int = SPAN) -> DataFrame:
-    """``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` for each row."""
+def removed(df: DataFrame, id_col: str, text_col: str, group: int = GROUP, span: int = SPAN, with_text: bool = False) -> DataFrame:
+    """``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` for each row, and if
+    asked the ``text`` that is left (characters cut in two go whole; null is empty)."""
     spans = staged(repeated_spans(df, text_col, group, span), "spans")
     docs = df.select(F.col(id_col).alias("id"), *text_key(text_col), F.col(text_col).alias("text"))
     docs = screened(docs, "_t1", spans, "_t1", "_maybe")
     some = docs.where("_maybe").select("id", "_t1", "_t2", "text").join(spans, ["_t1", "_t2"], "left").select("id", "text", "spans")
     whole = F.coalesce("text", F.lit(""))
     none = docs.where("not _maybe").select("id", F.octet_length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-                                           F.lit(0).cast("long").alias("n_spans"), F.sha2(whole.cast("binary"), 256).alias("kept_sha256"))
-    return _cut(some, dict(df.dtypes)[id_col]).unionByName(none).withColumnRenamed("id", id_col)
+                                           F.lit(0).cast("long").alias("n_spans"), F.sha2(whole.cast("binary"), 256).alias("kept_sha256"), whole.alias("text"))
+    out = _cut(some, dict(df.dtypes)[id_col]).unionByName(none).withColumnRenamed("id", id_col)
+    return out if with_text else out.drop("text")
 
 
 def without_repeats(df: DataFrame, text_col: str, group: int = GROUP, span: int = SPAN) -> DataFrame:
@@ -508,4 +512,4 @@ def without_repeats(df: DataFrame, text_col: str, group: int = GROUP, span: int
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Repeated 400-byte strings removed from every document."""
-    return removed(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return removed(table(spark, sf_dir, "documents"), "doc_id", "text", with_text=True)
