@@ -2,7 +2,8 @@
 
 The escaped text (blanks as U+2581, one put in front) is cut into *words*: between two
 characters that stand side by side in no piece no piece can ever lie, so a word's
-pieces do not depend on its surroundings.  Over the distinct words of the table:
+pieces do not depend on its surroundings.  Over the distinct words of the table, carried by a 128-bit key so that a run of a
+hundred thousand blanks is not copied with each of its substrings:
 
 1. explode the substrings of up to the longest piece's length,
 2. equi-join them to the piece table (bounded by the vocabulary, broadcast): the
@@ -15,8 +16,8 @@ pieces do not depend on its surroundings.  Over the distinct words of the table:
 
 Characters that are no piece become their byte pieces, or the unknown piece.
 
-Texts travel as compressed blocks (``BLOCK_CHARS`` characters or one text).  A block
-lists its distinct words once, by number; the encoded words go back to the blocks
+Texts travel as compressed blocks (``BLOCK_CHARS`` characters or one text), written
+once.  A block lists its distinct words, by number; the encoded words go back to the blocks
 that hold them and each block puts its own texts together.  A frequent word is one
 row in each block, whatever the number of its occurrences.  The ids of a text are
 decoded again and compared with it: ``round_trip``.
@@ -41,10 +42,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, table
+from .common import map_arrow, slices, staged, table, text_key
 
 MODEL = "piece_bpe_32k.model"
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -102,33 +103,34 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def lattice(words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(word) -> (word, at, len, id, score): the edges, places counted from 1."""
+    """(_t1, _t2, word) -> (_t1, _t2, at, len, id, score): the edges, places counted from 1.
+    A word is carried by its key; its characters are an array, so a place is found at once."""
     spark = words.sparkSession
     pieces = spark.createDataFrame(vocab.pieces, "piece string, id int, score float")
-    size = F.char_length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(1), size)).alias("at"))
-    tails = starts.select("word", "at", F.expr(f"substring(word, at, {vocab.longest})").alias("tail"))
-    parts = tails.select("word", "at", "tail", F.explode(F.sequence(F.lit(1), F.char_length("tail"))).alias("len"))
+    chars = words.select("_t1", "_t2", F.split("word", "").alias("chars"))
+    starts = chars.select("_t1", "_t2", "chars", F.explode(F.sequence(F.lit(1), F.size("chars"))).alias("at"))
+    tails = starts.select("_t1", "_t2", "at", F.expr(f"array_join(slice(chars, at, {vocab.longest}), '')").alias("tail"))
+    parts = tails.select("_t1", "_t2", "at", "tail", F.explode(F.sequence(F.lit(1), F.char_length("tail"))).alias("len"))
     return (parts.withColumn("piece", F.expr("substring(tail, 1, len)")).join(F.broadcast(pieces), "piece")  # vocabulary-sized
-                 .select("word", "at", "len", "id", "score"))
+                 .select("_t1", "_t2", "at", "len", "id", "score"))
 
 
 def viterbi(edges: DataFrame, words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Best paths of a unigram model: (word, path), an id and a length each step;
+    """Best paths of a unigram model: (_t1, _t2, path), an id and a length each step;
     id -1: a character that is no piece."""
-    missing = words.select("word", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("at")).select(
-        "word", "at", F.lit(1).alias("len"), F.lit(-1).alias("id"), F.lit(vocab.least - 10).cast("float").alias("score"))
-    ends = (edges.unionByName(missing).groupBy("word", (F.col("at") + F.col("len") - 1).alias("end"))
+    missing = words.select("_t1", "_t2", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("at")).select(
+        "_t1", "_t2", "at", F.lit(1).alias("len"), F.lit(-1).alias("id"), F.lit(vocab.least - 10).cast("float").alias("score"))
+    ends = (edges.unionByName(missing).groupBy("_t1", "_t2", (F.col("at") + F.col("len") - 1).alias("end"))
                  .agg(F.collect_list(F.struct("len", "id", "score")).alias("into")))
     # A character's own piece goes before the missing one of the same length.
-    ends = ends.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("end", "into"))).alias("ends"))
-    return ends.selectExpr("word", """
+    ends = ends.groupBy("_t1", "_t2").agg(F.array_sort(F.collect_list(F.struct("end", "into"))).alias("ends"))
+    return ends.selectExpr("_t1", "_t2", """
         aggregate(ends, array(named_struct('best', cast(0 as float), 'len', 0, 'id', 0)), (path, e) -> array_append(path,
           aggregate(filter(e.into, x -> x.id >= 0 or not exists(e.into, y -> y.len = 1 and y.id >= 0)),
             named_struct('best', cast('-infinity' as float), 'len', 0, 'id', 0),
             (m, x) -> if(path[e.end - x.len].best + x.score > m.best,
                          named_struct('best', cast(path[e.end - x.len].best + x.score as float), 'len', x.len, 'id', x.id), m)))) as path
-        """).selectExpr("word", """
+        """).selectExpr("_t1", "_t2", """
         aggregate(path, named_struct('at', size(path) - 1, 'out', cast(array() as array<struct<id: int, len: int>>)),
           (s, x) -> if(s.at <= 0, s, named_struct('at', s.at - path[s.at].len,
                        'out', array_prepend(s.out, named_struct('id', path[s.at].id, 'len', path[s.at].len))))).out as path""")
@@ -163,39 +165,41 @@ def merged(word: str, edges: dict) -> list[tuple[int, int]]:
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """Distinct ``word`` -> ``ids``."""
+    """Distinct (_t1, _t2, word) -> ``_t1``, ``_t2``, ``ids``."""
     vocab = vocabulary(path)
     edges = lattice(words, vocab)
+    key = ["_t1", "_t2"]
     if vocab.unigram:
-        folded = viterbi(edges, words, vocab)
+        folded = words.join(viterbi(edges, words, vocab), key).select(*key, "word", "path")
 
         def build():
             v = vocabulary(path)
 
             def step(b):
                 out = []
-                for word, steps in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for word, steps in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                     at, ids = 0, []
                     for s in steps:
                         ids += [s["id"]] if s["id"] >= 0 else v.spelled(word[at])
                         at += s["len"]
                     out.append(ids)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["word", "ids"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out, pa.list_(pa.int32()))], names=["_t1", "_t2", "ids"])
             return step
     else:
-        # Words without any edge come in by the first, missing one.
-        none = words.select("word", F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(-1).alias("id"), F.lit(0).cast("float").alias("score"))
-        folded = edges.unionByName(none).groupBy("word").agg(*[F.collect_list(c).alias(c) for c in ("at", "len", "id", "score")])
+        # A word without any edge has none.
+        folded = edges.groupBy(*key).agg(*[F.collect_list(c).alias(c) for c in ("at", "len", "id", "score")])
+        none = lambda c, k: F.coalesce(c, F.array().cast(f"array<{k}>")).alias(c)
+        folded = words.join(folded, key, "left").select(*key, "word", none("at", "int"), none("len", "int"), none("id", "int"), none("score", "float"))
 
         def build():
             v = vocabulary(path)
 
             def step(b):
-                bounds = b.column(1).offsets.to_numpy()
-                at, size, ids, score = (b.column(i).values.to_numpy() for i in range(1, 5))
+                bounds = b.column(3).offsets.to_numpy()
+                at, size, ids, score = (b.column(i).values.to_numpy() for i in range(3, 7))
                 at, size, ids, score = (at - 1).tolist(), size.tolist(), ids.tolist(), score.tolist()
                 out = []
-                for k, word in enumerate(b.column(0).to_pylist()):
+                for k, word in enumerate(b.column(2).to_pylist()):
                     own = range(bounds[k], bounds[k + 1])
                     number = {(at[i], size[i]): ids[i] for i in own}
                     row: list[int] = []
@@ -203,10 +207,10 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
                         i = number.get(p)
                         row += [i] if i is not None else [x for c in word[p[0]:p[0] + p[1]] for x in v.spelled(c)]
                     out.append(row)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["word", "ids"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out, pa.list_(pa.int32()))], names=["_t1", "_t2", "ids"])
             return step
 
-    return map_arrow(folded, build, "word string, ids array<int>")
+    return map_arrow(folded, build, "_t1 long, _t2 long, ids array<int>")
 
 
 class Block:
@@ -218,14 +222,13 @@ class Block:
     def add(self, text: str | None) -> list[str]:
         """The runs of a text, each made known."""
         found = _WORDS.findall(self.vocab.escaped(text or ""))
-        for r in set(found) - self.runs.keys():
+        for r in [r for r in set(found) if r not in self.runs]:
             self.runs[r] = [self.words.setdefault(w, len(self.words)) for w in self.vocab.cut(r)]
         return found
 
 
-def _blocks(df: DataFrame, path: str, with_texts: bool) -> DataFrame:
-    """(id, text) -> blocks: their distinct words in order, or their rows
-    compressed.  Both read the same rows, so both know the same words."""
+def _blocks(df: DataFrame, path: str) -> DataFrame:
+    """(id, text) -> blocks: their rows compressed, and their distinct words in order."""
     def build():
         v, count = vocabulary(path), [0]
 
@@ -233,19 +236,16 @@ def _blocks(df: DataFrame, path: str, with_texts: bool) -> DataFrame:
             for first, texts in slices(b, 1, BLOCK_CHARS):
                 count[0] += 1
                 name = (TaskContext.get().partitionId() << 32) + count[0]
-                if with_texts:
-                    ids = b.column(0).slice(first, len(texts)).to_pylist()
-                    raw = zstandard.ZstdCompressor(level=6).compress(pickle.dumps((ids, texts)))
-                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([raw], pa.binary())], names=["block", "rows"])
-                else:
-                    block = Block(v)
-                    for t in texts:
-                        block.add(t)
-                    words = sorted(block.words)
-                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([words], pa.list_(pa.string()))], names=["block", "words"])
+                ids = b.column(0).slice(first, len(texts)).to_pylist()
+                raw = zstandard.ZstdCompressor(level=6).compress(pickle.dumps((ids, texts)))
+                block = Block(v)
+                for t in texts:
+                    block.add(t)
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([raw], pa.binary()), pa.array([sorted(block.words)], pa.list_(pa.string()))],
+                                                 names=["block", "rows", "words"])
         return step
 
-    return map_arrow(df, build, "block long, rows binary" if with_texts else "block long, words array<string>")
+    return map_arrow(df, build, "block long, rows binary, words array<string>")
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, model: str = MODEL) -> DataFrame:
@@ -253,12 +253,15 @@ def encode(df: DataFrame, id_col: str, text_col: str, model: str = MODEL) -> Dat
     path = public_tokenizers.path(model) if "/" not in model else model
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(src.dtypes)["id"]
-    pairs = _blocks(src, path, False).select("block", F.posexplode("words").alias("no", "word"))
+    # Cut and numbered once: whatever reads them later sees the same blocks.
+    texts = staged(_blocks(src, path), "blocks")
+    pairs = texts.select(F.col("block").alias("inside"), F.posexplode("words").alias("no", "word")).select("inside", "no", "word", *text_key("word"))
     # A word grows into dozens of substrings: its place is dealt by number, not by bytes.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = encoded_words(pairs.select("word").repartition(tasks, "word").distinct(), path)
-    known = pairs.join(words, "word").select("block", "no", "ids")
-    texts = _blocks(src, path, True)
+    # Distinct words once dealt by key stay there: substrings, edges and folds never move.
+    words = pairs.groupBy("_t1", "_t2").agg(F.first("word").alias("word")).repartition(tasks, "_t1", "_t2")
+    known = pairs.drop("word").join(encoded_words(words, path), ["_t1", "_t2"]).select("inside", "no", "ids")
+    texts = texts.select("block", "rows")
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -291,7 +294,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, model: str = MODEL) -> Dat
         return pa.table({"id": pa.array(rows, arrow_id), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                          "n_pieces": pa.array(sizes, pa.int64()), "round_trip": pa.array(same, pa.bool_())})
 
-    out = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
+    out = texts.groupBy("block").cogroup(known.groupBy("inside")).applyInArrow(
         put_together, f"id {kind}, ids array<int>, n_pieces long, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
 

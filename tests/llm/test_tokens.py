@@ -1,4 +1,5 @@
 import public_tokenizers
+import sentencepiece
 from tokenizers import Tokenizer
 
 from loanscope.llm import lattice, packing, tokens
@@ -26,6 +27,8 @@ def test_characters_of_another_unicode_version():
     odd = tokens.disputed(path)
     texts = [f"x{c}y {c}{c} 1{c}" for c in odd[:50]] + ["no such character, but é"]
     assert tokens.counter(path, odd)(texts) == [len(x) for x in library(tokens.BYTE_BPE, texts)]
+    count = tokens.counter(path)  # each character judged when it comes up, pre-tokens remembered
+    assert [count([t])[0] for t in texts] == tokens.counter(path, odd)(texts)
 
 
 def test_token_frame_edges(spark):
@@ -59,6 +62,16 @@ def test_sentencepiece_bpe_equals_the_library(spark):
     assert lattice.encode(frame(spark), "doc_id", "text").count() == len(TEXTS) + 1
 
 
+def test_long_unbroken_runs(spark):
+    """Blanks and letters that no place cuts, 100 KB of them: one word, edges by its key."""
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(lattice.MODEL))
+    texts = [" " * 100_000, "=" * 60_000, "ab" * 40_000 + " c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in lattice.encode(df, "doc_id", "text").collect()}
+    for i, t in enumerate(texts):
+        assert got[i].ids == model.encode(t) and got[i].round_trip
+
+
 def test_sentencepiece_viterbi_equals_the_library(spark, tmp_path):
     """The same pieces read as a unigram model with scores of their own."""
     import random
