@@ -4,7 +4,8 @@ Offline, every vocabulary string of a byte-level BPE file is put to the library
 alone; those that come back as one token are *whole*.  A text is cut into
 pre-tokens with the tokenizer's own pattern, its special strings counted as one
 token each as the library does by default.  A pre-token that is whole counts 1;
-only the others are merged, by the library, once per distinct string and batch.
+only the others are merged, by the library, once per distinct string and task (up to
+``KNOWN`` of them are remembered).
 So a text has (pre-tokens) + sum(merged length - 1 over the rest) tokens.
 
 The whole-token table has at most as many entries as the vocabulary.  Work is one
@@ -17,7 +18,6 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import public_tokenizers
@@ -60,23 +60,42 @@ def prepared(path: str):
     return tok, pattern, special, whole
 
 
+def _differs(path: str, c: str) -> bool:
+    """Whether the two Unicode tables class a character differently: the library's
+    regular expressions know another version."""
+    tok, pattern, _, _ = prepared(path)
+    return len(tok.pre_tokenizer.pre_tokenize_str(f"a{c}1{c} {c}{c}!")) != len(pattern.findall(f"a{c}1{c} {c}{c}!"))
+
+
 @lru_cache(maxsize=2)
 def disputed(path: str) -> str:
-    """Characters the two Unicode tables class differently: the library's regular
-    expressions know another version.  Planes 0 to 3 and 14; no other has any."""
-    tok, pattern, _, _ = prepared(path)
-    chars = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000))]
-    return "".join(c for c in chars if len(tok.pre_tokenizer.pre_tokenize_str(f"a{c}1{c} {c}{c}!")) != len(pattern.findall(f"a{c}1{c} {c}{c}!")))
+    """All such characters.  Planes 0 to 3 and 14; no other has any."""
+    return "".join(filter(lambda c: _differs(path, c), map(chr, (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)))))
+
+
+#: Merged pre-tokens a task remembers from slice to slice; only a matter of speed.
+KNOWN = 400_000
 
 
-def counter(path: str, odd: str):
-    """texts -> token counts; ``odd``: the characters of :func:`disputed`, whose
-    texts the library itself cuts into pre-tokens."""
+def counter(path: str, odd: str | None = None):
+    """texts -> token counts.  Texts with a character of another class in the library are
+    cut into pre-tokens by the library; ``odd`` lists these characters, by default each
+    one is judged when it first comes up."""
     tok, pattern, special, whole = prepared(path)
-    strange = re.compile(f"[{re.escape(odd)}]") if odd else None
+    judged, strange = set(), set(odd or ())
+    extra: dict[str, int] = {}
+
+    def is_strange(text: str) -> bool:
+        chars = set(text)
+        if odd is None:
+            for c in chars - judged:
+                judged.add(c)
+                if not c.isascii() and _differs(path, c):
+                    strange.add(c)
+        return not strange.isdisjoint(chars)
 
     def pre_tokens(text: str) -> list[str]:
-        if strange is not None and not text.isascii() and strange.search(text):
+        if not text.isascii() and is_strange(text):
             return [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)]
         return pattern.findall(text)
 
@@ -84,6 +103,8 @@ def counter(path: str, odd: str):
 
     def count(texts: list) -> list[int]:
         sums, rests, wanted = [], [], set()
+        if len(extra) > KNOWN:
+            extra.clear()
         for t in texts:
             n, rest = 0, []
             if t:
@@ -98,8 +119,8 @@ def counter(path: str, odd: str):
             sums.append(n)
             rests.append(rest)
             wanted.update(rest)
-        words = list(wanted)
-        extra = {w: len(e.ids) - 1 for w, e in zip(words, tok.encode_batch(words, add_special_tokens=False))}
+        words = [w for w in wanted if w not in extra]
+        extra.update((w, len(e.ids) - 1) for w, e in zip(words, tok.encode_batch(words, add_special_tokens=False)))
         return [n + sum(map(extra.__getitem__, rest)) for n, rest in zip(sums, rests)]
 
     return count
@@ -109,10 +130,10 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, limit: int = 1024,
                  vocabulary: str = BYTE_BPE) -> DataFrame:
     """``id``, ``n_bytes``, ``n_tokens``, ``over_limit`` for each row."""
     path = public_tokenizers.path(vocabulary)
-    kind, odd = dict(df.dtypes)[id_col], disputed(path)
+    kind = dict(df.dtypes)[id_col]
 
     def build():
-        count = counter(path, odd)
+        count = counter(path)
 
         def step(b):
             for first, texts in slices(b, 2):
