@@ -1,7 +1,8 @@
 """Operator 9: personal data replaced by keyed surrogates.
 
-Detected entities (mail addresses, secrets, network addresses, bank and card
-numbers, phone numbers, names after a title) receive surrogates of the same type:
+Detected entities (mail addresses, secrets of a known form or after a word such as
+``password:``, network addresses, bank and card numbers, phone numbers, names after a
+title) receive surrogates of the same type:
 
 * Numbers, secrets and mail addresses go through a keyed permutation of all strings
   of the same format: every character is mapped within its own class (digits, hex
@@ -10,8 +11,11 @@ numbers, phone numbers, names after a title) receive surrogates of the same type
   mapped in their canonical form, so one number in two layouts keeps one surrogate,
   and a number with a valid Luhn digit, a private address or a country code gives
   another such.
-* Names become names of the same gender (told by the title), script and number of
-  parts, drawn by key from lists; these are not a permutation.
+* Names become names of the same gender (told by the title), script and form: given
+  names from lists, surnames built from syllables, both drawn by key; initials stay
+  initials, hyphens and particles (``van der``) their place.  These are not a permutation.
+  A name is up to four words after its titles, with inner capitals, apostrophes and
+  hyphens, each after any initials and particles, or as many words in capitals.
 
 Mentions are linked inside each text before anything is drawn: a surname after a title
 to the latest person of that surname and gender (the next one if none came before), a
@@ -67,12 +71,35 @@ GIVEN = {("latin", "m"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas
          ("latin", "f"): "Anna Berta Clara Diana Emma Flora Gloria Helena Irene Julia Karin Laura Maria Nora Olga Paula Rosa Sofia Teresa Vera".split(),
          ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Максим Олег".split(),
          ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Ксения Мария Нина Ольга Софья".split()}
-FAMILY = {"latin": "Abel Baker Berger Castro Dubois Fischer Garcia Hoffmann Jansen Keller Lambert Lopez Moreau Novak Olsen Perez "
-                   "Richter Santos Tanner Weber Aldana Brandt Costa Delgado Engel Faure Girard Haas Iglesias Jordan".split(),
-          "cyrillic": "Антоненко Бондаренко Гнатюк Дорошенко Ковальчук Лысенко Мельник Савченко Ткаченко Шевченко".split()}
-
-_WORD_NAME = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’\-]+|[А-ЯЁ][а-яё\-]+)"
+#: Surnames are a start, one or two middles and an end.
+SYLLABLES = {
+    "latin": ("Al An Ar Bal Ban Bar Bel Ben Ber Bor Bran Bren Cal Can Car Col Cor Dal Dan Dor Fal Far Fer Fol Gal Gar Ger Gil Gor Hal Han Har Hel Hol "
+              "Jan Jar Kal Kan Kar Kel Kor Lam Lan Lar Lin Lor Mal Man Mel Mor Nal Nar Nor Ol Or Pal Par Pel Por Ral Ran Ros Sal San Sel Sol Tal Tan Tar "
+              "Tor Val Var Ver Vol Wal Wan Wel Wol Zan Zel".split(),
+              "ba be bi da de di do ga ge ka ke ki la le li lo ma me mi na ne ni no ra re ri ro sa se si ta te ti to va ve vi".split(),
+              "berg born dal der din feld gard han ker lan lin ling man mer mont nard nell ner nik rell ren rick rin sen ser son stad ston tell ter tin ton vell wick".split()),
+    "cyrillic": ("Ан Бар Бел Бон Вер Вол Гал Гор Дар Дор Жар Зор Кал Кар Ков Кол Лан Лес Мал Мар Мель Мор Нар Нов Ор Пал Пет Рад Ром Сав Сал Сол Тал Тар Тим Хар Чер Шев".split(),
+                 "ба бо ва ве го да де ди жи за ка ко ла ле ли ма ми на ни но ра ре ри ро са си та ти то".split(),
+                 "бенко вец венко вич ганов дин ёнок кин ков ленко лин лов мин нец ник нов ренко рин ров сенко син тов чук шин".split())}
+PARTICLES = "van von vom der den de del della degli di da do dos das du des la le los las ten ter zu zum zur af av bin ibn al el".split()
+
+# Upper and lower letters of the scripts that have both, combining marks with the lower.
+_CASED = [chr(c) for c in (*range(0x41, 0x530), *range(0x1E00, 0x2000))]
+_UP, _LOW = "".join(filter(str.isupper, _CASED)), "".join(filter(str.islower, _CASED)) + "\u0300-\u036f"
+_LOW_END = rf"[{_UP}{_LOW}'’\-]*[{_LOW}]"
+_WORD_NAME = rf"(?:[dDlL]['’]|(?:al|el|ben)-)?[{_UP}]{_LOW_END}"
+_CAPS = rf"[{_UP}][{_UP}'’\-]*[{_UP}](?![{_LOW}])"
+_INITIALS = rf"(?:[{_UP}]\. ?)*"
+_PARTICLE = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
+#: Particles that may stand first after a title; the others are articles there.
+_LEADING = r"(?:(?:van|von|vom|de|del|della|degli|di|da|do|dos|das|du|ten|ter|zu|zum|zur|af|av|bin|ibn)(?: de[rnl]?| las?| los| le)? )?"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+_TITLES = rf"(?:(?:{_TITLE})\.? )+"
+_NAME = (rf"(?:{_INITIALS}{_LEADING}{_WORD_NAME}(?: {_INITIALS}{_PARTICLE}(?!(?:{_TITLE})\b){_WORD_NAME}){{0,3}}"
+         rf"|{_INITIALS}{_CAPS}(?: {_INITIALS}{_CAPS}){{0,3}})")
+#: Words that announce a secret of any form.
+_KEYED = r"(?i:password|passwd|passphrase|pwd|api[_\- ]?key|access[_\- ]?key|secret(?:[_\- ]?access)?(?:[_\- ]?key)?|(?:auth|access)?[_\-]?token)[\"']?(?: ?[:=]+ ?| is )[\"']?|Bearer "
+_VALUE = r"(?![\w.+\-]+@[\w\-]+\.\w)(?=[^\s\"',;<>]*\d)(?=[^\s\"',;<>]*[A-Za-z])[0-9A-Za-z_\-+/=.~!@#$%^&*]{7,}[0-9A-Za-z_\-+/=~!@#$%^&*]"
 #: What a token keeps: the prefix that tells its issuer.
 _ISSUER = re.compile(r"(?P<sure>gh[pousr]_|github_pat_|glpat-|A[KS]IA|AIza|xox[abeoprs]-|hf_|npm_|pypi-|SG\.|ya29\.|eyJ)"
                      r"|(?:[spr]k|ghp)(?:[_\-](?:live|test|proj|ant|or|svcacct|admin|v\d|api\d\d)(?=[_\-]))*[_\-]?")
@@ -93,6 +120,7 @@ _PAIRS = (r"(?:\+|00)\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]\d{2,4
 PATTERN = re.compile(
     r"(?P<mail>[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+)"
     r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|" + _TOKENS + r")(?![0-9A-Za-z]))"
+    r"|(?P<keyed>(?<![0-9A-Za-z])(?:" + _KEYED + ")" + _VALUE + r")"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z]))"
     r"|(?P<ipv6>(?<![\w:.])(?:" + _V6 + r")(?![\w:]|\.\d))"
     r"|(?P<ip>(?<![\d.])" + _V4 + r"(?![\d]|\.\d))"
@@ -100,12 +128,14 @@ PATTERN = re.compile(
     r"|(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]?\d{3,4}(?![\w])|(?<![\w+])\+\d{8,15}(?![\w])"
     r"|(?<![\w+.,:/\-])(?:" + _PAIRS + r")(?![\w]|[.,:/\-]\d))"
-    r"|(?P<name>(?<![\w])(?:" + _TITLE + r")\.? " + _WORD_NAME + r"(?: " + _WORD_NAME + r")?)")
+    r"|(?P<name>(?<![\w])" + _TITLES + _NAME + r")")
 _PLAIN = re.compile(r"\d{2,4}[ .\-]\d{3,4}[ .\-]?\d{3,4}")
-_QUICK = re.compile(r"[\d@]|[spr]k[_\-]|gh[pousr]_|github_pat_|glpat-|A[KS]IA|AIza|xox|hf_|npm_|pypi-|SG\.|ya29|eyJ|(?:" + _TITLE + r")\.? [A-ZÀ-ÞА-Я]")
+_QUICK = re.compile(r"[\d@]|[spr]k[_\-]|gh[pousr]_|github_pat_|glpat-|A[KS]IA|AIza|xox|hf_|npm_|pypi-|SG\.|ya29|eyJ|(?:" + _TITLE + r")\.? \w")
 
-_TITLED = re.compile(r"(?:" + _TITLE + r")\.? ")
-_BARE = re.compile(r"(?<![\w'’\-])" + _WORD_NAME)
+_TITLED = re.compile(_TITLES)
+_ANNOUNCED = re.compile(_KEYED)
+_BARE = re.compile(r"(?<![\w'’\-])[^\W\d_]+")
+_AFTER = re.compile(r"(?![\w]|[\-'’](?!s\b)\w)")
 _OWNED = re.compile(r"['’]s?(?= |$)")
 #: A number's part that its surrogate keeps: country code and trunk zero.
 _COUNTRY = re.compile(r"(?P<code>\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}))?0?")
@@ -188,13 +218,35 @@ def canonical(kind: str, text: str) -> str:
     if kind == "ip" and ":" in text:
         return ipaddress.IPv6Address(text).compressed
     if kind == "name":
-        title, rest = text.split(" ", 1)
-        return f"{_gender(title)}|{rest}"
+        titles = _TITLED.match(text)[0]
+        rest = text[len(titles):]
+        if rest.isupper():
+            rest = " ".join(w.lower() if w.lower() in PARTICLES else w.title() for w in rest.split(" "))
+        return f"{_gender(titles)}|{rest}"
     return text
 
 
-def _gender(title: str) -> str:
-    return next(g for g, ts in TITLES.items() if title.rstrip(".") in ts)
+def _gender(titles: str) -> str:
+    """The gender the titles tell, ``n`` if none does."""
+    told = [next(g for g, ts in TITLES.items() if t.rstrip(".") in ts) for t in titles.split()]
+    return next((g for g in told if g != "n"), "n")
+
+
+def _parted(name: str) -> tuple[str, str]:
+    """(given names and initials, surname with its particles)."""
+    words = name.split(" ")
+    at = next((i for i, w in enumerate(words[:-1]) if w.lower() in PARTICLES), len(words) - 1)
+    return " ".join(words[:at]), " ".join(words[at:])
+
+
+def surname(script: str, number: int, middles: int = 1) -> str:
+    """Surname of a number; the first ``starts * middles ** n * ends`` differ in form."""
+    starts, mids, ends = SYLLABLES[script]
+    out = []
+    for part in (starts, *[mids] * middles, ends):
+        number, i = divmod(number, len(part))
+        out.append(part[i])
+    return "".join(out)
 
 
 def _mapped_ip6(text: str, key: bytes, tweak: str) -> str:
@@ -265,7 +317,8 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         hexa = next((a for a in _HEX if set(entity) <= set(a)), None)
         if hexa:
             return permute(entity + pad, key, tweak, [hexa])
-        head = _ISSUER.match(entity)[0]
+        issuer = _ISSUER.match(entity)
+        head = issuer[0] if issuer and any(any(c in a for a in _CLASSES) for c in entity[issuer.end():]) else ""
         return head + permute(entity[len(head):] + pad, key, tweak + head)
     if kind == "mail":
         local, domain = entity.rsplit("@", 1)
@@ -275,16 +328,23 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
     gender, name = entity.split("|", 1)
     script = "cyrillic" if re.match("[Ѐ-ӿ]", name) else "latin"
     draw = _number(key, tweak, name if gender == "n" else entity)
-    lists = [FAMILY[script]]
-    if " " in name:
-        lists.insert(0, GIVEN[script, gender] if gender != "n" else GIVEN[script, "m"] + GIVEN[script, "f"])
-    lists += [FAMILY[script]] * (min(attempt, 6) + wide)  # crowded lists: double-barrelled names
-    parts = []
-    for names in lists:
-        draw, i = divmod(draw, len(names))
-        parts.append(names[i])
-    first = parts[:1] if " " in name else []
-    return f"{gender}|" + " ".join([*first, "-".join(parts[len(first):])])
+    given = GIVEN[script, gender] if gender != "n" else GIVEN[script, "m"] + GIVEN[script, "f"]
+
+    def drawn(size: int) -> int:
+        nonlocal draw
+        draw, i = divmod(draw, size)
+        return i
+
+    def family() -> str:  # later attempts: longer ones
+        return surname(script, drawn(1 << 40), 1 + (attempt > 0))
+
+    givens, own = _parted(name)
+    parts = ["".join(given[drawn(len(given))][0] + "." for _ in range(w.count("."))) if "." in w
+             else "-".join(given[drawn(len(given))] for _ in w.split("-")) for w in givens.split(" ") if w]
+    parts += [w if w.lower() in PARTICLES and k + 1 < len(own.split(" ")) else
+              "-".join(family() for _ in range(1 + w.count("-") + (wide if k + 1 == len(own.split(" ")) else 0)))
+              for k, w in enumerate(own.split(" "))]
+    return f"{gender}|" + " ".join(parts)
 
 
 def _national(number: str) -> str:
@@ -310,9 +370,11 @@ def _shown(kind: str, found: str, entity: str, made: str) -> str:
     if kind == "name":
         title = _TITLED.match(found)
         title, old, new = title[0] if title else "", entity.split("|", 1)[1], made.split("|", 1)[1]
-        if (name := found[len(title):]) != old:  # a part of the name: the same part
-            new = new.rsplit(" ", 1)[-1] if name == old.rsplit(" ", 1)[-1] else new.split(" ", 1)[0]
-        return title + new
+        name, same = found[len(title):], lambda a, b: a.casefold() == b.casefold()
+        if not same(name, old):  # a part of the name: the same part
+            (givens, family), (new_givens, new_family) = _parted(old), _parted(new)
+            new = new_family if same(name, family) else new_givens if same(name, givens) else new_givens.split(" ")[0]
+        return title + (new.upper() if name.isupper() and len(name) > 1 else new[0].upper() + new[1:] if name[0].isupper() else new)
     return made
 
 
@@ -343,15 +405,17 @@ def entities(text: str) -> list[tuple[str, str, int, int]]:
     out = []
     for m in PATTERN.finditer(text):
         kind, found = m.lastgroup, m.group()
-        kind = "ip" if kind == "ipv6" else kind
-        if not _real(kind, found):
+        kind, start, end = "ip" if kind == "ipv6" else kind, m.start(), m.end()
+        if kind == "keyed":
+            kind, start = "secret", start + _ANNOUNCED.match(found).end()
+            found = text[start:end]
+        elif not _real(kind, found):
             continue
-        end = m.end()
         if kind == "name":
             head = _TITLED.match(found).end()
             if owned := _OWNED.search(found, head + 1):
                 end, found = m.start() + owned.start(), found[:owned.start()]
-        out.append((kind, canonical(kind, found), m.start(), end))
+        out.append((kind, canonical(kind, found), start, end))
     return _linked_names(text, _linked_phones(out))
 
 
@@ -372,13 +436,13 @@ def _linked_names(text: str, found: list[tuple]) -> list[tuple]:
     titled = [(*e.split("|", 1), a, b) for k, e, a, b in found if k == "name"]
     if not titled:
         return found
-    part = lambda name: name.rsplit(" ", 1)[-1]
+    part = lambda name: _parted(name)[1]
     genders: dict[str, set] = {}  # of each name as written
     for g, name, _, _ in titled:
         genders.setdefault(name, set()).update({g} - {"n"})
     families: dict[str, list] = {}
     for name in genders:
-        if " " in name:
+        if _parted(name)[0]:
             families.setdefault(part(name), []).append(name)
     for family, names in families.items():  # a gender known from 'title surname' alone
         open_ = [n for n in names if not genders[n]]
@@ -388,31 +452,36 @@ def _linked_names(text: str, found: list[tuple]) -> list[tuple]:
     persons = {name: [(g, name) for g in sorted(genders[name]) or ["n"]] for name in genders}
 
     # Words and full names that stand for a person without a title.
+    forms: dict[str, str] = {}  # as it may be written -> the name or part it is
+    for name in genders:
+        givens, family = _parted(name)
+        for form in (name, family, givens, givens.split(" ")[0]):
+            if len(form) > 1 and not form.endswith("."):
+                for written in (form, form[0].upper() + form[1:], form.upper()):
+                    forms.setdefault(written, form)
+    begins: dict[str, list] = {}
+    for written in sorted(forms, key=len, reverse=True):
+        begins.setdefault(re.match(r"[^\W\d_]+", written)[0], []).append(written)
     spots = [(a, b) for _, _, a, b in found]
-    given = {name.split(" ", 1)[0] for name in genders if " " in name}
-    known, bare, i, last = given | {part(n) for n in genders}, [], 0, 0
-    words = [(m[0], m.start()) for m in _BARE.finditer(text)]
-    common = None
-    for j, (w, a) in enumerate(words):
-        if owned := _OWNED.search(w):
-            w = w[:owned.start()]
-        if w not in known or a < last:
+    bare, i, last, common = [], 0, 0, None
+    for m in _BARE.finditer(text):
+        a = m.start()
+        if m[0] not in begins or a < last:
+            continue
+        written = next((w for w in begins[m[0]] if text.startswith(w, a) and _AFTER.match(text, a + len(w))), None)
+        if not written:
             continue
         while i < len(spots) and spots[i][1] <= a:
             i += 1
-        if i < len(spots) and spots[i][0] < a + len(w):
+        end = a + len(written)
+        if i < len(spots) and spots[i][0] < end:
             continue
-        name, end = w, a + len(w)
-        if j + 1 < len(words) and words[j + 1][1] == end + 1 and text[end] == " ":
-            after = _OWNED.split(words[j + 1][0])[0]
-            if f"{w} {after}" in genders:
-                name, end = f"{w} {after}", end + 1 + len(after)
-        if " " not in name:
+        if " " not in written:
             if common is None:
                 common = set(re.findall(r"[^\W\d_]+", text))
-            if w.lower() in common or text[end:end + 1] == "_" or text[end:end + 1].isalnum():
+            if written.lower() in common:
                 continue
-        bare.append(("", name, a, end))
+        bare.append(("", forms[written], a, end))
         last = end
 
     # In the text's order: the latest person a mention fits, else the first to come.
@@ -421,16 +490,17 @@ def _linked_names(text: str, found: list[tuple]) -> list[tuple]:
 
     def ways(person):
         g, name = person
-        yield from {("name", name), ("name", name, g), ("part", part(name)), ("part", part(name), g), ("given", name.split(" ", 1)[0])}
+        givens, family = _parted(name)
+        yield from {("name", name), ("name", name, g), ("part", family), ("part", family, g), ("given", givens or name), ("given", (givens or name).split(" ")[0])}
 
     for name in genders:
-        if " " in name or not families.get(name):
+        if _parted(name)[0] or not families.get(name):
             for person in persons[name]:
                 for way in ways(person):
                     first.setdefault(way, person)
     linked = []
     for at, (g, name, a, b) in enumerate(sorted(titled + bare, key=lambda x: x[2])):
-        by = "name" if " " in name else "part"
+        by = "name" if _parted(name)[0] and (g or name in genders) else "part"
         fits = [(by, name, x) for x in ((g, "n") if g in ("m", "f") else ())] or [(by, name)]
         if not g and by == "part":
             fits.append(("given", name))

@@ -157,7 +157,9 @@ def test_surrogates_keep_type_and_format():
 
 def test_distinct_and_real_names_are_avoided(spark):
     rng = random.Random(2)
-    people = sorted({f"Mr. {rng.choice(privacy.GIVEN['latin', 'm'])} {rng.choice(privacy.FAMILY['latin'])}" for _ in range(500)})
+    # Surnames alone: a fifth of all there are, so many first surrogates collide or are real.
+    people = [f"Mr. {privacy.surname('latin', 5 * i)}" for i in range(12_000)]
+    people += sorted({f"Mr. {rng.choice(privacy.GIVEN['latin', 'm'])} {privacy.surname('latin', rng.randrange(30))}" for _ in range(500)})
     df = spark.createDataFrame([(i, f"{p} spoke. {p} left.", 5) for i, p in enumerate(people)], "doc_id long, text string, _key_ int")
     for limit in (privacy.BROADCAST, 0):  # broadcast, and joined
         out = privacy.pseudonymised(df, "text", broadcast_rows=limit).orderBy("doc_id").collect()
@@ -215,6 +217,70 @@ def test_mentions_of_a_person_are_linked(text, persons):
         assert "Smith" not in out and "Adam " not in out
 
 
+WHOLE_NAMES = ["Mr. McDonald", "Mrs. Smith-Jones", "Mr. O'Brien", "Dr. Jean-Luc Picard", "Mr. Łukasz Żak", "Frau Šimková", "Dr. van der Berg",
+               "Prof. Dr. Anna Maria von Trapp", "Mr. J. R. Smith", "Mr. John F. Kennedy", "Mr. ADAM SMITH", "Monsieur d'Artagnan", "Herr Müller",
+               "Señor Juan Carlos de la Cruz", "Frau Иванова", "Mr. DeLuca", "Dr. Nguyễn Văn An", "Mr. Al-Rashid", "Signora De Santis"]
+
+
+@pytest.mark.parametrize("name", WHOLE_NAMES)
+def test_names_are_found_and_replaced_whole(name):
+    text = f"then {name} spoke; {name}'s hat, {name}."
+    found = privacy.entities(text)
+    assert [(k, text[a:b]) for k, _, a, b in found] == [("name", name)] * 3 and len({e for _, e, *_ in found}) == 1
+    out, n = privacy.rewrite(text, {})
+    title = privacy._TITLED.match(name)[0]
+    made = out.split(" spoke;")[0].removeprefix("then ")
+    assert n == 3 and out == f"then {made} spoke; {made}'s hat, {made}." and made.startswith(title)
+    old, new = name[len(title):], made[len(title):]
+    kept = {w for w in old.split(" ") if w.lower() in privacy.PARTICLES}
+    assert not {w for w in old.replace("-", " ").split(" ") if not w.endswith(".")} - kept & set(new.replace("-", " ").split(" "))
+    assert [c for c in old if c in " -."] == [c for c in new if c in " -."] and old.isupper() == new.isupper()
+
+
+def slow_rewrite(text, spans, attempts):
+    """Brute force: every span of the text's given mentions replaced one at a time, from the end."""
+    for (a, b), entity in sorted(spans.items(), reverse=True):
+        made = privacy.surrogate("name", entity, attempts.get(("name", entity), 0)).split("|")[1]
+        text = text[:a] + made + text[b:]
+    return text
+
+
+def test_rewriting_equals_brute_force():
+    rng = random.Random(5)
+    people = ["Mr. Bob McDonald", "Mr. Lars van der Berg", "Mrs. Eva Smith-Jones", "Frau Jana Šimková", "Mr. Łukasz Żak"]
+    for _ in range(50):
+        text, spans, some = "", {}, rng.sample(people, 3)
+        for person in some + rng.choices(some, k=10):
+            text += rng.choice(["so ", "then, ", "(", "42 "])
+            title, name = person.split(" ", 1)
+            if person in text and rng.random() < 0.5:
+                at = len(text)
+            else:
+                text += title + " "
+                at = len(text)
+            text += name
+            spans[at, len(text)] = f"{'m' if title == 'Mr.' else 'f'}|{name}"
+            text += rng.choice(["'s ", ". ", ") ", ", "])
+        attempts = {("name", spans[min(spans)]): 3}
+        assert privacy.rewrite(text, attempts) == (slow_rewrite(text, spans, attempts), 13)
+
+
+def test_five_thousand_men_keep_single_surnames(spark):
+    men = spark.createDataFrame([("name", f"m|{privacy.surname('latin', i, 2)}") for i in range(5_000)], "kind string, entity string")
+    attempts = {e: a for _, e, a in privacy.redrawn(men).collect()}
+    made = [privacy.surrogate("name", r.entity, attempts.get(r.entity, 0)) for r in men.collect()]
+    assert len(set(made)) == 5_000 and not any(" " in m or "-" in m for m in made) and max(attempts.values(), default=0) <= 3
+
+
+@pytest.mark.parametrize("text, secret", [("password: hunter2000X, then", "hunter2000X"), ("api_key = 'abcDEF123456'", "abcDEF123456"),
+                                          ("DB_PASSWORD=Tr0ub4dor&3.", "Tr0ub4dor&3"), ("Authorization: Bearer abcdefghijklmnop1234", "abcdefghijklmnop1234"),
+                                          ('"aws_secret_access_key": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"', "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")])
+def test_announced_secrets_are_replaced(text, secret):
+    assert [(k, text[a:b]) for k, _, a, b in privacy.entities(text)] == [("secret", secret)]
+    out, n = privacy.rewrite(text, {})
+    assert n == 1 and secret not in out and out.startswith(text.split(secret)[0]) and out.endswith(text.split(secret)[1]) and len(out) == len(text)
+
+
 def test_numbers_with_and_without_country_code_are_one():
     text = "call +1 (415) 555-0134 or (415) 555-0134 or 1-415-555-0134, and +49 30 1234 5678 is 030 1234 5678"
     found = privacy.entities(text)
