@@ -6,7 +6,8 @@ best-fit decreasing.  A lower bound from dual feasible functions certifies the
 partition: no packing of these pieces needs fewer sequences.  Partitions with a
 gap, and the least filled sequence of every certified one, hand their pieces to
 an exchange: they are dealt anew (to other partitions) and packed again, until the
-sum meets the bound over all pieces or a round gains nothing.  An exchange whose
+sum meets the same bound over all pieces (it needs how many there are of each length,
+no more) or a round gains nothing.  An exchange whose
 result is not better is not taken over, so rounds never lose.
 
 Null text is the empty document (its one id is the end id); repeated rows are
@@ -18,6 +19,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -35,10 +37,8 @@ WORD_BPE = "word_bpe_49k.json"
 LENGTH = 4096
 #: Pieces one task packs.
 PARTITION_PIECES = 40_000
-#: Exchanges at most; more would only lower the count further.
-ROUNDS = 6
-#: Words whose ids a worker remembers; only a matter of speed.
-KNOWN_WORDS = 500_000
+#: Words whose ids a worker remembers beyond a slice of texts; only a matter of speed.
+KNOWN_WORDS = 800_000
 
 
 def id_bytes(vocabulary: str, end_id: int):
@@ -53,37 +53,35 @@ def id_bytes(vocabulary: str, end_id: int):
     merges = Tokenizer(tok.model)
     merges.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
     latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-    cores: dict[str, bytes] = {}
-    others: dict[str, bytes] = {"": b""}
-    as_bytes = lambda encodings: [np.array(e.ids, "<u4").tobytes() for e in encodings]
+    cores: dict[str, bytes] = {}  # of a word in lower case, mark cut off
+    known: dict[str, bytes] = {"": b""}  # of a string between blanks
+    as_bytes = lambda encodings: [struct.pack(f"<{len(e)}I", *e.ids) for e in encodings]
     ends = dict(zip(("", ".", ","), as_bytes(tok.encode_batch(["", ".", ","], add_special_tokens=False))))
-    end = np.array([end_id], "<u4").tobytes()
+    end = struct.pack("<I", end_id)
 
-    def learn(words: set[str]) -> dict[str, bytes]:
+    def learn(words: set[str]) -> None:
+        """Strings not met before; those of one core are merged once."""
         plain, rest = [], []
         for w in words:
-            mark = w[-1:] if w[-1:] in (".", ",") else ""
-            core = w[:-1] if mark else w
+            core, mark = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
             if core.isalpha() and (core.isascii() or latin.fullmatch(core)):
                 plain.append((w, core.lower(), mark))
             else:
                 rest.append(w)
-        missing = list({c for _, c, _ in plain} - cores.keys())
+        missing = list({c for _, c, _ in plain}.difference(cores))
         cores.update(zip(missing, as_bytes(merges.encode_batch_fast(missing, add_special_tokens=False))))
-        missing = [w for w in rest if w not in others]
-        others.update(zip(missing, as_bytes(tok.encode_batch(missing, add_special_tokens=False))))
-        ids = {w: cores[c] + ends[m] for w, c, m in plain}
-        ids.update((w, others[w]) for w in rest)
-        return ids
+        known.update([(w, cores[c] + ends[m]) for w, c, m in plain])
+        known.update(zip(rest, as_bytes(tok.encode_batch_fast(rest, add_special_tokens=False))))
 
     def encode(texts: list) -> list[bytes]:
-        if len(cores) + len(others) > KNOWN_WORDS:
+        if len(cores) + len(known) > KNOWN_WORDS:
             cores.clear()
-            others.clear()
-            others[""] = b""
+            known.clear()
+            known[""] = b""
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        ids = learn(set().union(*words))
-        return [b"".join(map(ids.__getitem__, ws)) + end for ws in words]
+        if new := set().union(*words).difference(known):
+            learn(new)
+        return [b"".join([*map(known.__getitem__, ws), end]) for ws in words]
 
     return encode
 
@@ -148,13 +146,14 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return seq, off
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+def lower_bound(sizes: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
     """Largest bound of two families of dual feasible functions (and the mere
     sum): ``u_k`` rounds sizes to multiples of capacity / (k + 1), ``v_e`` counts
-    pieces above capacity - e as whole and those below e as nothing."""
+    pieces above capacity - e as whole and those below e as nothing.
+    ``times``: how often each of the (then distinct, rising) sizes occurs."""
     if not len(sizes):
         return 0
-    values, counts = np.unique(sizes.astype(np.int64), return_counts=True)
+    values, counts = np.unique(sizes.astype(np.int64), return_counts=True) if times is None else (sizes, times)
     best = -(-int(values @ counts) // capacity)
     for k in range(1, 21):
         x = (k + 1) * values
@@ -192,33 +191,36 @@ def _packed(df: DataFrame, kind: str, capacity: int) -> DataFrame:
     return df.groupBy("_group").applyInPandas(pack, _ROUND.format(kind=kind))
 
 
-def pack(parts: DataFrame, capacity: int = LENGTH, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """``parts`` (see :func:`pieces`) with ``sequence_id`` and ``offset``."""
+def pack(parts: DataFrame, capacity: int = LENGTH, partition_pieces: int = PARTITION_PIECES, rounds: int | None = None) -> DataFrame:
+    """``parts`` (see :func:`pieces`) with ``sequence_id`` and ``offset``; ``rounds``:
+    exchanges to stop after, by default not before they stop to gain."""
     kind = dict(parts.dtypes)["doc_id"]
     cols = [c for c in parts.columns]
-    src = staged(parts, "pieces").withColumn("_row", F.monotonically_increasing_id())
-    n, tokens = src.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    src = staged(parts.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    lengths = np.array(src.groupBy("length").count().orderBy("length").collect(), np.int64).reshape(-1, 2)  # ``capacity`` rows at most
+    n, bound = int(lengths[:, 1].sum()), lower_bound(lengths[:, 0], capacity, lengths[:, 1])
     groups = max(1, -(-n // partition_pieces))
     deal = lambda r, k: F.pmod(F.xxhash64(F.lit(r), "_row"), F.lit(k)).cast("long")
     now = staged(_packed(src.withColumn("_group", deal(0, groups)), kind, capacity), "packed-0")
-    done, ids = [], lambda r: F.lit(r << 56) + F.shiftleft("_group", 28) + F.col("_seq")
-    final = lambda d, r: d.select(*cols, ids(r).alias("sequence_id"), "offset")
+    # Sequence numbers: groups counted over all rounds, then the place in the group.
+    done, first, r = [], 0, 0
+    final = lambda d, at: d.select(*cols, (F.shiftleft(F.col("_group") + F.lit(at), 28) + F.col("_seq")).alias("sequence_id"), "offset")
     count = lambda d: d.select("_group", "_seq").distinct().count()
-    total, bound = count(now), -(-tokens // capacity)
-    for r in range(1, rounds + 1):
+    total = count(now)
+    while total > bound and r != rounds:
         # Sequences only: the pieces of open ones are dealt anew.
-        moving = now.where("_open")
+        moving, r = now.where("_open"), r + 1
         held, before = moving.count(), count(moving)
-        if total <= bound or before < 2:
+        if before < 2:
             break
         again = max(1, -(-held // partition_pieces))
         packed = staged(_packed(moving.select(*cols, "_row").withColumn("_group", deal(r, again)), kind, capacity), f"packed-{r}")
         after = count(packed)
         if after >= before:
             break
-        done.append(final(now.where("not _open"), r - 1))
-        total, now = total - before + after, packed
-    done.append(final(now, len(done)))
+        done.append(final(now.where("not _open"), first))
+        total, now, first, groups = total - before + after, packed, first + groups, again
+    done.append(final(now, first))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

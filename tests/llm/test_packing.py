@@ -35,6 +35,22 @@ def test_dual_feasible_bounds_beat_the_sum():
     assert packing.lower_bound(np.zeros(0, np.int64), 20) == 0
 
 
+def test_bound_over_counted_lengths():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        sizes = rng.integers(1, 100, rng.integers(1, 200))
+        assert packing.lower_bound(*np.unique(sizes, return_counts=True)[:1], 100, np.unique(sizes, return_counts=True)[1]) == packing.lower_bound(sizes, 100)
+
+
+def test_certified_total_ends_exchanges(spark, monkeypatch):
+    """Pieces that cannot share a sequence: the plain sum would ask for an exchange, the bound does not."""
+    df = spark.createDataFrame([(i, 0, 0, 600, 0) for i in range(120)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    names, write = [], packing.staged
+    monkeypatch.setattr(packing, "staged", lambda d, name: names.append(name) or write(d, name))
+    assert len({r.sequence_id for r in packing.pack(df, 1000, partition_pieces=40).collect()}) == 120
+    assert names == ["pieces", "packed-0"]
+
+
 def test_exchanges_close_gaps(spark):
     """Many partitions of few pieces each leave one loose sequence apiece."""
     rng = np.random.default_rng(3)
