@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+#: Row group of staged tables in bytes: writers and readers hold one a task.
+ROW_GROUP = 16 << 20
 #: Text handled at once by the numpy kernels, in characters.
 SLICE_CHARS = 4 << 20
 
@@ -27,7 +29,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     jobs, and retries after a lost executor, see the same rows in the same files."""
     spark = df.sparkSession
     path = scratch_path(spark, "llm", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

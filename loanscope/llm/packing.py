@@ -38,7 +38,7 @@ LENGTH = 4096
 #: Pieces one task packs.
 PARTITION_PIECES = 40_000
 #: Words whose ids a worker remembers beyond a slice of texts; only a matter of speed.
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 300_000
 
 
 def id_bytes(vocabulary: str, end_id: int):
@@ -52,26 +52,23 @@ def id_bytes(vocabulary: str, end_id: int):
     # they can go straight to the merges, each but once for all its spellings.
     merges = Tokenizer(tok.model)
     merges.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-    latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    latin = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)$", re.M)
     cores: dict[str, bytes] = {}  # of a word in lower case, mark cut off
     known: dict[str, bytes] = {"": b""}  # of a string between blanks
     as_bytes = lambda encodings: [struct.pack(f"<{len(e)}I", *e.ids) for e in encodings]
     ends = dict(zip(("", ".", ","), as_bytes(tok.encode_batch(["", ".", ","], add_special_tokens=False))))
     end = struct.pack("<I", end_id)
 
-    def learn(words: set[str]) -> None:
+    def learn(words: list[str]) -> None:
         """Strings not met before; those of one core are merged once."""
-        plain, rest = [], []
-        for w in words:
-            core, mark = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
-            if core.isalpha() and (core.isascii() or latin.fullmatch(core)):
-                plain.append((w, core.lower(), mark))
-            else:
-                rest.append(w)
-        missing = list({c for _, c, _ in plain}.difference(cores))
+        plain = latin.findall("\n".join(words))
+        lower = "\n".join([c for c, _ in plain]).lower().split("\n") if plain else []
+        missing = list(set(lower).difference(cores))
         cores.update(zip(missing, as_bytes(merges.encode_batch_fast(missing, add_special_tokens=False))))
-        known.update([(w, cores[c] + ends[m]) for w, c, m in plain])
-        known.update(zip(rest, as_bytes(tok.encode_batch_fast(rest, add_special_tokens=False))))
+        known.update([(w + m, cores[c] + ends[m]) for (w, m), c in zip(plain, lower)])
+        if len(plain) < len(words):
+            rest = [w for w in words if w not in known]
+            known.update(zip(rest, as_bytes(tok.encode_batch_fast(rest, add_special_tokens=False))))
 
     def encode(texts: list) -> list[bytes]:
         if len(cores) + len(known) > KNOWN_WORDS:
@@ -80,7 +77,7 @@ def id_bytes(vocabulary: str, end_id: int):
             known[""] = b""
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if new := set().union(*words).difference(known):
-            learn(new)
+            learn(list(new))
         return [b"".join([*map(known.__getitem__, ws), end]) for ws in words]
 
     return encode
