@@ -16,6 +16,8 @@ from ..session import scratch_path
 
 #: Row group of staged tables in bytes: writers and readers hold one a task.
 ROW_GROUP = 16 << 20
+#: Bytes of one Arrow batch: whole texts of 10,000 rows would be several times as many.
+BATCH_BYTES = 8 << 20
 #: Text handled at once by the numpy kernels, in characters.
 SLICE_CHARS = 4 << 20
 
@@ -95,8 +97,19 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session send tasks Arrow batches of ``BATCH_BYTES`` at most (a row that is
+    longer by itself goes alone); a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bytes_of = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes  # a setting may have a unit
+    if not 0 < bytes_of(spark.conf.get(name, "1g").replace("-1b", "1g")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` for ``fn()(batch) -> batches``, built once in each task."""
+    bounded_batches(df.sparkSession)
+
     def run(it: Iterable[pa.RecordBatch]):
         release()
         step = fn()
