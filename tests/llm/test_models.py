@@ -157,7 +157,7 @@ def test_surrogates_keep_type_and_format():
 
 def test_distinct_and_real_names_are_avoided(spark):
     rng = random.Random(2)
-    # Surnames alone: a fifth of all there are, so many first surrogates collide or are real.
+    # Surnames alone: an eighth of all there are, so many first surrogates collide or are real.
     people = [f"Mr. {privacy.surname('latin', 5 * i)}" for i in range(12_000)]
     people += sorted({f"Mr. {rng.choice(privacy.GIVEN['latin', 'm'])} {privacy.surname('latin', rng.randrange(30))}" for _ in range(500)})
     df = spark.createDataFrame([(i, f"{p} spoke. {p} left.", 5) for i, p in enumerate(people)], "doc_id long, text string, _key_ int")
