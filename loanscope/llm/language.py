@@ -10,10 +10,11 @@ coded as lower-case words (runs of letters, each between blanks); a context reac
 back to the blank before its word.  The language with the shortest code wins; the
 score is its posterior probability under equal priors.
 
-Training uses at most ``SAMPLE`` labelled rows of each language (of the commonest
-``LANGUAGES`` at most), chosen by a hash (a documented bound; whole texts).  The frozen tables are
-then a few MB, are merged over languages (one look-up gives all code lengths) and go
-to the tasks.  Prediction is one map over the scan: no shuffle, whole texts.
+Training uses at most ``SAMPLE`` labelled rows of each language, chosen by a hash (a
+documented bound; whole texts); every label is learnt, and where labels are many each
+brings fewer rows, so that about ``ROWS`` reach the driver, but one at least.  The frozen
+tables are then a few MB, are merged over languages (one look-up gives all code lengths)
+and go to the tasks.  Prediction is one map over the scan: no shuffle, whole texts.
 
 Null texts and texts without letters are ``und`` with score 0; ties go to the
 smaller language name; with no training rows every text is ``und``; null labels do
@@ -30,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, map_arrow, slices, table
+from ..operators.ranking import lookup
+from .common import fresh, map_arrow, slices, staged, table
 
 ORDER = 4
 #: Training rows of each language at most.
 SAMPLE = 300
-#: Labels learnt at most, the commonest.
-LANGUAGES = 500
+#: Training rows of all languages, as long as one of each is no more.
+ROWS = 150_000
 #: Mean bits a byte above which a text is in none of the languages learnt.
 REJECT_BITS = 6.5
 UNKNOWN = "und"
@@ -163,16 +165,18 @@ def scorer(model: Model):
     return score
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> Model:
-    """A model of at most ``sample`` rows of each of the ``LANGUAGES`` commonest
-    labels: those with the smallest hash of id and text.  The label's row count
+def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, total: int = ROWS) -> Model:
+    """A model of at most ``sample`` rows of each label, ``total`` shared out where
+    labels are many: those with the smallest hash of id and text.  The label's row count
     leaves about twice as many rows before any is moved, however many tasks read
     the table; the bound holds for what reaches the driver too."""
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("_h"))
     rows = rows.where("lang is not null and text is not null")
-    labels = rows.groupBy("lang").agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), "lang").limit(LANGUAGES)
+    labels = staged(rows.groupBy("lang").agg(F.count("*").alias("_c"), F.min("_h").alias("_m")), "labels")
+    sample = max(1, min(sample, total // max(1, labels.count())))
     place = F.pmod("_h", "_c")
-    rows = rows.join(F.broadcast(labels), "lang").where(place < 2 * sample)  # LANGUAGES rows at most
+    # (The smallest hash besides: a label whose rows are all alike has but one place.)
+    rows = rows.join(lookup(labels), "lang").where((place < 2 * sample) | (F.col("_h") == F.col("_m")))
     w = Window.partitionBy("lang").orderBy(place, "_h", "text")
     rows = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= sample).select("lang", "text")
     texts: dict[str, list[str]] = {}
@@ -181,9 +185,11 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
     return Model({k: v for k, v in texts.items() if any(map(words_of, v))})
 
 
-def identify(df: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """``df`` with ``lang_pred``, ``score`` and ``bits`` (per byte) appended."""
+def identify(df: DataFrame, model: Model, text_col: str, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``df`` (by default all; a text not among them is read and not sent
+    back) with ``lang_pred``, ``score`` and ``bits`` (per byte) appended."""
     kept = model
+    back = [f for f in df.schema.fields if columns is None or f.name in columns]
 
     def build():
         score = scorer(kept)
@@ -193,13 +199,13 @@ def identify(df: DataFrame, model: Model, text_col: str) -> DataFrame:
             for first, texts in slices(b, at):
                 part = b.slice(first, len(texts))
                 lang, prob, bits = zip(*score(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(prob, pa.float64()),
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in back), pa.array(lang, pa.string()), pa.array(prob, pa.float64()),
                                                   pa.array(bits, pa.float64())], names=[f.name for f in out.fields])
         return step
 
     from pyspark.sql.types import DoubleType, StringType, StructType
     carried = text_col
-    out = StructType(list(df.schema.fields))
+    out = StructType(list(back))
     for name, kind in ((fresh(df, "lang_pred"), StringType()), (fresh(df, "score"), DoubleType()), (fresh(df, "bits"), DoubleType())):
         out = out.add(name, kind)
     return map_arrow(df, build, out)
@@ -214,5 +220,4 @@ def op8_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     test = F.coalesce(held_out("doc_id"), F.lit(False))
     model = train(docs.where(~test), "doc_id", "text", "lang")
-    return identify(docs.select("doc_id", test.alias("held_out"), "text"), model, "text").select(
-        "doc_id", "held_out", "lang_pred", "score", "bits")
+    return identify(docs.select("doc_id", test.alias("held_out"), "text"), model, "text", ["doc_id", "held_out"])
