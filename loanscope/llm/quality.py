@@ -5,8 +5,10 @@ that occur twice.  The verdict comes from zstandard: a text is compressed whole
 in fixed chunks (a remainder in a last one that ends at the text's end), and each ratio (bytes / compressed bytes) must lie in a band that
 depends on the length compressed, since a longer text offers more to refer back to.
 Above the band the text repeats itself, below it is noise (keys, encoded binaries).
-The bands are fixed parameters, not learnt from the table: base64 and the like give
-about 1.3 at any length, running prose 1.5 to 3 and more the longer it is.
+The bands are fixed parameters, not learnt from the table: base64 and the like stay
+below 8 / 6 at any length, and further below it under 500 bytes, where the code's own
+table weighs; running prose gives 1.5 to 3 and more the longer it is.  Under 256 bytes
+the two overlap and noise passes.
 
 One map over the scan, no shuffle; whole texts; memory bounded by one batch.
 Null and empty texts have no words, fail the base rules and are not kept; repeated
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, slices, table
 
 #: (bytes from, least ratio, largest ratio) for whole documents.
-BANDS = ((0, 0.0, 3.0), (512, 1.15, 4.0), (2048, 1.4, 5.0), (16384, 1.5, 6.0))
+BANDS = ((0, 0.0, 3.0), (256, 1.25, 3.0), (512, 1.35, 4.0), (2048, 1.4, 5.0), (16384, 1.5, 6.0))
 #: Fixed chunks: their bytes, the band of one chunk, and the share of a text's
 #: chunks that may lie outside it.
 CHUNK, CHUNK_BAND, CHUNK_SHARE = 2048, (1.35, 4.5), 0.25
