@@ -76,6 +76,13 @@ def test_training_rows_are_bounded(spark):
     assert len(seen["en"]) == 50
 
 
+def test_every_label_is_learnt(spark):
+    rows = [(i, f"word {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}", f"l{i % 600}") for i in range(1800)]
+    rows += [(5000, "same row", "copies")] * 3000  # one hash
+    model = language.train(spark.createDataFrame(rows, "id long, t string, l string"), "id", "t", "l", sample=3, total=700)
+    assert len(model.langs) == 601 and "copies" in model.langs
+
+
 def vectors(n, dim=16, seed=0):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(6, dim))
@@ -108,10 +115,17 @@ def test_neighbours_edges(spark):
     for r in neighbours.nearest(df, "id", "e", F.col("id") % 20 == 0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.id, r.score))
     assert set(got) == {0, 20, 60}
-    assert [i for _, i, _ in sorted(got[0])] == list(range(8, 28))  # ties to the smaller id
-    assert [i for _, i, _ in sorted(got[20])] == [0, *range(8, 20), *range(21, 28)]
+    assert [i for _, i, _ in sorted(got[0])] == [8, *range(8, 27)]  # ties to the smaller id, 8 comes twice
+    assert [i for _, i, _ in sorted(got[20])] == [0, 8, *range(8, 20), *range(21, 27)]
     assert neighbours.nearest(df.where("id in (0, 7)"), "id", "e", F.col("id") % 20 == 0).count() == 1
     assert neighbours.nearest(df.limit(0), "id", "e", F.col("id") % 20 == 0).collect() == []
+    # Each length by itself; a hot row; a repeated query row; one id with two vectors.
+    rows = [(20, [1.0, 1.0, 1.0]), (21, [1.0, 0.0, 2.0]), (40, [1.0]), (7, [3.0])] + [(9, [5.0])] * 50 + [(40, [1.0])]
+    rows += [(60, [1.0, 0.0]), (60, [0.0, 1.0]), (1, [1.0, 2.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "id long, e array<double>"), "id", "e", F.col("id") % 20 == 0).collect()
+    found = lambda q: sorted((r.rank, r.id, r.score) for r in got if r.query_id == q)
+    assert found(20) == [(1, 21, 3.0)] and found(40) == [(i, 9, 5.0) for i in range(1, 21)]
+    assert found(60) == [(1, 1, 1.0), (1, 1, 2.0)]
 
 
 def test_chi_square_quantile():
@@ -377,6 +391,7 @@ def test_bands_reject_repeats_and_noise(spark):
     noise = [" ".join("".join(chr(rng.randrange(33, 0x2FF)) for _ in range(8)) for _ in range(n)) for n in (300, 2000)]
     import base64
     noise = [" ".join(base64.b85encode(rng.randbytes(60)).decode() for _ in range(n)) for n in (60, 400)]
+    noise += [" ".join(base64.b64encode(rng.randbytes(6)).decode() for _ in range(n)) for n in (56, 100, 200)]
     loop = [" ".join(f"{w} and {words[i % 40]}" for i, w in enumerate(words[:60] * 30))]
     rows = [(i, t) for i, t in enumerate(prose + noise + loop)]
     got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
