@@ -83,14 +83,17 @@ def slices(batch: pa.RecordBatch, column: int = 0, limit: int = SLICE_CHARS) ->
         yield start, run
 
 
-#: Emptied when a task begins and ends: workers are reused, memory is not theirs to keep.
+#: Functions that empty the modules' caches, called when a task begins and ends: workers
+#: are reused, memory is not theirs to keep.
 REMEMBERED: list = []
 
 
-def release() -> None:
-    """Empty the modules' caches and give freed memory back to the system."""
+def release(keep=None) -> None:
+    """Empty the modules' caches, but for the one that ``keep`` empties, and give freed
+    memory back to the system."""
     for clear in REMEMBERED:
-        clear()
+        if clear is not keep:
+            clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every libc has it
@@ -106,15 +109,16 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` for ``fn()(batch) -> batches``, built once in each task."""
+def map_arrow(df: DataFrame, fn, schema: str, keep=None) -> DataFrame:
+    """``mapInArrow`` for ``fn()(batch) -> batches``, built once in each task.  ``keep``: the
+    function of ``REMEMBERED`` whose cache outlives a task, until one without it comes."""
     bounded_batches(df.sparkSession)
 
     def run(it: Iterable[pa.RecordBatch]):
-        release()
+        release(keep)
         step = fn()
         for b in it:
             yield from step(b)
         step = None
-        release()
+        release(keep)
     return df.mapInArrow(run, schema)

@@ -31,14 +31,24 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import map_arrow, slices, staged, table
+from .common import REMEMBERED, map_arrow, slices, staged, table
 
 WORD_BPE = "word_bpe_49k.json"
 LENGTH = 4096
 #: Pieces one task packs.
 PARTITION_PIECES = 40_000
-#: Words whose ids a worker remembers beyond a slice of texts; only a matter of speed.
-KNOWN_WORDS = 300_000
+#: Strings whose ids a worker remembers from task to task (some 150 bytes each); only a
+#: matter of speed.
+KNOWN_WORDS = 1_000_000
+#: The worker's encoders, kept while it works for this operator.
+_ENCODERS: dict = {}
+
+
+def forget() -> None:
+    _ENCODERS.clear()
+
+
+REMEMBERED.append(forget)
 
 
 def id_bytes(vocabulary: str, end_id: int):
@@ -53,7 +63,6 @@ def id_bytes(vocabulary: str, end_id: int):
     merges = Tokenizer(tok.model)
     merges.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
     latin = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)$", re.M)
-    cores: dict[str, bytes] = {}  # of a word in lower case, mark cut off
     known: dict[str, bytes] = {"": b""}  # of a string between blanks
     as_bytes = lambda encodings: [struct.pack(f"<{len(e)}I", *e.ids) for e in encodings]
     ends = dict(zip(("", ".", ","), as_bytes(tok.encode_batch(["", ".", ","], add_special_tokens=False))))
@@ -63,16 +72,15 @@ def id_bytes(vocabulary: str, end_id: int):
         """Strings not met before; those of one core are merged once."""
         plain = latin.findall("\n".join(words))
         lower = "\n".join([c for c, _ in plain]).lower().split("\n") if plain else []
-        missing = list(set(lower).difference(cores))
-        cores.update(zip(missing, as_bytes(merges.encode_batch_fast(missing, add_special_tokens=False))))
-        known.update([(w + m, cores[c] + ends[m]) for (w, m), c in zip(plain, lower)])
+        missing = list(set(lower).difference(known))
+        known.update(zip(missing, as_bytes(merges.encode_batch_fast(missing, add_special_tokens=False))))
+        known.update([(w + m, known[c] + ends[m]) for (w, m), c in zip(plain, lower) if m or w != c])
         if len(plain) < len(words):
             rest = [w for w in words if w not in known]
             known.update(zip(rest, as_bytes(tok.encode_batch_fast(rest, add_special_tokens=False))))
 
     def encode(texts: list) -> list[bytes]:
-        if len(cores) + len(known) > KNOWN_WORDS:
-            cores.clear()
+        if len(known) > KNOWN_WORDS:
             known.clear()
             known[""] = b""
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
@@ -92,7 +100,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, voca
     kind = dict(df.dtypes)[id_col]
 
     def build():
-        encode = id_bytes(vocabulary, end_id)
+        encode = _ENCODERS.get((vocabulary, end_id)) or _ENCODERS.setdefault((vocabulary, end_id), id_bytes(vocabulary, end_id))
 
         def step(b):
             for first, texts in slices(b, 1):
@@ -111,7 +119,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, voca
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
         return step
 
-    return map_arrow(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), build, PIECE.format(kind=kind))
+    return map_arrow(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), build, PIECE.format(kind=kind), keep=forget)
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
