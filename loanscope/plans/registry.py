@@ -186,17 +186,21 @@ def _model_metrics(spark, sf_dir):
 
 
 def _ingest_summary(raw: DataFrame) -> DataFrame:
-    """Every ingested column: rows and NULLs; for ``loan_id`` repeated ids, and the
-    checksum over whole records, every value as text."""
+    """Every ingested column: rows, NULLs and a checksum of its values as text; for
+    ``loan_id`` repeated ids, and the checksum over whole records."""
     names = [f.name for f in RAW_SCHEMA.fields] + ["audit_note"]
     record = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in names])
-    digest = F.conv(F.substring(F.md5(record), 1, 8), 16, 10).cast("bigint")
-    one = raw.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("loan_id").alias("ids"), F.coalesce(F.sum(digest), F.lit(0)).alias("sum"),
-                  *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in names])
-    row = lambda name, nulls, total: F.struct(F.lit(name).alias("column"), F.col("n").alias("n_rows"),
-                                              nulls.cast("bigint").alias("n_null"), total.cast("bigint").alias("checksum"))
-    return one.select(F.inline(F.array(row("loan_id", F.col("n") - F.col("ids"), F.col("sum")),
-                                       *[row(c, F.col(f"null_{c}"), F.lit(0)) for c in names])))
+    digest = lambda c: F.conv(F.substring(F.md5(c.cast("string")), 1, 8), 16, 10).cast("bigint")
+    total = lambda c: F.coalesce(F.sum(digest(c)), F.lit(0))
+    # Ids are counted by themselves: beside them every sum would be kept and shuffled for each id.
+    ids = raw.agg(F.countDistinct("loan_id")).scalar()
+    one = raw.agg(F.count(F.lit(1)).alias("n"), total(record).alias("sum"),
+                  *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in names],
+                  *[total(F.col(c)).alias(f"sum_{c}") for c in names])
+    row = lambda name, nulls, checksum: F.struct(F.lit(name).alias("column"), F.col("n").alias("n_rows"),
+                                                 nulls.cast("bigint").alias("n_null"), checksum.cast("bigint").alias("checksum"))
+    return one.select(F.inline(F.array(row("loan_id", F.col("n") - ids, F.col("sum")),
+                                       *[row(c, F.col(f"null_{c}"), F.col(f"sum_{c}")) for c in names])))
 
 
 _STAGED: dict = {}

@@ -198,3 +198,15 @@ def test_stream_restarted_with_other_batches_keeps_ids_apart(spark, tmp_path):
         _file(tmp_path / f"in/{i}.csv", list(ROW), {"id": str(i)})
     out = run_csv_append(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c"), max_files_per_trigger=2)
     assert out.count() == 9 == out.select("loan_id").distinct().count()
+
+
+def test_ingest_summary_tells_every_column_by_a_checksum(spark):
+    """Values that change places between records change no total of their column, other values do."""
+    from loanscope.plans.registry import _ingest_summary
+    from loanscope.schema import RAW_SCHEMA
+    names = [f.name for f in RAW_SCHEMA.fields if f.name not in ("id", "purpose")] + ["audit_note"]
+    sums = lambda rows: {r.column: r.checksum for r in _ingest_summary(spark.createDataFrame(rows, "loan_id long, id string, purpose string").selectExpr(
+        "*", *[f"cast(null as string) as {c}" for c in names])).collect()}
+    a, b, c = sums([(1, "x", "car"), (2, "y", None)]), sums([(1, "y", "car"), (2, "x", None)]), sums([(1, "x", "house"), (2, "y", None)])
+    assert a["id"] == b["id"] > 0 and a["loan_id"] != b["loan_id"]
+    assert a["purpose"] != c["purpose"] and a["id"] == c["id"] and a["purpose"] > 0 == a["grade"]
