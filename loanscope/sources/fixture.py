@@ -7,9 +7,9 @@ Every derived value is integer or DECIMAL arithmetic, so any SQL engine
 reproduces it exactly; ``plans/oracle.py`` holds the same definition in SQL.
 
 The joins are plain equi-joins: the big ``lineitem``/``orders`` pair is a
-sort-merge join on the order key, dimension sides are picked for broadcast by
-Spark's own size statistics (``autoBroadcastJoinThreshold``) and by AQE at
-runtime, so nothing is broadcast without a measured size.
+sort-merge join on the order key at every size, dimension sides are picked for
+broadcast by Spark's own size statistics (``autoBroadcastJoinThreshold``) and by
+AQE at runtime, so nothing is broadcast without a measured size.
 """
 
 from __future__ import annotations
@@ -52,10 +52,15 @@ def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(parquet_path(sf_dir, "part")).select("p_partkey", "p_size")
     nation = spark.read.parquet(parquet_path(sf_dir, "nation")).select("n_nationkey", "n_name")
 
-    joined = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-                .join(customer, F.col("o_custkey") == customer.c_custkey)
-                .join(part, li.l_partkey == part.p_partkey)
-                .join(nation, F.col("c_nationkey") == nation.n_nationkey))
+    # The borrower joins the order, and the part the bare lineitem, before the big pair
+    # meets: where they are too large to broadcast, narrow rows move once for each key.
+    placed = (orders.join(customer, F.col("o_custkey") == customer.c_custkey)
+                    .join(nation, F.col("c_nationkey") == nation.n_nationkey)
+                    .select("o_orderkey", "o_orderstatus", _dec(F.col("c_acctbal").cast(MONEY) * 10).alias("annual_inc"),
+                            F.lower("c_mktsegment").alias("purpose"), F.date_format("o_orderdate", "MMM-yyyy").alias("issue_d"),
+                            F.col("n_name").alias("addr_state")))  # text is made once an order, not once a lineitem
+    joined = (li.join(part, li.l_partkey == part.p_partkey)
+                .join(placed.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")))
 
     # Every row once, rows whose order key is a multiple of 97 twice: an
     # explode in the same pass (no union, so the join runs once).
@@ -80,11 +85,9 @@ def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(5) + F.rint(F.col("l_discount") * 100).cast("bigint")
          + F.rint(F.col("l_tax") * 100).cast("bigint") + 2 * grade_no).cast("bigint").alias("rate_n"),
         F.substring(F.lit(GRADE_LETTERS), (grade_no + 1).cast("int"), 1).alias("grade"),
-        _dec(F.col("c_acctbal").cast(MONEY) * 10).alias("annual_inc"),
-        F.lower("c_mktsegment").alias("purpose"),
-        F.date_format("o_orderdate", "MMM-yyyy").alias("issue_d"),
+        "annual_inc", "purpose", "issue_d",
         (F.col("l_suppkey") % 40).cast("double").alias("dti"),
-        F.col("n_name").alias("addr_state"),
+        "addr_state",
         F.when(is_current, F.lit("C")).when(is_def, F.lit("D")).otherwise(F.lit("P")).alias("kind"),
         F.col("l_linestatus"), F.col("o_orderstatus"),
         F.col("l_quantity").cast("bigint").alias("qty"),

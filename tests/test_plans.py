@@ -69,3 +69,24 @@ def test_changed_input_is_not_answered_from_the_old_table(spark, tmp_path):
     (tmp_path / "lineitem.parquet").unlink()
     pq.write_table(pq.read_table(f"{SF001}/lineitem.parquet").slice(0, 100), tmp_path / "lineitem.parquet")
     assert 0 < tables.clean_loans(spark, str(tmp_path)).count() < n
+
+
+def test_raw_loans_shuffle_lineitems_once_for_the_orders(spark):
+    """The big pair meets by a sort-merge join at every size, after both sides have their
+    small tables: no join stands above it."""
+    from loanscope.sources import fixture
+    tree = _plan(fixture.raw_loans(spark, SF001)).split("\n\n(")[0]
+    assert tree.count("SortMergeJoin") == 1 and tree.index("SortMergeJoin") < tree.index("BroadcastHashJoin")
+
+
+def test_builds_read_small_splits_and_leave_the_setting(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        for setting, want in (("128m", str(32 << 20)), ("1m", str(1 << 20))):
+            spark.conf.set(name, setting)
+            with tables._build_splits(spark):
+                assert spark.conf.get(name) == want
+            assert spark.conf.get(name) == setting
+    finally:
+        spark.conf.set(name, before)
