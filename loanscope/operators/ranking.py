@@ -14,7 +14,8 @@ distributed, by one algorithm at every size:
 * NTILE needs the rows at k-1 positions, which ``selection`` finds by counting; every
   row is then compared with them, and no loan row moves.
 * Results join back to the loans on the value (AQE broadcasts the frequency
-  table when it is small and splits skewed join partitions when it is not).
+  table when it is small and splits skewed join partitions when it is not; average ranks,
+  whose loans are whole rows, count it first: AQE knows its size when the loans have moved).
 
 Group-grain tables (one row per grade or purpose) use native windows; their
 size is bounded by the number of groups, not by the number of loans.
@@ -130,7 +131,7 @@ def average_rank_pct(df: DataFrame, value: str, out_col: str, keys: Sequence[str
         named = named.where(F.col(k).isNotNull())
     freq = value_frequencies(named, keys, value, drop_null_values=True)
     pct = ((F.col("_before").cast("double") + (F.col("_c") + 1) / 2.0) / F.col("_n").cast("double"))
-    ranked = freq.select(*keys, value, pct.alias(out_col))
+    ranked = lookup(freq.select(*keys, value, pct.alias(out_col)))
     return _null_safe_join(df, ranked, [*keys, value], how="left")
 
 

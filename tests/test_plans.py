@@ -90,3 +90,16 @@ def test_builds_read_small_splits_and_leave_the_setting(spark):
             assert spark.conf.get(name) == setting
     finally:
         spark.conf.set(name, before)
+
+
+def test_average_ranks_of_few_values_do_not_move_loans(spark):
+    """With next to no automatic broadcast: the loans meet the table of ranks where they are."""
+    from loanscope.operators import ranking
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+    try:
+        s = tables.scored_loans(spark, SF001).select("loan_id", "grade", "interest_rate")
+        tree = _plan(ranking.average_rank_pct(s, "interest_rate", "r", keys=["grade"])).split("\n\n(")[0].split("Subqueries")[0]
+        assert not any("SortMergeJoin" in x and "LeftOuter" in x for x in tree.split("\n"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
