@@ -21,15 +21,17 @@ import os
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
 from .common import REMEMBERED, map_arrow, slices, staged, table
 
@@ -37,7 +39,7 @@ WORD_BPE = "word_bpe_49k.json"
 LENGTH = 4096
 #: Pieces one task packs.
 PARTITION_PIECES = 40_000
-#: Strings whose ids a worker remembers from task to task (some 150 bytes each); only a
+#: Strings whose ids a worker remembers from task to task (some 130 bytes each); only a
 #: matter of speed.
 KNOWN_WORDS = 1_000_000
 #: The worker's encoders, kept while it works for this operator.
@@ -55,39 +57,83 @@ def id_bytes(vocabulary: str, end_id: int):
     """text -> its ids as little-endian unsigned 32-bit numbers, the end id last.
 
     No pre-token spans white space, so a text's ids are those of the strings
-    between its blanks, each put to the library once and remembered."""
+    between its blanks, each put to the library once and remembered by its place in one
+    table of ids.  Arrow cuts the texts and finds their distinct strings; only these are
+    looked up one by one."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tok = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    # Lower-case words of Latin letters pass its normalizer and pattern unchanged:
-    # they can go straight to the merges, each but once for all its spellings.
+    # Lower-case words of Latin letters pass its normalizer and pattern unchanged: they can
+    # go straight to the merges.  So texts of Latin-1 alone without special strings, which
+    # it composes no further, are put in lower case first, and ASCII marks behind a letter
+    # (but the apostrophe), always a pre-token of their own, behind a blank.
     merges = Tokenizer(tok.model)
-    merges.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-    latin = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)$", re.M)
-    known: dict[str, bytes] = {"": b""}  # of a string between blanks
-    as_bytes = lambda encodings: [struct.pack(f"<{len(e)}I", *e.ids) for e in encodings]
-    ends = dict(zip(("", ".", ","), as_bytes(tok.encode_batch(["", ".", ","], add_special_tokens=False))))
+    merges.pre_tokenizer = Sequence([Split(" ", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+    special = "".join(f"|(?i:{re.escape(t.content)})" for t in tok.get_added_tokens_decoder().values())
+    other = f"[^\\x00-\\x{{ff}}]{special}"
+    pieces_of, suffix = tok.get_vocab(), tok.model.end_of_word_suffix
+    last = np.zeros(1 + max(pieces_of.values(), default=0), bool)
+    last[[i for p, i in pieces_of.items() if suffix and p.endswith(suffix)]] = True
+    letter, mark = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[!-&(-/:-@\\[-`{-~]"
+    latin = re.compile(f"^{letter}+$", re.M)
     end = struct.pack("<I", end_id)
+    known: dict[str, int] = {}  # a string between blanks -> its number
+    table, till = array("I"), array("q")  # ids of all numbers, and where each one's end
+
+    def add(words: list[str], encodings) -> None:
+        first = len(till)
+        for e in encodings:
+            table.extend(e.ids)
+            till.append(len(table))
+        known.update(zip(words, range(first, len(till))))
+
+    def empty() -> None:
+        known.clear()
+        del table[:], till[:]
+        till.append(0)
+        known[""] = 0
 
     def learn(words: list[str]) -> None:
-        """Strings not met before; those of one core are merged once."""
+        """Strings not met before."""
         plain = latin.findall("\n".join(words))
-        lower = "\n".join([c for c, _ in plain]).lower().split("\n") if plain else []
+        lower = "\n".join(plain).lower().split("\n") if plain else []
         missing = list(set(lower).difference(known))
-        known.update(zip(missing, as_bytes(merges.encode_batch_fast(missing, add_special_tokens=False))))
-        known.update([(w + m, known[c] + ends[m]) for (w, m), c in zip(plain, lower) if m or w != c])
+        # Many words a call, as each call has a price: the vocabulary marks a word's last piece.
+        groups = [missing[i:i + 100] for i in range(0, len(missing), 100)]
+        for g, e in zip(groups, merges.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            stops = np.flatnonzero(last[ids]) + 1
+            if len(stops) != len(g):  # a vocabulary without such marks
+                add(g, merges.encode_batch_fast(g, add_special_tokens=False))
+                continue
+            known.update(zip(g, range(len(till), len(till) + len(g))))
+            till.extend((len(table) + stops).tolist())
+            table.frombytes(ids.tobytes())
+        known.update([(w, known[c]) for w, c in zip(plain, lower) if w != c])
         if len(plain) < len(words):
             rest = [w for w in words if w not in known]
-            known.update(zip(rest, as_bytes(tok.encode_batch_fast(rest, add_special_tokens=False))))
+            add(rest, tok.encode_batch_fast(rest, add_special_tokens=False))
 
     def encode(texts: list) -> list[bytes]:
         if len(known) > KNOWN_WORDS:
-            known.clear()
-            known[""] = b""
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if new := set().union(*words).difference(known):
-            learn(list(new))
-        return [b"".join([*map(known.__getitem__, ws), end]) for ws in words]
-
+            empty()
+        col = pc.replace_substring(pa.array([t or "" for t in texts], pa.large_string()), "\n", " ")
+        eased = pc.replace_substring_regex(pc.utf8_lower(col), f"({letter})({mark})", r"\1 \2")
+        parts = pc.split_pattern(pc.if_else(pc.match_substring_regex(col, other), col, eased), " ")
+        words = parts.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        if new := [w for w in names if w not in known]:
+            learn(new)
+        number = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+        stop = np.frombuffer(till, np.int64)
+        first = stop[np.maximum(number - 1, 0)]
+        no = words.indices.to_numpy()
+        size = (stop[number] - first)[no]
+        place = np.concatenate([[0], np.cumsum(size)])
+        raw = np.frombuffer(table, np.uint32)[np.arange(place[-1]) + np.repeat(first[no] - place[:-1], size)].astype("<u4").tobytes()
+        bounds = (4 * place[parts.offsets.to_numpy()]).tolist()
+        return [raw[a:b] + end for a, b in zip(bounds, bounds[1:])]
+
+    empty()
     return encode
 
 

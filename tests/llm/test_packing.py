@@ -81,3 +81,17 @@ def test_pieces_and_edges(spark):
     key = lambda r: tuple(-1 if x is None else x for x in r)
     assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=key) == sorted(want, key=key)
     assert packing.pack(packing.pieces(empty(spark), "doc_id", "text")).collect() == []
+
+
+def test_spellings_and_marks_of_a_word_are_one_string():
+    import inspect
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    texts = ["Word, word. WORD! word### ÉTÉ été;", "a<|endoftext|>B, <|ENDOFTEXT|>", "T̈, x≮ it's, a-'s K. ſ,", "a\xa0B\tc\r\nd"]
+    encode = packing.id_bytes(packing.WORD_BPE, 1)
+    library = Tokenizer.from_file(public_tokenizers.path(packing.WORD_BPE))
+    assert encode(texts) == [b"".join(i.to_bytes(4, "little") for i in [*e.ids, 1]) for e in library.encode_batch(texts, add_special_tokens=False)]
+    encode = packing.id_bytes(packing.WORD_BPE, 1)
+    encode(texts[:1])
+    assert set(inspect.getclosurevars(encode).nonlocals["known"]) <= {"", "word", "été", ",", ".", "!", "###", ";"}
