@@ -42,6 +42,8 @@ ROWS = 150_000
 #: Mean bits a byte above which a text is in none of the languages learnt.
 REJECT_BITS = 6.5
 UNKNOWN = "und"
+#: Words whose bits are computed at once: each byte takes some hundred bytes a language.
+WORDS = 1 << 14
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -122,6 +124,8 @@ class Model:
 
     def word_bits(self, words: list[str]) -> np.ndarray:
         """Code length of each word, blank after it included, per language."""
+        if len(words) > WORDS:
+            return np.concatenate([self.word_bits(words[i:i + WORDS]) for i in range(0, len(words), WORDS)])
         coded = [b" " + w.encode() + b" " for w in words]
         size = np.array([len(b) for b in coded], np.int64)
         if not len(size):

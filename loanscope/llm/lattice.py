@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, staged, table, text_key
+from .common import map_arrow, release, slices, staged, table, text_key
 
 MODEL = "piece_bpe_32k.model"
 BLOCK_CHARS = 8 << 20
@@ -265,6 +265,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, model: str = MODEL) -> Dat
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()  # what the block before took
         v = vocabulary(path)
         no = right.column("no").to_numpy()
         ids = right.column("ids").combine_chunks()

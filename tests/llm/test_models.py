@@ -397,3 +397,19 @@ def test_bands_reject_repeats_and_noise(spark):
     got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
     assert [got[i].kept for i in range(4)] == [True] * 4
     assert not any(got[i].kept for i in range(4, len(rows)))
+
+
+def test_code_lengths_are_taken_a_bounded_number_of_words_at_a_time():
+    import tracemalloc
+
+    from loanscope.llm import language
+    r = np.random.default_rng(3)
+    words = sorted({"".join(w) for w in r.choice(list("abcdefgh"), (60_000, 7))})
+    model = language.Model({lang: [" ".join(words[i::50])] for i, lang in enumerate(("x", "y", "z"))})
+    tracemalloc.start()
+    bits = model.word_bits(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6  # 76 MB at once
+    parts = np.concatenate([model.word_bits(words[i:i + 999]) for i in range(0, len(words), 999)])
+    assert bits.shape == (len(words), 3) and np.allclose(bits, parts, atol=1e-6)
