@@ -94,3 +94,23 @@ def test_sentencepiece_viterbi_equals_the_library(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in lattice.encode(df, "doc_id", "text", path).collect():
         assert r.ids == model.encode(texts[r.doc_id]), texts[r.doc_id]
+
+
+def test_sentencepiece_deals_its_blocks_once(spark):
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(lattice.MODEL))
+    long = "x" * 40 + "ab" * 30
+    texts = ["the same words here", None, "", "▁ a▁b", "\n\n  the  ", long, long + "c", "the same " + long[:-1], "日本語 \x00 é", "🜲 the"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string").repartition(6)
+    copies = spark.createDataFrame([(50, "twice the same row")], "doc_id long, text string")
+    out = lattice.encode(df.union(copies).union(copies), "doc_id", "text")
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == [*range(len(texts)), 50, 50, 99]
+    for r in rows:
+        text = {50: "twice the same row", 99: None}.get(r.doc_id, texts[r.doc_id] if r.doc_id < 50 else None) or ""
+        assert r.ids == model.encode(text) and r.n_pieces == len(r.ids)
+        assert r.round_trip == (model.decode(r.ids) == text), text
+    # Blocks, words and ids are dealt once each: blocks are not written twice, words not by key again.
+    table = lattice.encode(frame(spark), "doc_id", "text")
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Repartition") == 3  # the blocks' one stands on both sides
+    assert "blocks-" not in plan and "Relation" not in plan
