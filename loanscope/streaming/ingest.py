@@ -25,8 +25,10 @@ def start_csv_append(spark: SparkSession, csv_dir: str, table_path: str, checkpo
     """Start the stream; with ``available_now`` it processes every file present
     and stops (the batch-equivalent run)."""
     # The stream says which files are new; their columns are bound per file.
-    arrived = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
-               .load(csv_dir).select("_metadata.file_path"))
+    # A row a file, whose content is not read here; empty files are not counted.
+    arrived = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+               .option("maxFilesPerTrigger", max_files_per_trigger)
+               .load(csv_dir).where("length > 0").select("_metadata.file_path"))
 
     counts = f"{checkpoint.rstrip('/')}/file_numbers"
 

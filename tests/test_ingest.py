@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loanscope.operators import clean, export
 from loanscope.sources import csv_ingest, csv_records
-from loanscope.streaming.ingest import run_csv_append
+from loanscope.streaming.ingest import run_csv_append, start_csv_append
 
 HEADER = ("id,loan_amnt,term,int_rate,installment,grade,annual_inc,purpose,issue_d,dti,addr_state,"
           "loan_status,total_pymnt,total_rec_prncp,total_rec_int,recoveries,audit_note\n")
@@ -55,6 +55,18 @@ def test_ingest_counts_and_stream_append_match(spark, tmp_path):
     assert out2.count() == 15
 
 
+def test_stream_lists_files_without_their_lines(spark, tmp_path):
+    (tmp_path / "in put").mkdir()
+    for i in range(3):
+        _write(tmp_path / "in put" / f"p {i}.csv", "".join(f"{i}-{j},1,36 months,10%,3,A,4,car,Jan-2017,1,CA,Fully Paid,1,1,0,0,x\n" for j in range(50)))
+    (tmp_path / "in put" / "a.csv").write_text("")  # not counted: it has no header
+    q = start_csv_append(spark, str(tmp_path / "in put"), str(tmp_path / "t"), str(tmp_path / "c"), max_files_per_trigger=2)
+    q.awaitTermination()
+    assert 0 < sum(p["numInputRows"] for p in q.recentProgress) <= 4  # files, not lines
+    rows = spark.read.parquet(str(tmp_path / "t")).select("id", "loan_id").collect()
+    assert len(rows) == 150 and sorted({r.loan_id >> csv_ingest.PLACE_BITS for r in rows}) == [0, 1, 2]
+
+
 def test_summary_csv_sink(spark, tmp_path):
     df = spark.createDataFrame([("B", 2), ("A", 1)], "grade string, n long")
     export.write_csv(df, str(tmp_path / "out"), "grade")
