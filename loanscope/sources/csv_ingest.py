@@ -41,6 +41,8 @@ PLACE_BITS = 38
 MAX_FILES = 1 << 25
 # File numbers are broadcast up to this many files, joined beyond.
 BROADCAST_FILES = 100_000
+# Records of a staged file that is compressed: one task reads such a file.
+COMPRESSED_RECORDS = 250_000
 
 
 def _na_to_null(c: str) -> F.Column:
@@ -165,16 +167,19 @@ def ingest_csv(spark: SparkSession, path: str, out_path: str, multiline: bool =
     (``DataFrame.observe`` would count during the write, but once a session
     holds an observation, fitted ML models that keep a training summary can
     no longer be serialised in that session.)"""
-    read_raw_csv(spark, path, multiline).write.mode("overwrite").parquet(out_path)
+    # Half of snappy's size: the digests of ``raw_key`` are hex text.
+    read_raw_csv(spark, path, multiline).write.mode("overwrite").option("compression", "zstd").parquet(out_path)
     return spark.read.parquet(out_path).count()
 
 
-def write_raw_csv(raw: DataFrame, path: str) -> None:
-    """Write raw records as headed CSV text (used to stage CSV inputs)."""
+def write_raw_csv(raw: DataFrame, path: str, compressed: bool = False) -> None:
+    """Write raw records as headed CSV text (used to stage CSV inputs), in plain files
+    that can be split, or by gzip in files of ``COMPRESSED_RECORDS`` at most."""
     cols = [F.col(f.name).cast("string").alias(f.name) for f in RAW_SCHEMA.fields]
     if "audit_note" in raw.columns:
         cols.append(F.col("audit_note"))
-    (raw.select(*cols).write.mode("overwrite")
+    how = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": COMPRESSED_RECORDS} if compressed else {}
+    (raw.select(*cols).write.mode("overwrite").options(**how)
         .option("header", True).option("quoteAll", True).option("escape", '"')
         .option("nullValue", "").option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)

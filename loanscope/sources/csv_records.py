@@ -56,7 +56,9 @@ def surveyed(spark: SparkSession, path: str | Sequence[str], quotes: bool = True
     Until a line that begins outside ends inside, every line begins outside: so a file
     has a newline inside a value if and only if one of its lines, taken alone, ends inside."""
     own = lines(spark, path)
-    broken = F.max(ends_inside(F.col("line"))) if quotes else F.lit(False)
+    # A set, whose aggregate hashes: beside a maximum the text of ``head`` would be kept by
+    # an aggregate that sorts, and spills, all lines of a task.
+    broken = F.array_contains(F.collect_set(ends_inside(F.col("line")) if quotes else F.lit(False)), True)
     head = F.min_by("line", F.struct("start", "at"))
     return own.where("trim(replace(line, '\\r', '')) != ''").groupBy("file").agg(head.alias("head"), broken.alias("broken"))
 

@@ -1,4 +1,5 @@
 import csv
+import pathlib
 import random
 import uuid
 from contextlib import contextmanager
@@ -222,3 +223,107 @@ def test_ingest_summary_tells_every_column_by_a_checksum(spark):
     a, b, c = sums([(1, "x", "car"), (2, "y", None)]), sums([(1, "y", "car"), (2, "x", None)]), sums([(1, "x", "house"), (2, "y", None)])
     assert a["id"] == b["id"] > 0 and a["loan_id"] != b["loan_id"]
     assert a["purpose"] != c["purpose"] and a["id"] == c["id"] and a["purpose"] > 0 == a["grade"]
+
+
+def _tables(folder, n=3000):
+    """The tables under the loan records, of rows made here: every tenth lineitem without a tax."""
+    import datetime
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    k = range(n)
+    made = {
+        "nation": {"n_nationkey": [0, 1], "n_name": ["N 0", "N \"1\""]},
+        "customer": {"c_custkey": [*range(50)], "c_nationkey": [i % 2 for i in range(50)], "c_acctbal": [100.25 * i - 300 for i in range(50)],
+                     "c_mktsegment": ["AUTO" if i % 3 else "BUILDING" for i in range(50)]},
+        "part": {"p_partkey": [*range(70)], "p_size": pa.array([1 + i % 50 for i in range(70)], pa.int32())},
+        "orders": {"o_orderkey": [*range(n // 4)], "o_custkey": [i % 50 for i in range(n // 4)], "o_orderstatus": ["FOP"[i % 3] for i in range(n // 4)],
+                   "o_orderdate": pa.array([datetime.datetime(1992 + i % 7, 1 + i % 12, 3) for i in range(n // 4)], pa.timestamp("us"))},
+        "lineitem": {"l_orderkey": [i // 4 for i in k], "l_partkey": [i * 7 % 70 for i in k], "l_suppkey": [i * 3 % 41 for i in k],
+                     "l_linenumber": pa.array([1 + i % 4 for i in k], pa.int32()), "l_quantity": [float(1 + i % 50) for i in k],
+                     "l_extendedprice": [900.0 + 13.25 * (i * 31 % 4001) for i in k], "l_discount": [i % 11 / 100 for i in k],
+                     "l_tax": [i % 9 / 100 if i % 10 else None for i in k], "l_returnflag": ["NRA"[i % 3] for i in k], "l_linestatus": ["OF"[i % 2] for i in k]},
+    }
+    for name, columns in made.items():
+        pq.write_table(pa.table(columns), folder / f"{name}.parquet")
+    return str(folder)
+
+
+def _bytes(folder):
+    return sum(f.stat().st_size for f in pathlib.Path(folder).glob("part-*"))
+
+
+def test_csv_ingest_takes_a_fraction_of_its_text_on_disk(spark, tmp_path):
+    """The text is staged compressed and straight from the build: no copy of the raw table beside it."""
+    from loanscope.plans import registry
+    from loanscope.sources import tables
+    d = _tables(tmp_path)
+    stored = lambda: {k[1] for k in tables._MATERIALISED if k[2] == d}
+    staged = lambda: [p for k, p in registry._STAGED.items() if k[1] == d]
+    got = sorted(registry.QUERIES["csv_ingest"](spark, d).collect())
+    own, = staged()
+    assert "loans_raw" not in stored()
+    plain = sorted(registry.QUERIES["stream_ingest"](spark, d).collect())  # its text stays plain: files that can be split
+    text, = set(staged()) - {own}
+    path = lambda p: p.removeprefix("file:")
+    assert 0 < 3 * _bytes(path(own)) < _bytes(path(text))
+    raw = tables.raw_loans(spark, d)
+    assert got == plain == sorted(registry._ingest_summary(raw).collect()) and got[0].n_rows == raw.count() > 3000
+    with tables.raw_loans_once(spark, d) as again:  # now there is a stored table: it is read
+        assert again.inputFiles() and all("loans_raw" in f for f in again.inputFiles())
+
+
+def test_compressed_files_hold_few_records_and_give_the_same_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv_ingest, "COMPRESSED_RECORDS", 100)
+    rows = [ROW | {"id": f"{i:04}", "loan_amnt": str(1000 + i), "purpose": None if i % 5 == 0 else 'a "b"\nc' if i > 700 else "car", "audit_note": "  "} for i in range(950)]
+    raw = spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{n} string" for n in rows[0])).coalesce(1)
+    back = {}
+    for compressed in (False, True):
+        csv_ingest.write_raw_csv(raw, str(tmp_path / f"{compressed}"), compressed)
+        back[compressed] = csv_ingest.read_raw_csv(spark, str(tmp_path / f"{compressed}")).orderBy("loan_id").collect()
+    files = list((tmp_path / "True").glob("part-*"))
+    assert len(files) == 10 and all(f.name.endswith(".csv.gz") for f in files)
+    assert [r.asDict() | {"loan_id": 0} for r in back[True]] == [r.asDict() | {"loan_id": 0} for r in back[False]]
+    assert [r.id for r in back[True]] == [r["id"] for r in rows] and len({r.loan_id for r in back[True]}) == 950
+
+
+def test_ingested_table_is_stored_by_zstd(spark, tmp_path):
+    import pyarrow.parquet as pq
+    _file(tmp_path / "in/a.csv", list(ROW), {}, {"id": "2"})
+    assert csv_ingest.ingest_csv(spark, str(tmp_path / "in"), str(tmp_path / "out")) == 2
+    found = [pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in (tmp_path / "out").glob("part-*")]
+    assert found and set(found) == {"ZSTD"}
+
+
+@pytest.mark.parametrize("quotes", [True, False])
+def test_survey_keeps_one_line_a_file_and_sorts_none(spark, tmp_path, quotes, capsys):
+    _file(tmp_path / "in/a.csv", list(ROW), {}, {"id": "2"})
+    (tmp_path / "in/b.csv").write_text('\n \nx,y\n1,"2\n3"\n')
+    found = csv_records.surveyed(spark, str(tmp_path / "in"), quotes)
+    assert sorted((r.file[-5:], r.head, r.broken) for r in found.collect()) == [("a.csv", ",".join(ROW), False), ("b.csv", "x,y", quotes)]
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "HashAggregate" in plan and "Sort" not in plan
+
+
+def test_ids_are_counted_by_words_of_bits(spark, capsys):
+    from loanscope.plans.registry import _ingest_summary
+    from loanscope.schema import RAW_SCHEMA
+    names = [f.name for f in RAW_SCHEMA.fields] + ["audit_note"]
+    of = lambda ids: _ingest_summary(spark.createDataFrame([(i,) for i in ids], "loan_id long").selectExpr(
+        "loan_id", *[f"cast(null as string) as {c}" for c in names]))
+    for ids in ([], [None], [5, 5, None], [0, 63, 64, -1, -64, -65, (1 << 63) - 1, -(1 << 63), 63, -65], [*range(-200, 300), *range(100)]):
+        r = next(r for r in of(ids).collect() if r.column == "loan_id")
+        assert (r.n_rows, r.n_null) == (len(ids), len(ids) - len(set(ids) - {None}))
+    of([1]).explain()
+    moved = [x for x in capsys.readouterr().out.split("\n") if "Exchange hashpartitioning" in x]
+    assert moved and not any("loan_id" in x for x in moved)
+
+
+def test_shuffles_of_the_staging_are_freed_and_the_setting_left(spark, tmp_path):
+    from loanscope.sources import tables
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with tables.raw_loans_once(spark, _tables(tmp_path, 400)) as raw:
+        assert spark.conf.get(name) == "true" and raw.count() > 400
+    assert spark.conf.get(name) == before
