@@ -167,7 +167,7 @@ def ingest_csv(spark: SparkSession, path: str, out_path: str, multiline: bool =
     (``DataFrame.observe`` would count during the write, but once a session
     holds an observation, fitted ML models that keep a training summary can
     no longer be serialised in that session.)"""
-    # Half of snappy's size: the digests of ``raw_key`` are hex text.
+    # Snappy finds nothing in the digests of ``raw_key``, which are hex text.
     read_raw_csv(spark, path, multiline).write.mode("overwrite").option("compression", "zstd").parquet(out_path)
     return spark.read.parquet(out_path).count()
 
